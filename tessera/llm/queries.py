@@ -4,16 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .id_files import id_files
 from .ngram_join import ngram_join
+from .tokens import bpe_digests, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), k=3, threshold="0.9")
 
 
-QUERIES = {f.__name__: f for f in (op7_ngram_jaccard_join,)}
+def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_encode_decode, op5_token_counts, op7_ngram_jaccard_join, op10_id_files)}
 ORACLE_SQL: dict[str, str] = {}
