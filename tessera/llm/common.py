@@ -44,9 +44,9 @@ def drop_table(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def among(df: DataFrame, ids: DataFrame, column: str, most_bits: int = 1 << 26) -> DataFrame:
-    """Rows of df whose `column` is in ids. A bitmap of fixed most_bits (8 MB) goes ahead of the join, so that wide rows which
-    can't match aren't shuffled; its false positives are removed by the exact semi-join behind it."""
+def _marked(df: DataFrame, ids: DataFrame, column: str, most_bits: int) -> DataFrame:
+    """df with `_in`: false where a bitmap of at most most_bits proves that `column` isn't in ids. The bitmap is a broadcast table
+    of fixed size; false positives are for an exact join behind it."""
     n = ids.count()
     bits = 1 << 16
     while bits < 16 * n and bits < most_bits:
@@ -54,9 +54,27 @@ def among(df: DataFrame, ids: DataFrame, column: str, most_bits: int = 1 << 26)
     at = f"pmod(xxhash64(`{column}`), {bits}L)"
     words = ids.selectExpr(f"{at} div 64 AS _w", f"shiftleft(1L, cast({at} % 64 AS int)) AS _b")
     words = words.groupBy("_w").agg(F.bit_or("_b").alias("_bits"))  # at most most_bits / 64 rows
-    kept = df.withColumn("_w", F.expr(f"{at} div 64")).join(F.broadcast(words), "_w")
-    kept = kept.where(F.expr(f"(shiftrightunsigned(_bits, cast({at} % 64 AS int)) & 1) = 1"))
-    return kept.drop("_w", "_bits").join(ids.select(column).distinct(), column, "left_semi")
+    kept = df.withColumn("_w", F.expr(f"{at} div 64")).join(F.broadcast(words), "_w", "left")
+    return kept.withColumn("_in", F.expr(f"coalesce((shiftrightunsigned(_bits, cast({at} % 64 AS int)) & 1) = 1, false)")).drop("_w", "_bits")
+
+
+def among(df: DataFrame, ids: DataFrame, column: str, most_bits: int = 1 << 26) -> DataFrame:
+    """Rows of df whose `column` is in ids. Wide rows that can't match aren't shuffled."""
+    return _marked(df, ids, column, most_bits).where("_in").drop("_in").join(ids.select(column).distinct(), column, "left_semi").select(df.columns)
+
+
+def excluding(df: DataFrame, ids: DataFrame, column: str, most_bits: int = 1 << 26) -> DataFrame:
+    """Rows of df whose `column` isn't in ids (a null isn't). Only rows that may be in ids are shuffled."""
+    marked = _marked(df, ids, column, most_bits)
+    near = marked.where("_in").drop("_in").join(ids.select(column).distinct(), column, "left_anti").select(df.columns)
+    return marked.where("not _in").drop("_in").select(df.columns).union(near)
+
+
+def matched(df: DataFrame, more: DataFrame, column: str, most_bits: int = 1 << 26) -> tuple[DataFrame, DataFrame]:
+    """(rows of df joined to `more`, which has one row for each value of `column`; rows of df without one)."""
+    marked = _marked(df, more.select(column), column, most_bits)
+    near = marked.where("_in").drop("_in").join(more, column, "left")
+    return near, marked.where("not _in").drop("_in").select(df.columns)
 
 
 # ---------------------------------------------------------------- connected components
