@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, among, components, mix, pieces, staged, utf8
+from .common import Words, among, components, matched, mix, pieces, staged, utf8
 
 WINDOW = 25
 REACH = 6
@@ -42,15 +42,29 @@ UNITS = "key long, id long, place long, lead boolean"
 
 
 def anchors(pair: np.ndarray) -> np.ndarray:
-    """Places whose hash is the least within REACH places on both sides (the first of equal ones on the left)."""
+    """Places whose hash is the least within REACH places on both sides (the first of equal ones on the left). Where text goes
+    round in a loop equal least ones follow each other; of these every one at least WINDOW words behind the last anchor counts."""
     n = len(pair)
     if n == 0:
         return np.zeros(0, np.int64)
     wide = np.concatenate([np.full(REACH, ~_U(0)), pair, np.full(REACH, ~_U(0))])
-    view = np.lib.stride_tricks.sliding_window_view(wide, 2 * REACH + 1)
-    left = view[:, :REACH].min(axis=1)
-    right = view[:, REACH + 1 :].min(axis=1)
-    return np.flatnonzero((pair < left) & (pair <= right))
+    left, right = wide[:n].copy(), wide[REACH + 1 : REACH + 1 + n].copy()
+    for k in range(1, REACH):
+        np.minimum(left, wide[k : k + n], out=left)
+        np.minimum(right, wide[REACH + 1 + k : REACH + 1 + k + n], out=right)
+    low = pair <= right
+    strict = np.flatnonzero(low & (pair < left))
+    equal = np.flatnonzero(low & (pair == left))
+    if not len(equal):
+        return strict
+    before = np.searchsorted(strict, equal) - 1
+    floor = np.where(before >= 0, strict[np.maximum(before, 0)], -WINDOW)
+    more, last = [], -WINDOW
+    for at, base in zip(equal.tolist(), floor.tolist()):
+        if at - max(last, base) >= WINDOW:
+            more.append(at)
+            last = at
+    return np.sort(np.concatenate([strict, np.array(more, np.int64)]))
 
 
 def _units(batches, min_words: int):
@@ -106,7 +120,7 @@ def _regions(batches):
             raw = x[0].tobytes()
             wanted = batch.column(2)[row].as_py()
             out: list[list] = [[], [], [], []]
-            for lo, hi in wanted:
+            for lo, hi in ((x["lo"], x["hi"]) for x in wanted):
                 a, b = max(lo, 0), min(hi, len(words.start))
                 out[0].append(lo)
                 out[1].append(hi)
