@@ -11,7 +11,7 @@ sequence as one; no words or null: the empty set, linked with nothing). Two text
 3. Texts with equal sets form a class; only class representatives are joined. Per block value, members meet a few hubs
    (found by a partial aggregation, so a hot block isn't gathered); pairs pass a size test and the Hamming bound of a folded
    sketch before their texts are compared exactly. Links give components.
-4. What remains are pairs of different components in one block: blocks of members are compared by Hamming bound within a
+4. What remains are pairs of different components in one block (of blocks with the same members one is kept): blocks of members are compared by Hamming bound within a
    task, pieces against pieces, and only pairs under the bound are emitted and compared exactly. Pairs inside a component
    need no test, so copies aren't expanded into all pairs and no link between components is lost.
 
@@ -185,7 +185,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     named = met.select("id", "key").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     named = staged(named, "named")
-    open_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m")
+    h = F.xxhash64("id", F.lit(8))
+    open_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s"))
+    # of the blocks with the same members one is enough: they stand for the same pairs
+    open_keys = open_keys.where("lo < hi").groupBy("m", "x", "s").agg(F.min("key").alias("key")).select("key", "m")
     piece = F.pmod(F.xxhash64("id", F.lit(9)), F.ceil(F.col("m") / PIECE))
     left = named.join(open_keys, "key").withColumn("piece", piece).join(reps.select("id", "n", "folded"), "id")
     blocks = left.groupBy("key", "piece").agg(F.collect_list(F.struct("id", "n", "root", "folded")).alias("members"), F.first("m").alias("m"))
