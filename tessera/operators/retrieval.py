@@ -14,7 +14,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "v
     """(query_id, vec_id, d2, rank) of the k nearest other vectors. Queries go to each of `blocks` blocks of vectors; each
     block keeps its own k before blocks are merged."""
     v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     d = q.join(v, "block").where("query_id <> vec_id").select("query_id", "vec_id", "block", squared_l2(F.col("q"), F.col("v")).alias("d2"))
     some = d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "block").orderBy("d2", "vec_id"))).where(F.col("rank") <= k)
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))).where(F.col("rank") <= k).drop("block")

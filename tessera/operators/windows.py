@@ -23,7 +23,8 @@ def window_rows(df: DataFrame, total: int, size: int, stride: int | None = None)
 def lag_seconds(seconds: str, order: list[str], by: list[str] | None = None) -> Column:
     """Whole seconds since the row before; never negative; null on the first row."""
     w = Window.partitionBy(*(by or [])).orderBy(*order)
-    return F.greatest(F.lit(0).cast("long"), F.col(seconds) - F.lag(seconds).over(w))
+    delta = F.col(seconds) - F.lag(seconds).over(w)
+    return F.when(delta.isNotNull(), F.greatest(F.lit(0).cast("long"), delta))
 
 
 def last_marked(value: str, marked: Column, order: list[str], by: list[str]) -> Column:
