@@ -214,10 +214,10 @@ def shuffle_seed(spark, sf_dir):
     return measurements(spark, sf_dir).select("event_id", codec.shuffle_seed(F.col("src"), F.col("dst"), F.col("sec")).alias("seed"))
 
 
-@query(f"WITH {M} SELECT event_id, last_value(CASE WHEN {u('c', 'event_id')} < 0.5 THEN sec END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM m")
+@query(f"WITH {M} SELECT * FROM (SELECT event_id, last_value(CASE WHEN {u('c', 'event_id')} < 0.5 THEN sec END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM m) WHERE prev IS NOT NULL")
 def last_timestamped(spark, sf_dir):
     coin = ordering.unit_hash("c", F.col("event_id")) < 0.5
-    return measurements(spark, sf_dir).select("event_id", windows.last_marked("sec", coin, ["ts", "event_id"], ["user_id"]).alias("prev"))
+    return measurements(spark, sf_dir).select("event_id", windows.last_marked("sec", coin, ["ts", "event_id"], ["user_id"]).alias("prev")).where("prev IS NOT NULL")
 
 
 # ---------------------------------------------------------------- windows
@@ -240,9 +240,9 @@ def window_modes(spark, sf_dir):
     return w.select("w", F.when(r < 0.4, "ordered").when(r < 0.7, "shuffled").otherwise("mixed").alias("mode"))
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 4) AS avg50 FROM events")
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) + 0.0000001, 4) AS avg50 FROM events")
 def moving_average(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.round(windows.moving_average("value", 50, ["ts", "event_id"], ["event_type"]), 4).alias("avg50"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(windows.moving_average("value", 50, ["ts", "event_id"], ["event_type"]) + 0.0000001, 4).alias("avg50"))
 
 
 # ---------------------------------------------------------------- sequences
