@@ -107,20 +107,25 @@ class Model:
 class Judge:
     def __init__(self, texts: dict[str, str]):
         self.model = Model(texts)
-        self.memo = Memo(lambda w: None, 400_000)
+        self.memo = Memo(lambda w: self._values([w])[0], 400_000)
+
+    def _values(self, words: list[str]) -> list[int]:
+        """One number per word: phrases of each language, characters, whether it has a letter; sums of them add by field."""
+        k = len(self.model.langs)
+        fields = np.zeros((len(words), k + 2), "<u8")
+        fields[:, :k] = self.model.phrases(words)
+        fields[:, k] = [len(w) + 1 for w in words]
+        fields[:, k + 1] = [w.isalpha() or any(map(str.isalpha, w)) for w in words]
+        size = FIELD // 8 * (k + 2)
+        packed = fields.view(np.uint8).reshape(len(words), k + 2, 8)[:, :, : FIELD // 8].tobytes()
+        return [int.from_bytes(packed[i : i + size], "little") for i in range(0, len(packed), size)]
 
     def rows(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         words = [(x or "").lower().split() for x in texts]
         new = list(set().union(*words) - self.memo.keys() - self.memo.old.keys()) if words else []
+        self.memo.room(len(new))
+        self.memo.update(zip(new, self._values(new)))
         k = len(self.model.langs)
-        # one number per word: phrases of each language, characters, whether it has a letter; sums of them add by field
-        fields = np.zeros((len(new), k + 2), "<u8")
-        fields[:, :k] = self.model.phrases(new)
-        fields[:, k] = [len(w) + 1 for w in new]
-        fields[:, k + 1] = [w.isalpha() or any(map(str.isalpha, w)) for w in new]
-        size = FIELD // 8 * (k + 2)
-        packed = fields.view(np.uint8).reshape(len(new), k + 2, 8)[:, :, : FIELD // 8].tobytes()
-        self.memo.old.update((w, int.from_bytes(packed[i : i + size], "little")) for w, i in zip(new, range(0, len(packed), size)))
         langs, lang_pred, score = self.model.langs, [], []
         for ws in words:
             total = sum(map(self.memo.__getitem__, ws))

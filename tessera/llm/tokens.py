@@ -30,10 +30,14 @@ class Memo(dict):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, word):
-        if len(self) >= self.most:
+    def room(self, n: int) -> None:
+        """Begin a new generation if n more words don't fit into the young one."""
+        if len(self) and len(self) + n > self.most:
             self.old = dict(self)
             self.clear()
+
+    def __missing__(self, word):
+        self.room(1)
         value = self.old.get(word, self)
         if value is self:
             value = self.make(word)
