@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -127,10 +128,11 @@ class PrefixBPE:
             self.ending[to] = ((own[to],) if to in own else ()) + self.ending[self.link[to]]
             queue += [(to, d, below) for d, below in children[to].items()]
         self.longest_final = max(map(len, self.final))
+        self.marks = frozenset(".,;:!?")
         #: for prefixes seen: (automaton state, the one token that can end its encoding, its length)
         self.prefixes: dict[str, tuple[int, int, int]] = {}
-        self.pieces = Memo(self._piece, MEMO_WORDS // 2)
-        self.memo = Memo(self._word, MEMO_WORDS // 2)
+        self.pieces = Memo(self._piece, MEMO_WORDS * 2 // 3)
+        self.memo = Memo(self._word, MEMO_WORDS * 2 // 3)
 
     def step(self, at: int, c: str) -> int:
         found = self.go[at].get(c)
@@ -220,8 +222,6 @@ class PrefixBPE:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text by the tokenizers library's rules: special strings first, then NFC, lower case, words, bytes."""
-        import unicodedata
-
         if self.cut_special and (m := self.cut_special.search(text)):
             return self.encode(text[: m.start()]) + [self.special[m[0]]] + self.encode(text[m.end() :])
         text = unicodedata.normalize("NFC", text)
@@ -236,15 +236,20 @@ class PrefixBPE:
         return " ".join(self.name[i] for i in ids)
 
     def _piece(self, w: str) -> tuple[str, str, int]:
-        ids = self.piece(w)
-        return " ".join(map(str, ids)), self.decode(ids), len(ids)
+        ids = self.piece(w if w.isascii() else "".join(map(self.byte_name.__getitem__, w.encode())))
+        return " ".join(map(str, ids)), " ".join(map(self.name.__getitem__, ids)), len(ids)
 
     def _word(self, word: str) -> tuple[str, str, int] | None:
-        if word.isascii() and word.isalpha():
-            return self.pieces[word.lower()]
-        if word[:-1].isascii() and word[:-1].isalpha() and word[-1] in ".,;:!?":
-            parts = [self.pieces[word[:-1].lower()], self.pieces[word[-1]]]
-            return f"{parts[0][0]} {parts[1][0]}", f"{parts[0][1]} {parts[1][1]}", parts[0][2] + parts[1][2]
+        mark = word[-1:] if word[-1:] in self.marks else ""
+        core = word[:-1] if mark else word
+        if core.isalpha():  # one run of letters, perhaps with a mark behind it: no need to search for words
+            low = core.lower() if core.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", core)))
+            if low.isalpha():
+                a = self.pieces[low]
+                if not mark:
+                    return a
+                b = self.pieces[mark]
+                return f"{a[0]} {b[0]}", f"{a[1]} {b[1]}", a[2] + b[2]
         ids = self.encode(word)
         return (" ".join(map(str, ids)), self.decode(ids), len(ids)) if ids else None
 
