@@ -173,9 +173,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, start, n, keeper, keeper_start, line): passages to remove, in words from `start` on; `keeper` has the one that stays."""
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     units = staged(base.mapInArrow(lambda it: _units(it, min_words), UNITS), "units")
-    first = units.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("hi"), F.expr("min_by(place, id) FILTER (WHERE lead)").alias("hub_place"))
-    first = first.where("hub < hi").select("key", "hub", "hub_place")
-    met = units.join(first, "key").where("id <> hub")
+    shared = units.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("hi")).where("hub < hi").select("key", "hub")
+    met = staged(units.join(shared, "key"), "shared")
+    first = met.where("id = hub AND lead").select("key", F.col("place").alias("hub_place"))  # one for each key
+    met = met.where("id <> hub").join(first, "key")
     fields = [f"cast({x} AS int) AS {p}{n}" for p in ("", "hub_") for x, n in ((f"shiftright({p}place, 32)", "start"), (f"shiftright({p}place & 4294967295, 1)", "n"))]
     met = met.selectExpr("id", "hub", "(place & 1) = 1 AS line", *fields)
     met = staged(met, "met")
