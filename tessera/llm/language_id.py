@@ -146,14 +146,14 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if learn is not None:
         known = known.where(learn)
-    h = F.xxhash64(F.col(id_col).cast("string"))
+    known = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     # few rows of each language per partition of hashes, then of all: no language's rows meet in one task
-    salted = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), h.alias("h"))
+    salted = known.select("lang", "id", F.xxhash64(F.col("id").cast("string")).alias("h"))
     w = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "id")
     some = salted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows)
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= rows)
     picked = some.select("id").distinct()  # at most `rows` for each language
-    texts = known.join(F.broadcast(picked), F.col(id_col) == F.col("id"), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    texts = known.join(F.broadcast(picked), "id", "left_semi")
     word = texts.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> ''").groupBy("lang", "w").count()
     order = Window.partitionBy("lang").orderBy(F.col("count").desc(), "w")
     word = word.withColumn("upto", F.sum(F.length("w") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= chars)
