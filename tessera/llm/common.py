@@ -60,7 +60,12 @@ def _marked(df: DataFrame, ids: DataFrame, column: str, most_bits: int) -> DataF
 
 def among(df: DataFrame, ids: DataFrame, column: str, most_bits: int = 1 << 26) -> DataFrame:
     """Rows of df whose `column` is in ids. Wide rows that can't match aren't shuffled."""
-    return _marked(df, ids, column, most_bits).where("_in").drop("_in").join(ids.select(column).distinct(), column, "left_semi").select(df.columns)
+    return may_be_in(df, ids, column, most_bits).join(ids.select(column).distinct(), column, "left_semi").select(df.columns)
+
+
+def may_be_in(df: DataFrame, ids: DataFrame, column: str, most_bits: int = 1 << 26) -> DataFrame:
+    """Rows of df whose `column` may be in ids, for an exact join behind it."""
+    return _marked(df, ids, column, most_bits).where("_in").drop("_in")
 
 
 def excluding(df: DataFrame, ids: DataFrame, column: str, most_bits: int = 1 << 26) -> DataFrame:

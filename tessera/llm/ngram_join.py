@@ -8,8 +8,8 @@ sequence as one; no words or null: the empty set, linked with nothing). Two text
 2. Sizes fall into geometric bands. In a band whose largest size is m, sketches have d(m, m) + 1 blocks of 64 bits: linked
    sets differ in at most d bits, so at least one block is equal (pigeonhole). A set stands in its own band and, if it can
    link to larger ones there, in the next.
-3. Texts with equal sets form a class; only class representatives are joined. Per block value, members meet a few hubs
-   (found by a partial aggregation, so a hot block isn't gathered); pairs pass a size test and the Hamming bound of a folded
+3. Texts with equal sets form a class; only class representatives are joined. Per block value, members meet two hubs,
+   its smallest and largest id (a partial aggregation, so a hot block isn't gathered); pairs pass a size test and the Hamming bound of a folded
    sketch before their texts are compared exactly. Links give components.
 4. What remains are pairs of different components in one block (of blocks with the same members one is kept): blocks of members are compared by Hamming bound within a
    task, pieces against pieces, and only pairs under the bound are emitted and compared exactly. Pairs inside a component
@@ -29,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, among, components, mix, pieces, sequence_hash, staged, utf8
+from .common import Words, among, components, may_be_in, mix, pieces, sequence_hash, staged, utf8
 
 _U = np.uint64
 FOLDED_WORDS = 16  # 1024 bits
 BAND_RATIO = 1.35
-HUBS = 2
 PIECE = 256  # members of a block that are compared at once
 
 
@@ -175,11 +174,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = staged(features.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "folded", "keys").dropDuplicates(["id"]), "reps")
 
     member = reps.select("id", F.explode("keys").alias("key"))
-    order = [F.col("id"), *(F.xxhash64("id", F.lit(i)) for i in range(1, HUBS))]
-    hubs = member.groupBy("key").agg(F.count("*").alias("m"), *(F.min_by("id", o).alias(f"h{i}") for i, o in enumerate(order)))
-    hubs = hubs.where("m > 1").drop("m")
-    met = staged(member.join(hubs, "key"), "met")  # members of blocks with others
-    tested = met.select("id", F.explode(F.array(*(f"h{i}" for i in range(HUBS)))).alias("hub")).where("id <> hub")
+    hubs = staged(member.groupBy("key").agg(F.min("id").alias("h0"), F.max("id").alias("h1")).where("h0 < h1"), "hubs")
+    met = staged(may_be_in(member, hubs, "key").join(hubs, "key"), "met")  # members of blocks with others
+    tested = met.select("id", F.explode(F.array("h0", "h1")).alias("hub")).where("id <> hub")
     first = _links(tested.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), reps, docs, k, t)
     roots = staged(components(first), "roots")
 
