@@ -34,7 +34,7 @@ from .common import Words, among, components, may_be_in, mix, pieces, sequence_h
 _U = np.uint64
 FOLDED_WORDS = 16  # 1024 bits
 BAND_RATIO = 1.35
-PIECE = 256  # members of a block that are compared at once
+PIECE = 2048  # members of a block that are compared at once; a larger block is met piece by piece
 
 
 def gram_set(h: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
