@@ -5,12 +5,17 @@ sequence as one; no words or null: the empty set, linked with nothing). Two text
 
 1. Every gram flips one bit of a parity sketch, so the Hamming distance of two sketches never exceeds |A ^ B|. Linked sets
    have |A ^ B| <= d = floor((|A| + |B|) * (1 - t) / (1 + t)).
-2. Sizes fall into geometric bands. In a band whose largest size is m, sketches have d(m, m) + 1 blocks of 64 bits: linked
-   sets differ in at most d bits, so at least one block is equal (pigeonhole). A set stands in its own band and, if it can
-   link to larger ones there, in the next.
-3. Texts with equal sets form a class; only class representatives are joined. Per block value, members meet two hubs,
-   its smallest and largest id (a partial aggregation, so a hot block isn't gathered); pairs pass a size test and the Hamming bound of a folded
-   sketch before their texts are compared exactly. Links give components.
+2. Sizes fall into geometric bands. In a band whose largest size is m, sketches have d(m, m) + 1 blocks or, in wide bands, an eighth more. A set
+   stands in its own band and, if it can link to larger ones there, in the next. Of the blocks it needs only the first
+   d(n, p) + 1, with n its size and p the largest that a partner in the band can have: linked sets differ in at most that
+   many bits less one, so at least one of the blocks that both have is equal (pigeonhole). In wide bands blocks without a
+   bit, which would be equal for most sets, are passed over: a set takes blocks until it has d(n, p) + 1 with bits; one of
+   those must be equal in the partner, which then takes it too. A block's bits are held as the XOR of 64-bit gram hashes.
+3. Texts with equal sets form a class; only class representatives are joined. A count finds the block values that more than
+   one has; only members of these go on. Per block value they meet two hubs, its smallest and largest id (a partial
+   aggregation, so a hot block isn't gathered); pairs pass a size test and the Hamming bounds of two folded sketches, a small
+   one first, before their texts are compared exactly. Links give components. Of the pairs one for each larger id comes first;
+   of the others only those remain whose ends are not yet in one component.
 4. What remains are pairs of different components in one block (of blocks with the same members one is kept): blocks of members are compared by Hamming bound within a
    task, pieces against pieces, and only pairs under the bound are emitted and compared exactly. Pairs inside a component
    need no test, so copies aren't expanded into all pairs and no link between components is lost.
@@ -33,6 +38,7 @@ from .common import Words, among, components, may_be_in, mix, pieces, sequence_h
 
 _U = np.uint64
 FOLDED_WORDS = 16  # 1024 bits
+SMALL_WORDS = 4  # the same sketch folded once more
 BAND_RATIO = 1.35
 PIECE = 2048  # members of a block that are compared at once; a larger block is met piece by piece
 
@@ -68,13 +74,45 @@ def band_tops(t: Fraction) -> list[int]:
     return tops
 
 
-def block_keys(s: np.ndarray, band: int, blocks: int) -> np.ndarray:
-    """One 64-bit key for each block of the parity sketch of set s."""
+def band_blocks(top: int, t: Fraction) -> tuple[int, bool]:
+    """(blocks of a band's sketches, whether blocks without bits are passed over)."""
+    need = most_different(2 * top, t) + 1
+    wide = top >= 200 and t >= Fraction(3, 4)
+    return (need + need // 8 + 8, True) if wide else (need, False)
+
+
+def block_keys(s: np.ndarray, band: int, blocks: int, need: int, skip: bool) -> np.ndarray:
+    """A 64-bit key for each of the first `need` blocks (with skip: of those with bits) of the parity sketch of set s."""
     r = mix(s ^ _U((band * 0x9E3779B97F4A7C15) % 2**64))
-    place = ((r >> _U(32)) % _U(blocks)) * _U(64) + (r & _U(63))
-    odd = (np.bincount(place.astype(np.int64), minlength=64 * blocks) & 1).astype(np.uint8)
-    value = np.packbits(odd, bitorder="little").view("<u8")
-    return mix(mix(value) + np.arange(blocks, dtype=np.uint64) * _U(0xD6E8FEB86659FD93) + _U(band)).view(np.int64)
+    place = ((r >> _U(32)) % _U(blocks)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    used, begin = np.unique(place[order], return_index=True)
+    value = np.bitwise_xor.reduceat(mix(r[order] + _U(3)), begin)
+    if skip:
+        used, value = used[value != 0][:need], value[value != 0][:need]
+        if len(used) < need:  # of a probability below 1e-10 for each set; never a silent loss
+            raise ArithmeticError(f"{len(used)} of {need} blocks have bits")
+    else:
+        every = np.zeros(blocks, np.uint64)
+        every[used] = value
+        used, value = np.arange(need), every[:need]
+    return mix(mix(value) + used.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(band)).view(np.int64)
+
+
+def set_keys(s: np.ndarray, tops: np.ndarray, t: Fraction) -> np.ndarray:
+    """Keys of all blocks that set s needs to meet every set it links to, equal ones apart."""
+    n, keys = len(s), [np.zeros(0, np.int64)]
+    most = n * t.denominator // t.numerator  # size of the largest partner
+    own = int(np.searchsorted(tops, n))
+    for band in (own, own + 1):
+        top = int(tops[band])
+        if band > own and most <= int(tops[own]):
+            continue
+        need = most_different(n + min(most, top), t) + 1
+        if need > 1:  # else only equal sets link
+            blocks, skip = band_blocks(top, t)
+            keys.append(block_keys(s, band, blocks, need, skip))
+    return np.concatenate(keys)
 
 
 def folded(s: np.ndarray) -> np.ndarray:
@@ -82,64 +120,86 @@ def folded(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<i8")
 
 
-FEATURES = "id long, n long, d1 long, d2 long, folded array<long>, keys array<long>"
+def _features(batches, k: int):
+    """Sizes and two digests of the sets."""
+    for piece in pieces(batches, "text"):
+        out: list[list] = [[], [], []]
+        for s in each_set(*utf8(piece.column(1)), k):
+            r = mix(s)
+            out[0].append(len(s))
+            out[1].append(int(r.sum(dtype=np.uint64).view(np.int64)))
+            out[2].append(int(np.bitwise_xor.reduce(mix(r + _U(1))).view(np.int64)) if len(s) else 0)
+        yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(x, pa.int64()) for x in out)], names=["id", "n", "d1", "d2"])
 
 
-def _features(batches, k: int, t: Fraction):
+def _sketches(batches, k: int, t: Fraction):
+    """Folded sketches and block keys of the sets."""
     tops = np.array(band_tops(t))
     for piece in pieces(batches, "text"):
-        data, at = utf8(piece.column(1))
-        out: list[list] = [[], [], [], [], []]
-        for s in each_set(data, at, k):
-            n = len(s)
-            out[0].append(n)
-            r = mix(s)
-            out[1].append(int(r.sum(dtype=np.uint64).view(np.int64)))
-            out[2].append(int(np.bitwise_xor.reduce(mix(r + _U(1))).view(np.int64)) if n else 0)
-            keys = [np.zeros(0, np.int64)]
-            if n:
-                band = int(np.searchsorted(tops, n))
-                for b in (band, band + 1):
-                    if b == band or n >= t * (int(tops[b - 1]) + 1):
-                        blocks = most_different(2 * int(tops[b]), t) + 1
-                        if blocks > 1:  # else only equal sets link, and they are one class
-                            keys.append(block_keys(s, b, blocks))
-            out[3].append(folded(s) if n else np.zeros(FOLDED_WORDS, np.int64))
-            out[4].append(np.concatenate(keys))
-        lists = []
-        for x in out[3:]:
-            lists.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(y) for y in x])]).astype(np.int32), pa.array(np.concatenate(x))))
-        yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(x, pa.int64()) for x in out[:3]), *lists], names=["id", "n", "d1", "d2", "folded", "keys"])
+        sizes, lists = [], [[], []]
+        for s in each_set(*utf8(piece.column(1)), k):
+            sizes.append(len(s))
+            lists[0].append(folded(s))
+            lists[1].append(set_keys(s, tops, t))
+        lists = [pa.ListArray.from_arrays(np.cumsum([0] + [len(y) for y in x]).astype(np.int32), pa.array(np.concatenate(x))) for x in lists]
+        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sizes, pa.int64()), *lists], names=["id", "n", "folded", "keys"])
 
 
 def _verified(batches, k: int, t: Fraction):
+    last, kept = None, None  # rows come sorted by a
     for batch in batches:
         a, b, x, y = (batch.column(i) for i in range(4))
         keep = []
         for i in range(batch.num_rows):
-            s = [next(each_set(*utf8(c.slice(i, 1)), k)) for c in (x, y)]
-            both = len(np.intersect1d(*s, assume_unique=True))
-            keep.append(both * t.denominator >= t.numerator * (len(s[0]) + len(s[1]) - both))
+            if last != a[i]:
+                last, kept = a[i], next(each_set(*utf8(x.slice(i, 1)), k))
+            other = next(each_set(*utf8(y.slice(i, 1)), k))
+            both = len(np.intersect1d(kept, other, assume_unique=True))
+            keep.append(both * t.denominator >= t.numerator * (len(kept) + len(other) - both))
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _hamming(x: str, y: str) -> str:
-    return " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(FOLDED_WORDS))
+def _small() -> str:
+    """SQL for the small sketch of `folded`: a bit of it is the parity of the bits that fall together."""
+    return "array(" + ", ".join(" ^ ".join(f"folded[{i}]" for i in range(w, FOLDED_WORDS, SMALL_WORDS)) for w in range(SMALL_WORDS)) + ")"
 
 
-def _links(pairs: DataFrame, features: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """Those of the pairs (a < b) that link."""
-    f = features.select("id", "n", "folded")
-    p = pairs.join(f.toDF("a", "na", "fa"), "a").join(f.toDF("b", "nb", "fb"), "b")
+def _bounded(pairs: DataFrame, sketches: DataFrame, words: int, t: Fraction) -> DataFrame:
+    """Those of the pairs (a, b) under the size test and the Hamming bound; sketches: id, n, sketch of so many words."""
+    p = pairs.join(sketches.toDF("a", "na", "fa"), "a").join(sketches.toDF("b", "nb", "fb"), "b")
     ratio = f"least(na, nb) * {t.denominator} >= greatest(na, nb) * {t.numerator}"
     bound = f"floor((na + nb) * {t.denominator - t.numerator} / {t.denominator + t.numerator})"
-    p = staged(p.where(ratio).where(f"{_hamming('fa', 'fb')} <= {bound}").select("a", "b").distinct(), "pairs")
+    away = " + ".join(f"bit_count(fa[{i}] ^ fb[{i}])" for i in range(words))
+    return p.where(ratio).where(f"{away} <= {bound}").select("a", "b")
+
+
+def _links(p: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """Those of the pairs (a < b) that link. The larger ids' texts come first: one hub's text isn't copied through a shuffle."""
     ids = staged(p.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = staged(among(docs, ids, "id"), "texts")
-    both = p.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    texts = staged(among(docs, ids, "id").dropDuplicates(["id"]), "texts")
+    both = p.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
     return staged(both.mapInArrow(lambda it: _verified(it, k, t), "a long, b long"), "links")
 
 
+def _connected(pairs: DataFrame, links: DataFrame | None, reps: DataFrame, docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(links and those among the pairs (a < b) that components need, (node, root) of their components)."""
+    p = _bounded(pairs, reps.select("id", "n", F.expr(_small())), SMALL_WORDS, t)
+    p = staged(_bounded(p, reps.select("id", "n", "folded"), FOLDED_WORDS, t).distinct(), "pairs")
+    tested = staged(p.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tested")
+    for _ in range(2):
+        found = _links(tested, docs, k, t)
+        links = found if links is None else links.union(found)
+        roots = staged(components(links), "roots")
+        rest = p.join(tested, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            rest = rest.join(roots.toDF(end, f"root_{end}"), end, "left")
+        tested = staged(rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "tested")
+        if tested.isEmpty():
+            break
+        p = tested
+    return links, roots
+
+
 def _near_in_block(batches, t: Fraction):
     """Pairs of different components, under the Hamming bound, in rows of pieces of a block."""
     for batch in batches:
@@ -148,7 +208,7 @@ def _near_in_block(batches, t: Fraction):
             ids = [np.array([m["id"] for m in side]) for side in (left, right)]
             n = [np.array([m["n"] for m in side]) for side in (left, right)]
             root = [np.array([m["root"] for m in side]) for side in (left, right)]
-            s = [np.array([m["folded"] for m in side], np.int64).view(np.uint64) for side in (left, right)]
+            s = [np.array([m["sketch"] for m in side], np.int64).view(np.uint64) for side in (left, right)]
             found_a, found_b = [], []
             for i in range(len(left)):
                 away = np.bitwise_count(s[1] ^ s[0][i]).sum(axis=1)
@@ -169,16 +229,17 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     never null (rows with a null id are left out)."""
     t = Fraction(threshold)
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    features = staged(docs.mapInArrow(lambda it: _features(it, k, t), FEATURES), "features")
+    features = staged(docs.mapInArrow(lambda it: _features(it, k), "id long, n long, d1 long, d2 long"), "features")
     classes = staged(features.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
-    reps = staged(features.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "folded", "keys").dropDuplicates(["id"]), "reps")
+    texts = among(docs, classes.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"])
+    reps = staged(texts.mapInArrow(lambda it: _sketches(it, k, t), "id long, n long, folded array<long>, keys array<long>"), "reps")
 
     member = reps.select("id", F.explode("keys").alias("key"))
-    hubs = staged(member.groupBy("key").agg(F.min("id").alias("h0"), F.max("id").alias("h1")).where("h0 < h1"), "hubs")
-    met = staged(may_be_in(member, hubs, "key").join(hubs, "key"), "met")  # members of blocks with others
-    tested = met.select("id", F.explode(F.array("h0", "h1")).alias("hub")).where("id <> hub")
-    first = _links(tested.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), reps, docs, k, t)
-    roots = staged(components(first), "roots")
+    often = staged(member.groupBy("key").count().where("count > 1").select("key"), "often")
+    met = staged(may_be_in(member, often, "key").join(often, "key", "left_semi").select("id", "key"), "met")  # members of blocks with others
+    hubs = met.groupBy("key").agg(F.min("id").alias("h0"), F.max("id").alias("h1")).where("h0 < h1")
+    tested = met.join(hubs, "key").select("id", F.explode(F.array("h0", "h1")).alias("hub")).where("id <> hub")
+    links, roots = _connected(tested.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), None, reps, docs, k, t)
 
     named = met.select("id", "key").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     named = staged(named, "named")
@@ -187,14 +248,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # of the blocks with the same members one is enough: they stand for the same pairs
     open_keys = open_keys.where("lo < hi").groupBy("m", "x", "s").agg(F.min("key").alias("key")).select("key", "m")
     piece = F.pmod(F.xxhash64("id", F.lit(9)), F.ceil(F.col("m") / PIECE))
-    left = named.join(open_keys, "key").withColumn("piece", piece).join(reps.select("id", "n", "folded"), "id")
-    blocks = left.groupBy("key", "piece").agg(F.collect_list(F.struct("id", "n", "root", "folded")).alias("members"), F.first("m").alias("m"))
+    left = named.join(open_keys, "key").withColumn("piece", piece).join(reps.select("id", "n", F.expr(_small()).alias("sketch")), "id")
+    blocks = left.groupBy("key", "piece").agg(F.collect_list(F.struct("id", "n", "root", "sketch")).alias("members"), F.first("m").alias("m"))
     blocks = staged(blocks, "blocks")
     a = blocks.select("key", F.col("piece").alias("p"), F.col("members").alias("left"), F.explode(F.sequence("piece", F.ceil(F.col("m") / PIECE) - 1)).alias("piece"))
     paired = a.join(blocks.select("key", "piece", F.col("members").alias("right")), ["key", "piece"]).select("left", "right")
     near = paired.mapInArrow(lambda it: _near_in_block(it, t), "a long, b long").distinct()
-    second = _links(near, reps, docs, k, t)
-    roots = staged(components(first.union(second)), "roots")
+    _, roots = _connected(near, links, reps, docs, k, t)
 
     of_rep = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
     out = features.select("id", "n", "d1", "d2").join(of_rep, ["n", "d1", "d2"], "left")
