@@ -6,7 +6,7 @@ sequence as one; no words or null: the empty set, linked with nothing). Two text
 1. Every gram flips one bit of a parity sketch, so the Hamming distance of two sketches never exceeds |A ^ B|. Linked sets
    have |A ^ B| <= d = floor((|A| + |B|) * (1 - t) / (1 + t)).
 2. Sizes fall into geometric bands. In a band whose largest size is m, sketches have d(m, m) + 1 blocks or, in wide bands, an eighth more. A set
-   stands in its own band and, if it can link to larger ones there, in the next. Of the blocks it needs only the first
+   stands in its own band and, if it can link to larger ones there, in the next ones. Of the blocks it needs only the first
    d(n, p) + 1, with n its size and p the largest that a partner in the band can have: linked sets differ in at most that
    many bits less one, so at least one of the blocks that both have is equal (pigeonhole). In wide bands blocks without a
    bit, which would be equal for most sets, are passed over: a set takes blocks until it has d(n, p) + 1 with bits; one of
@@ -104,10 +104,8 @@ def set_keys(s: np.ndarray, tops: np.ndarray, t: Fraction) -> np.ndarray:
     n, keys = len(s), [np.zeros(0, np.int64)]
     most = n * t.denominator // t.numerator  # size of the largest partner
     own = int(np.searchsorted(tops, n))
-    for band in (own, own + 1):
+    for band in range(own, int(np.searchsorted(tops, most)) + 1):
         top = int(tops[band])
-        if band > own and most <= int(tops[own]):
-            continue
         need = most_different(n + min(most, top), t) + 1
         if need > 1:  # else only equal sets link
             blocks, skip = band_blocks(top, t)
