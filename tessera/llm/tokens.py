@@ -50,8 +50,9 @@ _loaded: dict = {}
 
 
 def per_worker(key, make: Callable):
-    """What `make` gives, made once in each Python worker."""
+    """What `make` gives, kept in each Python worker until it is asked for another one: a worker holds one model at a time."""
     if key not in _loaded:
+        _loaded.clear()
         _loaded[key] = make()
     return _loaded[key]
 
