@@ -10,11 +10,21 @@ def squared_l2(a: F.Column, b: F.Column) -> F.Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, d: s + d)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = 16) -> DataFrame:
-    """(query_id, vec_id, d2, rank) of the k nearest other vectors. Queries go to each of `blocks` blocks of vectors; each
-    block keeps its own k before blocks are merged."""
+def _distances(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, blocks: int) -> DataFrame:
+    """(query_id, vec_id, block, d2): queries go to each of `blocks` blocks of vectors."""
     v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"))
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    d = q.join(v, "block").where("query_id <> vec_id").select("query_id", "vec_id", "block", squared_l2(F.col("q"), F.col("v")).alias("d2"))
+    return q.join(v, "block").where("query_id <> vec_id").select("query_id", "vec_id", "block", squared_l2(F.col("q"), F.col("v")).alias("d2"))
+
+
+def within(vectors: DataFrame, queries: DataFrame, d2: float, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = 16) -> DataFrame:
+    """(query_id, n): number of other vectors nearer than a squared distance, also where it is 0."""
+    d = _distances(vectors, queries, id_col, vector_col, blocks)
+    return d.groupBy("query_id").agg(F.count_if(F.col("d2") < d2).alias("n"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = 16) -> DataFrame:
+    """(query_id, vec_id, d2, rank) of the k nearest other vectors. Each block keeps its own k before blocks are merged."""
+    d = _distances(vectors, queries, id_col, vector_col, blocks)
     some = d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "block").orderBy("d2", "vec_id"))).where(F.col("rank") <= k)
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "vec_id"))).where(F.col("rank") <= k).drop("block")

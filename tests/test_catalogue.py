@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import catalogue
+from tessera.plans import catalogue, evaluation_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -4,8 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import codec, text
-from tessera.operators import metrics, ordering, sequences, windows
+from tessera.functions import codec, scoring, text
+from tessera.operators import evaluation, metrics, ordering, sequences, windows
 from tessera.sources import measurement_records, readers
 from tessera.streaming import metrics as live
 
@@ -88,3 +88,22 @@ def test_streams(spark, tmp_path):
     assert [r["mean"] for r in spark.sql("SELECT mean FROM avg ORDER BY step").collect()] == [0.0, 0.5, 1.5, 2.5, 3.5]
     assert spark.sql("SELECT * FROM trig").count() == 1
     assert t
+
+
+def test_scoring(spark):
+    df = spark.sql("SELECT 'v5e' AS v, 'a3mega' AS a, 256L AS n, array(9, 255, 8) AS t, array(1, 2, null) AS x, array(1, 2, 3) AS y, cast(array() AS array<int>) AS z, '3 failed, 12 passed in 1s' AS line, 'plain' AS name")
+    c = F.col
+    assert df.select(scoring.node_count(c("v"), c("n")), scoring.node_count(c("a"), c("n")), scoring.node_count(F.lit("cpu"), c("n"))).first()[:] == (64, 32, 256)
+    assert df.select(scoring.insert_sequence(c("t"), 255, [255, -2], 5), scoring.insert_sequence(c("z"), 255, [1], 2)).first()[:] == ([9, 255, -2, 8, 0], [0, 0])
+    assert df.select(scoring.common_prefix(c("x"), c("y")), scoring.common_prefix(c("y"), c("y")), scoring.common_prefix(c("z"), c("y"))).first()[:] == (2, 3, 0)
+    assert df.select(scoring.alternate(c("t"), c("y")), scoring.alternate(c("z"), c("y"))).first()[:] == ([9, 1, 255, 2, 8, 3], [])
+    assert df.select(*scoring.test_summary(c("line")), *scoring.shard_name(c("name"))).first()[:] == (12, 3, None, None, None)
+
+
+def test_nucleus_keeps_the_last_and_ties(spark):
+    rows = [(1, i, x) for i, x in enumerate((3.0, 2.0, 2.0, -5.0))] + [(2, 0, 1.0)]
+    df = spark.createDataFrame(rows, "g int, i int, x double")
+    assert sorted((r["g"], r["i"]) for r in evaluation.nucleus(df, ["g"], "x", "i", 0.7).collect()) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    assert evaluation.nucleus(df, ["g"], "x", "i", 1.5).count() == 5
+    assert evaluation.pad_to_batches(df.select("i"), 5, 4, "i").where("weight = 0").count() == 3
+    assert evaluation.pad_to_batches(df.select("i"), 5, 5, "i").count() == 5
