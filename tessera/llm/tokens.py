@@ -38,7 +38,8 @@ class Memo(dict):
             self.clear()
 
     def __missing__(self, word):
-        self.room(1)
+        if len(self) >= self.most:
+            self.room(1)
         value = self.old.get(word, self)
         if value is self:
             value = self.make(word)
@@ -128,7 +129,8 @@ class PrefixBPE:
             self.link[to] = self.step(self.link[parent], c) if parent else 0
             self.ending[to] = ((own[to],) if to in own else ()) + self.ending[self.link[to]]
             queue += [(to, d, below) for d, below in children[to].items()]
-        self.longest_final = max(map(len, self.final))
+        #: every end of the tokens with word end: the token that it is, or -1
+        self.tails = {x[k:]: -1 for x in self.final for k in range(len(x))} | self.final
         self.marks = frozenset(".,;:!?")
         #: for prefixes seen: (automaton state, the one token that can end its encoding, its length)
         self.prefixes: dict[str, tuple[int, int, int]] = {}
@@ -188,34 +190,42 @@ class PrefixBPE:
 
     def piece(self, s: str) -> list[int]:
         """Ids of one word, given as the names of its bytes."""
-        n, seen, fits = len(s), self.prefixes, self.fits
-        path, at = [(0, -1, 0)], 0
-        for j in range(1, n):
-            prefix = s[:j]
-            found = seen.get(prefix)
-            if found is None:
-                at = self.step(path[-1][0], s[j - 1])
-                for length, i in self.ending[at]:
-                    before = path[j - length][1]
-                    if before < 0 and length == j or before >= 0 and (fits.get(before << 20 | i) or self.compatible(before, i)):
-                        break
-                else:
-                    raise ValueError(f"the vocabulary doesn't cover {s!r}")
-                if len(seen) > MEMO_WORDS:
-                    seen.clear()
-                found = seen[prefix] = (at, i, length)
-            path.append(found)
-        for length in range(min(n, self.longest_final), 0, -1):
-            i = self.final.get(s[n - length :])
-            if i is not None:
-                before = path[n - length][1]
-                if before < 0 or fits.get(before << 20 | i) or self.compatible(before, i):
+        n, seen, fits, ending = len(s), self.prefixes, self.fits, self.ending
+        if len(seen) > MEMO_WORDS:
+            seen.clear()
+        m = n - 1  # a known prefix has all of its own prefixes known: go on from the longest
+        while m > 0 and s[:m] not in seen:
+            m -= 1
+        at = seen[s[:m]][0] if m > 0 else 0
+        for j in range(m + 1, n):
+            at = self.step(at, s[j - 1])
+            for length, i in ending[at]:
+                if length == j:
                     break
+                before = seen[s[: j - length]][1]
+                if fits.get(before << 20 | i) or self.compatible(before, i):
+                    break
+            else:
+                raise ValueError(f"the vocabulary doesn't cover {s!r}")
+            seen[s[:j]] = (at, i, length)
+        found, tails = [], self.tails
+        for length in range(1, n + 1):
+            i = tails.get(s[n - length :])
+            if i is None:
+                break
+            if i >= 0:
+                found.append((length, i))
+        for length, i in reversed(found):
+            if length == n:
+                break
+            before = seen[s[: n - length]][1]
+            if fits.get(before << 20 | i) or self.compatible(before, i):
+                break
         else:
             raise ValueError(f"the vocabulary doesn't cover {s!r}")
         out, n = [i], n - length
         while n:
-            _, i, length = path[n]
+            _, i, length = seen[s[:n]]
             out.append(i)
             n -= length
         out.reverse()
