@@ -9,7 +9,10 @@ Words are runs without ASCII whitespace, compared as they are; shingles are five
   meet when equal. Anchors are at most a few words apart, so each passage of 50 words holds whole windows.
 
 Members of a band value join to its first member (smallest id, then place), which a partial aggregation finds, so a hot value is
-neither gathered nor expanded into pairs; the join is split by AQE. Window matches of two documents at the same
+neither gathered nor expanded into pairs; the join is split by AQE. What the first member leaves open is met in a second step,
+in which members of a band value are compared piece by piece within a task: lines not yet in one component by the Jaccard
+similarity of their sets, of which only the pairs that join components come out; windows whose run with the first member doesn't
+hold with every earlier member, of which the smallest with a run that holds comes out. Window matches of two documents at the same
 distance melt into runs. Both texts of a candidate are then compared: lines by the exact Jaccard similarity of their shingle
 sets, runs word by word, grown to both sides as far as the texts agree. Lines that are similar enough give components; in
 each component only the first line stays. Of equal windows the first stays. A passage goes if it has at least `min_words`
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, among, components, matched, mix, pieces, staged, utf8
@@ -34,6 +37,7 @@ BANDS = 6
 BAND_ROWS = 2
 SHINGLE = 5
 CONTEXT = 60  # words fetched on each side of a run, to grow it
+PIECE = 512  # members of a band value that are compared at once; a larger one is met piece by piece
 _U = np.uint64
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
 UNITS = "key long, id long, place long, lead boolean"
@@ -129,6 +133,41 @@ def _regions(batches):
             yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(wanted), pa.int64()), *(pa.array(x, k) for x, k in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.string())))], names=["id", "lo", "hi", "at", "region"])
 
 
+def _hashes(batches):
+    """Word hashes of the wanted units (with lo and hi) of each document, from word `at` on."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            w = Words(*utf8(batch.column(1).slice(row, 1)), fold=False)
+            wanted = batch.column(2)[row].as_py()
+            at = [max(x["lo"], 0) for x in wanted]
+            parts = [w.hash[a : x["hi"]] for a, x in zip(at, wanted)]
+            words = pa.ListArray.from_arrays(np.cumsum([0] + [len(x) for x in parts]).astype(np.int32), pa.array(np.concatenate(parts).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(wanted), pa.int64()), pa.array([x["place"] for x in wanted], pa.int64()), pa.array(at, pa.int32()), words], names=["id", "place", "at", "words"])
+
+
+def _runs(x, y, i: int, j: int, n: int, min_words: int, threshold: float) -> list[tuple[int, int, int, int]]:
+    """(place in x, words, place in y, words) of what holds of the run of n words from x[i] and y[j] on."""
+    e = i + n
+    while i > 0 and j > 0 and x[i - 1] == y[j - 1]:
+        i, j = i - 1, j - 1
+    while e < len(x) and j + e - i < len(y) and x[e] == y[j + e - i]:
+        e += 1
+    a, b = ({tuple(z[k : k + SHINGLE]) for k in range(s, s + e - i - SHINGLE + 1)} for z, s in ((x, i), (y, j)))
+    both = len(a & b)
+    out = []
+    if both >= threshold * (len(a) + len(b) - both):
+        out = [(i, e - i, j, e - i)]
+    else:  # only stretches of it agree
+        k = 0
+        while k < e - i:
+            f = k
+            while f < e - i and x[i + f] == y[j + f]:
+                f += 1
+            out.append((i + k, f - k, j + k, f - k))
+            k = f + 1
+    return [r for r in out if r[1] >= min_words]
+
+
 def _compared(batches, min_words: int, threshold: float):
     """Candidates with both regions: those that hold, with the grown run for windows."""
     for batch in batches:
@@ -143,24 +182,7 @@ def _compared(batches, min_words: int, threshold: float):
                     continue
                 out_rows = [(r["start"], n, r["hub_start"], r["hub_n"], True)]
             else:
-                e = i + n
-                while i > 0 and j > 0 and x[i - 1] == y[j - 1]:
-                    i, j = i - 1, j - 1
-                while e < len(x) and j + e - i < len(y) and x[e] == y[j + e - i]:
-                    e += 1
-                a, b = ({tuple(z[k : k + SHINGLE]) for k in range(s, s + e - i - SHINGLE + 1)} for z, s in ((x, i), (y, j)))
-                both = len(a & b)
-                out_rows = []
-                if both >= threshold * (len(a) + len(b) - both):
-                    out_rows = [(r["at"] + i, e - i, r["hub_at"] + j, e - i, False)]
-                else:  # only stretches of it agree
-                    k = 0
-                    while k < e - i:
-                        f = k
-                        while f < e - i and x[i + f] == y[j + f]:
-                            f += 1
-                        out_rows.append((r["at"] + i + k, f - k, r["hub_at"] + j + k, f - k, False))
-                        k = f + 1
+                out_rows = [(r["at"] + p, m, r["hub_at"] + q, k, False) for p, m, q, k in _runs(x, y, i, j, n, min_words, threshold)]
             for start, length, hub_start, hub_n, line in out_rows:
                 if length >= min_words:
                     for c, v in zip(out, (r["id"], start, length, r["hub"], hub_start, hub_n, line)):
@@ -169,22 +191,125 @@ def _compared(batches, min_words: int, threshold: float):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["id", "start", "n", "hub", "hub_start", "hub_n", "line"])
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, threshold: float = 0.8) -> DataFrame:
-    """(id, start, n, keeper, keeper_start, line): passages to remove, in words from `start` on; `keeper` has the one that stays."""
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    units = staged(base.mapInArrow(lambda it: _units(it, min_words), UNITS), "units")
-    shared = units.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("hi")).where("hub < hi").select("key", "hub")
-    met = staged(units.join(shared, "key"), "shared")
-    first = met.where("id = hub AND lead").select("key", F.col("place").alias("hub_place"))  # one for each key
-    met = met.where("id <> hub").join(first, "key")
+class Side:
+    """A piece of a band value's members."""
+
+    def __init__(self, members):
+        x = members.values
+        self.id, self.place, self.root, self.at = (x.field(n).to_numpy(zero_copy_only=False).copy() for n in ("id", "place", "root", "at"))
+        ends = np.cumsum(x.field("words").value_lengths().to_numpy())[:-1]
+        self.words = np.split(x.field("words").flatten().to_numpy().view(np.uint64), ends)
+        self.grams = [_shingles(w) for w in self.words]
+
+    def index(self) -> None:
+        """For `shared`: the shingles of all members, and where each member's begin."""
+        self.size = np.array([len(g) for g in self.grams])
+        self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.known, self.number = np.unique(np.concatenate(self.grams), return_inverse=True)
+
+    def shared(self, grams: np.ndarray) -> np.ndarray:
+        """How many of each member's shingles are among these."""
+        flag = np.zeros(len(self.known) + 1, bool)
+        at = np.searchsorted(self.known, grams)
+        at = at[at < len(self.known)][self.known[at[at < len(self.known)]] == grams[at < len(self.known)]]
+        flag[at] = True
+        total = np.concatenate([[0], np.cumsum(flag[self.number])])
+        return total[self.first + self.size] - total[self.first]
+
+
+def _shingles(h: np.ndarray) -> np.ndarray:
+    m = len(h) - SHINGLE + 1
+    out = np.zeros(max(m, 0), np.uint64)
+    for j in range(SHINGLE if m > 0 else 0):
+        out = mix(out * _U(0x9E3779B97F4A7C15) + h[j : j + m])
+    return out
+
+
+def _near_lines(batches, threshold: float):
+    """Similar lines of different documents and components in rows of two pieces; of all pairs those that join components."""
+    names = ["id", "place", "hub", "hub_place"]
+    for batch in batches:
+        for row in range(batch.num_rows):
+            x, y = (Side(batch.column(i)[row]) for i in range(2))
+            for side in (x, y):
+                side.grams = [np.unique(g) for g in side.grams]
+            y.index()
+            found = []
+            for i, g in enumerate(x.grams):
+                other = (y.root != x.root[i]) & (y.id != x.id[i])
+                if not other.any():
+                    continue
+                both = y.shared(g)
+                for j in np.flatnonzero(other & (both >= threshold * (len(g) + y.size - both))).tolist():
+                    old, new = y.root[j], x.root[i]
+                    if old != new:
+                        found.append((x.id[i], x.place[i], y.id[j], y.place[j]))
+                        for side in (x, y):
+                            side.root[side.root == old] = new
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*found)], names=names)
+
+
+def _near_windows(batches, min_words: int, threshold: float):
+    """For each open window (root 1) of rows of two pieces the earliest document with which a run holds."""
+    names = ["id", "place", "hub", "hub_place"]
+    for batch in batches:
+        for row in range(batch.num_rows):
+            sides = [Side(batch.column(i)[row]) for i in range(2)]
+            same = batch.column(2)[row].as_py()
+            found = []
+            for x, y in (sides,) if same else (sides, sides[::-1]):
+                y.index()
+                for i in np.flatnonzero(x.root == 1).tolist():
+                    enough = (y.id < x.id[i]) & (y.shared(x.grams[i]) >= int(threshold * (min_words - SHINGLE + 1)))
+                    near = np.flatnonzero(enough)
+                    for j in near[np.lexsort((y.place[near], y.id[near]))].tolist():
+                        at, hub_at = (int(s.place[k] >> 32) - int(s.at[k]) for s, k in ((x, i), (y, j)))
+                        if _runs(x.words[i].tolist(), y.words[j].tolist(), at, hub_at, WINDOW, min_words, threshold):
+                            found.append((x.id[i], x.place[i], y.id[j], y.place[j]))
+                            break
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*found)], names=names)
+
+
+def _pieces_met(members: DataFrame, base: DataFrame, around: int, f) -> DataFrame:
+    """(id, place, hub, hub_place) that f finds when the members (key, id, place, root) of each key are compared, pieces against
+    pieces. Of keys with the same members one is kept."""
+    h = F.xxhash64("id", "place", F.lit(8))
+    keys = members.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s"))
+    keys = keys.groupBy("m", "x", "s").agg(F.min("key").alias("key")).select("key", "m")
+    members = staged(members.join(keys, "key"), "open")
+    start, n = F.shiftright("place", 32), F.shiftright(F.col("place").bitwiseAND(4294967295), 1)
+    units = members.select("id", "place", (start - around).cast("int").alias("lo"), (start + n + around).cast("int").alias("hi")).distinct()
+    wanted = staged(units.groupBy("id").agg(F.collect_list(F.struct("place", "lo", "hi")).alias("wanted")), "wanted")
+    near = among(base, wanted.select("id"), "id").join(wanted, "id").select("id", "text", "wanted")
+    hashes = staged(near.mapInArrow(_hashes, "id long, place long, at int, words array<long>"), "hashes")
+    pieces_of = F.ceil(F.col("m") / PIECE)
+    left = members.withColumn("piece", F.pmod(F.xxhash64("id", F.lit(9)), pieces_of)).join(hashes, ["id", "place"])
+    blocks = staged(left.groupBy("key", "piece").agg(F.collect_list(F.struct("id", "place", "root", "at", "words")).alias("members"), F.first("m").alias("m")), "blocks")
+    a = blocks.select("key", F.col("piece").alias("p"), F.col("members").alias("left"), F.explode(F.sequence("piece", pieces_of - 1)).alias("piece"))
+    paired = a.join(blocks.select("key", "piece", F.col("members").alias("right")), ["key", "piece"]).select("left", "right", (F.col("p") == F.col("piece")).alias("same"))
+    conf, most = base.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(most)
+    conf.set(most, "32")  # rows are wide: up to two pieces of PIECE members
+    try:
+        return staged(paired.mapInArrow(f, "id long, place long, hub long, hub_place long").distinct(), "more")
+    finally:
+        conf.set(most, before)
+
+
+def _edges(held: DataFrame) -> DataFrame:
+    return held.where("line").select(F.xxhash64("id", "start").alias("a"), F.xxhash64("hub", "hub_start").alias("b"))
+
+
+def _held(met: DataFrame, base: DataFrame, min_words: int, threshold: float) -> DataFrame:
+    """Those of the pairs of units (id, place, hub, hub_place) that hold, windows melted to runs and grown."""
     fields = [f"cast({x} AS int) AS {p}{n}" for p in ("", "hub_") for x, n in ((f"shiftright({p}place, 32)", "start"), (f"shiftright({p}place & 4294967295, 1)", "n"))]
     met = met.selectExpr("id", "hub", "(place & 1) = 1 AS line", *fields)
     met = staged(met, "met")
     lines = met.where("line").distinct()
     # windows at one distance that touch or lie near melt into runs
     far = F.col("start") - F.col("hub_start")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("id", "hub", "far").orderBy("start")
     gap = F.when(F.col("start") - F.lag("start").over(order) > 2 * WINDOW, 1).otherwise(0)
     runs = met.where("not line").select("id", "hub", far.alias("far"), "start").distinct().withColumn("gap", gap)
@@ -199,14 +324,41 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     near = among(base, wanted.select("id"), "id").join(wanted, "id").select("id", "text", "wanted")
     regions = staged(near.mapInArrow(_regions, "id long, lo int, hi int, at int, region string"), "regions")
     both = found.join(regions, ["id", "lo", "hi"]).join(regions.toDF("hub", "hub_lo", "hub_hi", "hub_at", "hub_region"), ["hub", "hub_lo", "hub_hi"])
-    held = staged(both.mapInArrow(lambda it: _compared(it, min_words, threshold), "id long, start int, n int, hub long, hub_start int, hub_n int, line boolean"), "held")
+    return staged(both.mapInArrow(lambda it: _compared(it, min_words, threshold), "id long, start int, n int, hub long, hub_start int, hub_n int, line boolean"), "held")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, threshold: float = 0.8) -> DataFrame:
+    """(id, start, n, keeper, keeper_start, line): passages to remove, in words from `start` on; `keeper` has the one that stays."""
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    units = staged(base.mapInArrow(lambda it: _units(it, min_words), UNITS), "units")
+    shared = units.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("hi"), F.count("*").alias("m")).where("hub < hi").select("key", "hub", "m")
+    every = staged(units.join(shared, "key"), "shared")
+    first = every.where("id = hub AND lead").select("key", F.col("place").alias("hub_place"))  # one for each key
+    met = every.where("id <> hub").join(first, "key").select("id", "place", "hub", "hub_place")
+    held = _held(met, base, min_words, threshold)
+
+    # what the hubs leave open
+    every = every.where("m > 2")  # else the one pair is tested
+    node = F.xxhash64("id", F.shiftright("place", 32).cast("int"))
+    roots = staged(components(_edges(held)), "roots")
+    lines = every.where("(place & 1) = 1").select("key", "id", "place", node.alias("node")).join(roots, "node", "left").select("key", "id", "place", F.coalesce("root", "node").alias("root"))
+    lines = staged(lines, "lines")
+    apart = lines.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("i"), F.max("id").alias("j")).where("lo < hi AND i < j").select("key")
+    more = _pieces_met(lines.join(apart, "key"), base, 0, lambda it: _near_lines(it, threshold))
+    done = held.where("not line").groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("done"))
+    windows = every.where("(place & 1) = 0").select("key", "id", "place", "hub", F.shiftright("place", 32).alias("at")).join(done, "id", "left")
+    covered = f"coalesce(exists(done, d -> d.start <= at AND at + {WINDOW} <= d.start + d.n), false)"
+    windows = staged(windows.selectExpr("key", "id", "place", f"if(id = hub OR {covered}, 0L, 1L) AS root"), "windows")
+    apart = windows.groupBy("key").agg(F.max("root").alias("open")).where("open = 1").select("key")
+    windows = windows.join(apart, "key")
+    more = more.union(_pieces_met(windows, base, CONTEXT, lambda it: _near_windows(it, min_words, threshold)))
+    held = held.union(_held(more, base, min_words, threshold))
 
     # lines: in each component of similar lines the first stays
     similar = held.where("line")
     ends = similar.select(F.col("id").alias("i"), F.col("start").alias("s"), "n").union(similar.select("hub", "hub_start", "hub_n")).distinct()
     names = staged(ends.select("i", "s", "n", F.xxhash64("i", "s").alias("node")), "names")
-    edges = similar.select(F.xxhash64("id", "start").alias("a"), F.xxhash64("hub", "hub_start").alias("b"))
-    named = components(edges).join(names, "node")
+    named = components(_edges(held)).join(names, "node")
     keeper = named.groupBy("root").agg(F.min(F.struct("i", "s")).alias("k"))
     gone = named.join(keeper, "root").where("i <> k.i").select(F.col("i").alias("id"), F.col("s").alias("start"), "n", F.col("k.i").alias("keeper"), F.col("k.s").alias("keeper_start"), F.lit(True).alias("line"))
     exact = held.where("not line").select("id", "start", "n", F.col("hub").alias("keeper"), F.col("hub_start").alias("keeper_start"), "line")
