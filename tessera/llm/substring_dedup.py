@@ -6,15 +6,16 @@ Words are runs without ASCII whitespace, compared as they are; shingles are five
   meets with probability 1 - (1 - 0.8 ** rows) ** bands = 0.997.
 * windows of WINDOW words from content-chosen anchors (places where the hash of a word pair is the least within REACH words), so
   that a passage is cut alike wherever it was pasted, also inside a line. They have one band, of their whole set: windows
-  meet when equal. Anchors are at most a few words apart, so each passage of 50 words holds whole windows.
+  meet when equal. Anchors are a few words apart, so of a passage of 50 words with an edit in it some windows are whole.
 
 Members of a band value join to its first member (smallest id, then place), which a partial aggregation finds, so a hot value is
 neither gathered nor expanded into pairs; the join is split by AQE. What the first member leaves open is met in a second step,
 in which members of a band value are compared piece by piece within a task: lines not yet in one component by the Jaccard
 similarity of their sets, of which only the pairs that join components come out; windows whose run with the first member doesn't
-hold with every earlier member, of which the smallest with a run that holds comes out. Window matches of two documents at the same
-distance melt into runs. Both texts of a candidate are then compared: lines by the exact Jaccard similarity of their shingle
-sets, runs word by word, grown to both sides as far as the texts agree. Lines that are similar enough give components; in
+hold with every earlier member, of which the smallest with a run that holds comes out. Window matches of two documents at
+nearly the same distance melt into stretches. Both texts of a candidate are then compared: lines by the exact Jaccard similarity of their shingle
+sets, stretches word by word, grown to both sides over edits of a few words as far as the shingles of both sides, aligned, keep
+the Jaccard similarity; only then is the length looked at. Lines that are similar enough give components; in
 each component only the first line stays. Of equal windows the first stays. A passage goes if it has at least `min_words`
 words, and stays in the first document that has it. Repeats inside one document are left alone.
 
@@ -26,13 +27,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, among, components, matched, mix, pieces, staged, utf8
 
-WINDOW = 25
-REACH = 6
+WINDOW = 12
+REACH = 4
+MELT = 50  # words between two windows of one stretch at most
+SLACK = 8  # by so many words their distances may differ
+EDIT = 4  # words of one edit that growth goes over
 BANDS = 6
 BAND_ROWS = 2
 SHINGLE = 5
@@ -145,27 +149,100 @@ def _hashes(batches):
             yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(wanted), pa.int64()), pa.array([x["place"] for x in wanted], pa.int64()), pa.array(at, pa.int32()), words], names=["id", "place", "at", "words"])
 
 
-def _runs(x, y, i: int, j: int, n: int, min_words: int, threshold: float) -> list[tuple[int, int, int, int]]:
-    """(place in x, words, place in y, words) of what holds of the run of n words from x[i] and y[j] on."""
-    e = i + n
-    while i > 0 and j > 0 and x[i - 1] == y[j - 1]:
-        i, j = i - 1, j - 1
-    while e < len(x) and j + e - i < len(y) and x[e] == y[j + e - i]:
-        e += 1
-    a, b = ({tuple(z[k : k + SHINGLE]) for k in range(s, s + e - i - SHINGLE + 1)} for z, s in ((x, i), (y, j)))
-    both = len(a & b)
+def _onward(x, y, e: int, f: int, x_end: int, y_end: int) -> list[list[int]]:
+    """[place in x, place in y, words] of equal blocks behind x[e] and y[f], each behind an edit of a few words."""
     out = []
-    if both >= threshold * (len(a) + len(b) - both):
-        out = [(i, e - i, j, e - i)]
-    else:  # only stretches of it agree
-        k = 0
-        while k < e - i:
-            f = k
-            while f < e - i and x[i + f] == y[j + f]:
-                f += 1
-            out.append((i + k, f - k, j + k, f - k))
-            k = f + 1
-    return [r for r in out if r[1] >= min_words]
+    while True:
+        for a, b in _EDITS:
+            i, j, n = e + a, f + b, SHINGLE
+            if i + n <= x_end and j + n <= y_end and x[i] == y[j] and x[i : i + n] == y[j : j + n]:
+                break
+        else:
+            return out
+        while i + n < x_end and j + n < y_end and x[i + n] == y[j + n]:
+            n += 1
+        out.append([i, j, n])
+        e, f = i + n, j + n
+
+
+_EDITS = sorted(((a, b) for a in range(EDIT + 1) for b in range(EDIT + 1) if a + b), key=lambda z: (z[0] + z[1], abs(z[0] - z[1])))
+
+
+def _blocks(x, y, seeds) -> list[list[int]]:
+    """Equal blocks of one alignment through the equal windows (place in x, place in y), in order, grown to both sides."""
+    out: list[list[int]] = []
+    for i, j in seeds:
+        n, e, f = WINDOW, 0, 0
+        if x[i : i + n] != y[j : j + n]:
+            continue
+        if out:
+            e, f = out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]
+            over = max(e - i, f - j, 0)
+            i, j, n = i + over, j + over, n - over
+            if n < SHINGLE:
+                continue
+        while i > e and j > f and x[i - 1] == y[j - 1]:
+            i, j, n = i - 1, j - 1, n + 1
+        while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+            n += 1
+        if out:
+            out += _onward(x, y, e, f, i, j)
+        out.append([i, j, n])
+    if out:
+        i, j, _ = out[0]
+        before = _onward(x[:i][::-1], y[:j][::-1], 0, 0, i, j)
+        out = [[i - p - n, j - q - n, n] for p, q, n in before[::-1]] + out
+        out += _onward(x, y, out[-1][0] + out[-1][2], out[-1][1] + out[-1][2], len(x), len(y))
+    return out
+
+
+def _runs(x, y, seeds, min_words: int, threshold: float) -> list[tuple[int, int, int, int]]:
+    """(place in x, words, place in y, words) of the longest stretches through the seeds at the threshold: an edit costs
+    the shingles over it on both sides."""
+    blocks = _blocks(x, y, seeds)
+    if not blocks:
+        return []
+    at, to, n = (np.array(c) for c in zip(*blocks))
+    gone = (at[1:] - at[:-1] - n[:-1]) + (to[1:] - to[:-1] - n[:-1]) + 2 * (SHINGLE - 1)
+    gain = np.concatenate([[0], np.cumsum((1 - threshold) * (n - SHINGLE + 1))])
+    cost = np.concatenate([[0], np.cumsum(threshold * gone)])
+    out, todo = [], [(0, len(blocks))]
+    while todo:
+        p, q = todo.pop()
+        if p >= q or at[q - 1] + n[q - 1] - at[p] < min_words:
+            continue
+        size = (at + n)[None, p:q] - at[p:q, None]
+        holds = (gain[p + 1 : q + 1] - cost[p:q])[None, :] - (gain[p:q] - cost[p:q])[:, None] >= -1e-9
+        size = np.where(np.triu(holds), size, 0)
+        i, j = divmod(int(size.argmax()), q - p)
+        if size[i, j] >= min_words:
+            i, j = p + i, p + j
+            out.append((int(at[i]), int(at[j] + n[j] - at[i]), int(to[i]), int(to[j] + n[j] - to[i])))
+            todo += [(p, i), (j + 1, q)]
+    return out
+
+
+def _chained(batches):
+    """Window matches of a pair of documents melted into stretches, with the matches of each."""
+    for batch in batches:
+        out: list[list] = [[] for _ in range(7)]
+        for r in batch.to_pylist():
+            chains: list[list] = []
+            live: list[list] = []
+            for start, hub_start in sorted((m["start"], m["hub_start"]) for m in r["matches"]):
+                live = [c for c in live if start - c[-1][0] <= MELT]
+                near = [(abs(start - hub_start - c[-1][0] + c[-1][1]), k) for k, c in enumerate(live) if 0 < hub_start - c[-1][1] <= MELT + SLACK]
+                if near and min(near)[0] <= SLACK:
+                    live[min(near)[1]].append((start, hub_start))
+                else:
+                    chains.append([(start, hub_start)])
+                    live.append(chains[-1])
+            for c in chains:
+                row = (r["id"], r["hub"], c[0][0], c[-1][0] + WINDOW - c[0][0], c[0][1], c[-1][1] + WINDOW - c[0][1], [{"s": s, "h": h} for s, h in c])
+                for column, v in zip(out, row):
+                    column.append(v)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.struct([("s", pa.int32()), ("h", pa.int32())]))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["id", "hub", "start", "n", "hub_start", "hub_n", "seeds"])
 
 
 def _compared(batches, min_words: int, threshold: float):
@@ -182,7 +259,7 @@ def _compared(batches, min_words: int, threshold: float):
                     continue
                 out_rows = [(r["start"], n, r["hub_start"], r["hub_n"], True)]
             else:
-                out_rows = [(r["at"] + p, m, r["hub_at"] + q, k, False) for p, m, q, k in _runs(x, y, i, j, n, min_words, threshold)]
+                out_rows = [(r["at"] + p, m, r["hub_at"] + q, k, False) for p, m, q, k in _runs(x, y, [(z["s"] - r["at"], z["h"] - r["hub_at"]) for z in r["seeds"]], min_words, threshold)]
             for start, length, hub_start, hub_n, line in out_rows:
                 if length >= min_words:
                     for c, v in zip(out, (r["id"], start, length, r["hub"], hub_start, hub_n, line)):
@@ -265,7 +342,7 @@ def _near_windows(batches, min_words: int, threshold: float):
                     near = np.flatnonzero(enough)
                     for j in near[np.lexsort((y.place[near], y.id[near]))].tolist():
                         at, hub_at = (int(s.place[k] >> 32) - int(s.at[k]) for s, k in ((x, i), (y, j)))
-                        if _runs(x.words[i].tolist(), y.words[j].tolist(), at, hub_at, WINDOW, min_words, threshold):
+                        if _runs(x.words[i].tolist(), y.words[j].tolist(), [(at, hub_at)], min_words, threshold):
                             found.append((x.id[i], x.place[i], y.id[j], y.place[j]))
                             break
             if found:
@@ -308,13 +385,11 @@ def _held(met: DataFrame, base: DataFrame, min_words: int, threshold: float) ->
     met = met.selectExpr("id", "hub", "(place & 1) = 1 AS line", *fields)
     met = staged(met, "met")
     lines = met.where("line").distinct()
-    # windows at one distance that touch or lie near melt into runs
-    far = F.col("start") - F.col("hub_start")
-    order = Window.partitionBy("id", "hub", "far").orderBy("start")
-    gap = F.when(F.col("start") - F.lag("start").over(order) > 2 * WINDOW, 1).otherwise(0)
-    runs = met.where("not line").select("id", "hub", far.alias("far"), "start").distinct().withColumn("gap", gap)
-    runs = runs.withColumn("run", F.sum("gap").over(order)).groupBy("id", "hub", "far", "run").agg(F.min("start").alias("start"), (F.max("start") + WINDOW).alias("end"))
-    runs = runs.select("id", "start", (F.col("end") - F.col("start")).cast("int").alias("n"), F.lit(False).alias("line"), "hub", (F.col("start") - F.col("far")).alias("hub_start"), (F.col("end") - F.col("start")).cast("int").alias("hub_n"))
+    # windows at nearly one distance melt into stretches
+    pairs = met.where("not line").groupBy("id", "hub").agg(F.collect_set(F.struct("start", "hub_start")).alias("matches"))
+    seeds = "array<struct<s: int, h: int>>"
+    runs = pairs.mapInArrow(_chained, f"id long, hub long, start int, n int, hub_start int, hub_n int, seeds {seeds}").withColumn("line", F.lit(False))
+    lines = lines.withColumn("seeds", F.lit(None).cast(seeds))
     around = F.when(F.col("line"), 0).otherwise(CONTEXT)
     found = lines.unionByName(runs).select("*", (F.col("start") - around).alias("lo"), (F.col("start") + F.col("n") + around).alias("hi"), (F.col("hub_start") - around).alias("hub_lo"), (F.col("hub_start") + F.col("hub_n") + around).alias("hub_hi"))
     found = staged(found, "candidates")

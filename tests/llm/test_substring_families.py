@@ -42,3 +42,20 @@ def test_window_of_an_earlier_document(spark):
     out = {i: t.split() for i, t in substring_dedup.dedup_substrings(df).collect()}
     assert out[9] == ends[2] + ends[3]
     assert all(out[i] == w for i, w in rows if i != 9)
+
+
+def test_near_copies_inside_and_over_lines(spark):
+    """A passage with one word deleted or changed in its middle, inside a line and wrapped over short lines."""
+    r = random.Random(6)
+    inline, wrapped = words(90, r), words(80, r)
+    ends = [words(30, r) for _ in range(8)]
+    lines = lambda w: "\n".join(" ".join(w[k : k + 10]) for k in range(0, len(w), 10))
+    rows = [
+        (1, " ".join(ends[0] + inline + ends[1])),
+        (2, " ".join(ends[2] + inline[:45] + inline[46:] + ends[3])),
+        (3, lines(ends[4] + wrapped + ends[5])),
+        (4, lines(ends[6] + wrapped[:40] + ["changed"] + wrapped[41:] + ends[7])),
+    ]
+    out = dict(substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out[1] == rows[0][1] and out[3] == rows[2][1]
+    assert out[2].split() == ends[2] + ends[3] and out[4].split() == ends[6] + ends[7]
