@@ -23,6 +23,7 @@ from .tokens import Memo, per_worker
 
 SAMPLE_ROWS = 200
 SAMPLE_CHARS = 60_000
+LONGEST = 64  # characters; longer words are learnt in pieces
 FIELD = 48  # bits of a field in the sums of a text
 
 
@@ -154,7 +155,9 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= rows)
     picked = some.select("id").distinct()  # at most `rows` for each language
     texts = known.join(F.broadcast(picked), "id", "left_semi")
-    word = texts.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> ''").groupBy("lang", "w").count()
+    word = texts.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> ''")
+    part = max(1, min(LONGEST, chars - 1))  # a run without white space must not shut out the words behind it
+    word = word.select("lang", F.explode(F.expr(f"transform(sequence(0, (length(w) - 1) div {part}), i -> substring(w, cast(i * {part} + 1 AS int), {part}))")).alias("w")).groupBy("lang", "w").count()
     order = Window.partitionBy("lang").orderBy(F.col("count").desc(), "w")
     word = word.withColumn("upto", F.sum(F.length("w") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= chars)
     found: dict[str, list[str]] = {}
