@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -30,6 +32,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
@@ -44,18 +54,19 @@ def drop_table(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _marked(df: DataFrame, ids: DataFrame, column: str, most_bits: int) -> DataFrame:
-    """df with `_in`: false where a bitmap of at most most_bits proves that `column` isn't in ids. The bitmap is a broadcast table
-    of fixed size; false positives are for an exact join behind it."""
+def _marked(df: DataFrame, ids: DataFrame, column: str, most_bits: int) -> tuple[DataFrame, str]:
+    """df with a new column (its name comes second): false where a bitmap of at most most_bits proves that `column` isn't in
+    ids. The bitmap is a broadcast table of fixed size; false positives are for an exact join behind it."""
     n = ids.count()
     bits = 1 << 16
     while bits < 16 * n and bits < most_bits:
         bits *= 2
+    word, mask, into = (fresh(df, x) for x in ("_word", "_mask", "_in"))
     at = f"pmod(xxhash64(`{column}`), {bits}L)"
-    words = ids.selectExpr(f"{at} div 64 AS _w", f"shiftleft(1L, cast({at} % 64 AS int)) AS _b")
-    words = words.groupBy("_w").agg(F.bit_or("_b").alias("_bits"))  # at most most_bits / 64 rows
-    kept = df.withColumn("_w", F.expr(f"{at} div 64")).join(F.broadcast(words), "_w", "left")
-    return kept.withColumn("_in", F.expr(f"coalesce((shiftrightunsigned(_bits, cast({at} % 64 AS int)) & 1) = 1, false)")).drop("_w", "_bits")
+    words = ids.selectExpr(f"{at} div 64 AS `{word}`", f"shiftleft(1L, cast({at} % 64 AS int)) AS b")
+    words = words.groupBy(word).agg(F.bit_or("b").alias(mask))  # at most most_bits / 64 rows
+    kept = df.withColumn(word, F.expr(f"{at} div 64")).join(F.broadcast(words), word, "left")
+    return kept.withColumn(into, F.expr(f"coalesce((shiftrightunsigned(`{mask}`, cast({at} % 64 AS int)) & 1) = 1, false)")).drop(word, mask), into
 
 
 def among(df: DataFrame, ids: DataFrame, column: str, most_bits: int = 1 << 26) -> DataFrame:
@@ -65,21 +76,22 @@ def among(df: DataFrame, ids: DataFrame, column: str, most_bits: int = 1 << 26)
 
 def may_be_in(df: DataFrame, ids: DataFrame, column: str, most_bits: int = 1 << 26) -> DataFrame:
     """Rows of df whose `column` may be in ids, for an exact join behind it."""
-    return _marked(df, ids, column, most_bits).where("_in").drop("_in")
+    marked, into = _marked(df, ids, column, most_bits)
+    return marked.where(F.col(into)).drop(into)
 
 
 def excluding(df: DataFrame, ids: DataFrame, column: str, most_bits: int = 1 << 26) -> DataFrame:
     """Rows of df whose `column` isn't in ids (a null isn't). Only rows that may be in ids are shuffled."""
-    marked = _marked(df, ids, column, most_bits)
-    near = marked.where("_in").drop("_in").join(ids.select(column).distinct(), column, "left_anti").select(df.columns)
-    return marked.where("not _in").drop("_in").select(df.columns).union(near)
+    marked, into = _marked(df, ids, column, most_bits)
+    near = marked.where(F.col(into)).drop(into).join(ids.select(column).distinct(), column, "left_anti").select(df.columns)
+    return marked.where(~F.col(into)).select(df.columns).union(near)
 
 
 def matched(df: DataFrame, more: DataFrame, column: str, most_bits: int = 1 << 26) -> tuple[DataFrame, DataFrame]:
     """(rows of df joined to `more`, which has one row for each value of `column`; rows of df without one)."""
-    marked = _marked(df, more.select(column), column, most_bits)
-    near = marked.where("_in").drop("_in").join(more, column, "left")
-    return near, marked.where("not _in").drop("_in").select(df.columns)
+    marked, into = _marked(df, more.select(column), column, most_bits)
+    near = marked.where(F.col(into)).drop(into).join(more, column, "left")
+    return near, marked.where(~F.col(into)).select(df.columns)
 
 
 # ---------------------------------------------------------------- connected components
@@ -139,6 +151,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def released() -> None:
+    """Give memory that a worker no longer needs back to the system: the process stays for tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

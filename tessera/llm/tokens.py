@@ -8,8 +8,6 @@ than id and text are ignored; an empty table gives an empty result. A text of an
 from __future__ import annotations
 
 import hashlib
-import json
-import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -17,33 +15,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, pieces
+from .common import among, excluding, new_path, pieces, released, staged
+from .prefix_bpe import PrefixBPE
 
-#: Words in a generation of a worker's memo.
-MEMO_WORDS = 500_000
+#: Words in a generation of a worker's memo, and the longest of them: a generation takes some 30 MB.
+MEMO_WORDS = 150_000
+MEMO_LONGEST = 64
 
 
 class Memo(dict):
     """Values of words, made by `make` when first asked for. Two generations of bounded size: when the young one is full it
-    becomes the old one, and what is asked for again moves back. This saves work and never changes a result."""
+    becomes the old one, and what is asked for again moves back. Long words aren't kept. This saves work and never changes a
+    result."""
 
     def __init__(self, make: Callable, most: int = MEMO_WORDS):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
-    def room(self, n: int) -> None:
-        """Begin a new generation if n more words don't fit into the young one."""
-        if len(self) and len(self) + n > self.most:
-            self.old = dict(self)
-            self.clear()
-
     def __missing__(self, word):
-        if len(self) >= self.most:
-            self.room(1)
         value = self.old.get(word, self)
         if value is self:
             value = self.make(word)
-        self[word] = value
+        if len(word) <= MEMO_LONGEST:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -59,217 +56,12 @@ def per_worker(key, make: Callable):
 
 
 # ---------------------------------------------------------------- BPE by per-prefix dynamic programming
-class PrefixBPE:
-    """Encoder and decoder for a BPE file of the tokenizers library whose pieces are words ending in a word-end suffix.
-
-    For every prefix of a word exactly one token can end its encoding. A suffix automaton over the vocabulary (trie with
-    suffix links) lists the tokens that end at a position; of these the one is kept that is compatible with the kept last
-    token of the prefix before it, i.e. merging the two tokens' own characters gives back just these two. Following the kept
-    tokens from the end of the word backwards gives the ids.
-    """
-
-    def __init__(self, file: str):
-        import regex
-
-        spec = json.loads(open(file, encoding="utf-8").read())
-        model = spec["model"]
-        normal = [n["type"] for n in spec["normalizer"]["normalizers"]]
-        split, level = spec["pre_tokenizer"]["pretokenizers"]
-        if model["type"] != "BPE" or normal != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or level["add_prefix_space"] or spec["decoder"]:
-            raise ValueError(f"{file} isn't a lower-casing word BPE")
-        self.end = model["end_of_word_suffix"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.name = {i: s for s, i in self.vocab.items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.name |= {i: s for s, i in self.special.items()}
-        self.cut_special = regex.compile("|".join(sorted(map(regex.escape, self.special), key=len, reverse=True))) if self.special else None
-        self.words = regex.compile(split["pattern"]["Regex"])
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
-        for i, m in enumerate(model["merges"]):
-            a, b = m if isinstance(m, list) else m.split(" ")
-            self.rank[self.vocab[a], self.vocab[b]] = (i, self.vocab[a + b])
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        spare = iter(range(256, 512))
-        self.byte_name = {b: chr(b) if b in printable else chr(next(spare)) for b in range(256)}
-        self.atoms: dict[int, list[int]] = {}
-        self.fits: dict[int, bool] = {}
-        #: the suffix automaton: states are beginnings of tokens without word end, `link` the longest proper suffix that is a
-        #: state, `ending` all tokens that end in a state, the longest first; `final` has the tokens with word end. Tokens that
-        #: merging never makes stay out.
-        self.made: dict[int, tuple[int, int, int]] = {}
-        self.go: list[dict[str, int]] = [{}]
-        own: dict[int, tuple[int, int]] = {}
-        self.final = {}
-        for s, i in self.vocab.items():
-            ended = s.endswith(self.end) and s != self.end
-            plain = s[: -len(self.end)] if ended else s
-            atoms = [self.vocab.get(c) for c in plain[:-1]] + [self.vocab.get(s[len(plain) - 1 :] if ended else plain[-1:])]
-            if None in atoms:
-                continue
-            self.atoms[i] = atoms
-            if self.merged(atoms, self.made) != [i]:
-                del self.atoms[i]
-            elif ended:
-                self.final[plain] = i
-            else:
-                at = 0
-                for c in plain:
-                    if c not in self.go[at]:
-                        self.go[at][c] = len(self.go)
-                        self.go.append({})
-                    at = self.go[at][c]
-                own[at] = (len(plain), i)
-        rank_of = lambda i: self.made[i][2] if i in self.made else -1
-        self.in_order = all(max(rank_of(a), rank_of(b)) < r for a, b, r in self.made.values())
-        self.link = [0] * len(self.go)
-        self.ending: list[tuple] = [()] * len(self.go)
-        queue = [(0, c, to) for c, to in self.go[0].items()]
-        children = [dict(x) for x in self.go]
-        for parent, c, to in queue:  # by depth
-            self.link[to] = self.step(self.link[parent], c) if parent else 0
-            self.ending[to] = ((own[to],) if to in own else ()) + self.ending[self.link[to]]
-            queue += [(to, d, below) for d, below in children[to].items()]
-        #: every end of the tokens with word end: the token that it is, or -1
-        self.tails = {x[k:]: -1 for x in self.final for k in range(len(x))} | self.final
-        self.marks = frozenset(".,;:!?")
-        #: for prefixes seen: (automaton state, the one token that can end its encoding, its length)
-        self.prefixes: dict[str, tuple[int, int, int]] = {}
-        self.pieces = Memo(self._piece, MEMO_WORDS * 2 // 3)
-        self.memo = Memo(self._word, MEMO_WORDS * 2 // 3)
-
-    def step(self, at: int, c: str) -> int:
-        found = self.go[at].get(c)
-        if found is None:
-            found = self.go[at][c] = self.step(self.link[at], c) if at else 0
-        return found
-
-    def merged(self, ids: list[int], made: dict | None = None) -> list[int]:
-        """Plain BPE: the merge of lowest rank first, from the left. made: gets the parts and rank of each token made."""
-        ids, none = list(ids), (1 << 60, 0)
-        while len(ids) > 1:
-            ranks = [self.rank.get(p, none) for p in zip(ids, ids[1:])]
-            rank, to = best = min(ranks)
-            if best is none:
-                break
-            at = ranks.index(best)
-            if made is not None:
-                made[to] = (ids[at], ids[at + 1], rank)
-            ids[at : at + 2] = [to]
-        return ids
-
-    def _edges(self, i: int, side: int) -> list[tuple[int, int, int]]:
-        """Tokens that stand at the right (1) or left (0) edge of token i while its characters merge, each with the rank at
-        which it has come up and the rank at which it is merged away."""
-        out, gone = [], 1 << 60
-        while True:
-            a, b, rank = self.made.get(i, (None, None, -1))
-            out.append((i, rank, gone))
-            if a is None:
-                return out
-            i, gone = (a, b)[side], rank
-
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether BPE leaves the characters of a and b as just these two tokens: no pair of tokens at the border merges while
-        both stand there. A pair that is also a's own last merge goes to a (it is further left); b's own goes to the border."""
-        key = a << 20 | b
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            if self.in_order:
-                found = True
-                for x, up, gone in self._edges(a, 1):
-                    for y, up2, gone2 in self._edges(b, 0):
-                        r = self.rank.get((x, y))
-                        if r and max(r[0], up, up2) < gone and (max(up, up2) < gone2 and r[0] <= gone2):
-                            found = False
-            else:
-                found = self.merged(self.atoms[a] + self.atoms[b]) == [a, b]
-            self.fits[key] = found
-        return found
-
-    def piece(self, s: str) -> list[int]:
-        """Ids of one word, given as the names of its bytes."""
-        n, seen, fits, ending = len(s), self.prefixes, self.fits, self.ending
-        if len(seen) > MEMO_WORDS:
-            seen.clear()
-        m = n - 1  # a known prefix has all of its own prefixes known: go on from the longest
-        while m > 0 and s[:m] not in seen:
-            m -= 1
-        at = seen[s[:m]][0] if m > 0 else 0
-        for j in range(m + 1, n):
-            at = self.step(at, s[j - 1])
-            for length, i in ending[at]:
-                if length == j:
-                    break
-                before = seen[s[: j - length]][1]
-                if fits.get(before << 20 | i) or self.compatible(before, i):
-                    break
-            else:
-                raise ValueError(f"the vocabulary doesn't cover {s!r}")
-            seen[s[:j]] = (at, i, length)
-        found, tails = [], self.tails
-        for length in range(1, n + 1):
-            i = tails.get(s[n - length :])
-            if i is None:
-                break
-            if i >= 0:
-                found.append((length, i))
-        for length, i in reversed(found):
-            if length == n:
-                break
-            before = seen[s[: n - length]][1]
-            if fits.get(before << 20 | i) or self.compatible(before, i):
-                break
-        else:
-            raise ValueError(f"the vocabulary doesn't cover {s!r}")
-        out, n = [i], n - length
-        while n:
-            _, i, length = seen[s[:n]]
-            out.append(i)
-            n -= length
-        out.reverse()
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text by the tokenizers library's rules: special strings first, then NFC, lower case, words, bytes."""
-        if self.cut_special and (m := self.cut_special.search(text)):
-            return self.encode(text[: m.start()]) + [self.special[m[0]]] + self.encode(text[m.end() :])
-        text = unicodedata.normalize("NFC", text)
-        text = text.lower() if text.isascii() else "".join(map(str.lower, text))
-        out = []
-        for w in self.words.findall(text):
-            out += self.piece("".join(map(self.byte_name.__getitem__, w.encode())) if not w.isascii() or not w.isalnum() else w)
-        return out
-
-    def decode(self, ids) -> str:
-        """As the library without a decoder: token strings joined by blanks, special ones among them."""
-        return " ".join(self.name[i] for i in ids)
-
-    def _piece(self, w: str) -> tuple[str, str, int]:
-        ids = self.piece(w if w.isascii() else "".join(map(self.byte_name.__getitem__, w.encode())))
-        return " ".join(map(str, ids)), " ".join(map(self.name.__getitem__, ids)), len(ids)
-
-    def _word(self, word: str) -> tuple[str, str, int] | None:
-        mark = word[-1:] if word[-1:] in self.marks else ""
-        core = word[:-1] if mark else word
-        if core.isalpha():  # one run of letters, perhaps with a mark behind it: no need to search for words
-            low = core.lower() if core.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", core)))
-            if low.isalpha():
-                a = self.pieces[low]
-                if not mark:
-                    return a
-                b = self.pieces[mark]
-                return f"{a[0]} {b[0]}", f"{a[1]} {b[1]}", a[2] + b[2]
-        ids = self.encode(word)
-        return (" ".join(map(str, ids)), self.decode(ids), len(ids)) if ids else None
-
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, sha256 of the ids, sha256 of the decoded text). A text falls apart at blanks and line ends: they
-        never stand in a token, in a special string, or in a composition under NFC."""
-        found = [x for x in map(self.memo.__getitem__, text.replace("\n", " ").split(" ")) if x]
-        a, b, n = zip(*found) if found else ((), (), ())
-        return sum(n), hashlib.sha256(" ".join(a).encode()).hexdigest(), hashlib.sha256(" ".join(b).encode()).hexdigest()
+def _sha(names: list[str], ids: np.ndarray) -> str:
+    """sha256 of the names of the ids, joined by blanks."""
+    h = hashlib.sha256()
+    for k in range(0, len(ids), 1 << 18):
+        h.update((" " * (k > 0) + " ".join(map(names.__getitem__, ids[k : k + (1 << 18)].tolist()))).encode())
+    return h.hexdigest()
 
 
 def bpe_digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,9 +70,11 @@ def bpe_digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: st
     def run(batches):
         bpe = per_worker(("bpe", file), lambda: PrefixBPE(file))
         for piece in pieces(batches, "text"):
-            rows = [bpe.digests(x or "") for x in piece.column(1).to_pylist()]
-            n, a, b = zip(*rows)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["id", "n", "a", "b"])
+            ids, at = bpe.batch([x or "" for x in piece.column(1).to_pylist()])
+            texts = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            shas = (pa.array([_sha(names, x) for x in texts]) for names in (bpe.decimal, bpe.name))
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(at)), *shas], names=["id", "n", "a", "b"])
+        released()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, a string, b string")
@@ -293,9 +87,11 @@ def bpe_encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         bpe = per_worker(("bpe", file), lambda: PrefixBPE(file))
         for piece in pieces(batches, "text"):
-            ids = [bpe.encode(x or "") for x in piece.column(1).to_pylist()]
-            more = [pa.array([bpe.decode(x) for x in ids], pa.string())] if back else []
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(ids, pa.list_(pa.int32())), *more], names=["id", "tokens", "decoded"][: 2 + back])
+            ids, at = bpe.batch([x or "" for x in piece.column(1).to_pylist()])
+            more = [pa.array([bpe.decode(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:])], pa.string())] if back else []
+            lists = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([piece.column(0), lists, *more], names=["id", "tokens", "decoded"][: 2 + back])
+        released()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, tokens array<int>" + ", decoded string" * back)
@@ -338,13 +134,18 @@ class Counter:
         if not self.by_word:
             return [self.one(x) if x else 0 for x in texts]
         words = [x.replace("\n", " \n").split(" ") for x in texts]
-        new = list(set().union(*words) - self.memo.keys() - self.memo.old.keys())
-        for w, ids in zip(new, self.whole.encode(new, num_threads=1)):
-            self.memo.old[w] = self._told(w, len(ids))
+        memo, old = self.memo, self.memo.old
+        new = [w for w in set().union(*words) if w not in memo and w not in old]
+        told = dict(zip(new, map(self._told, new, map(len, self.whole.encode(new, num_threads=1)))))  # of this batch
         out = []
         for x, ws in zip(texts, words):
-            found = list(map(self.memo.__getitem__, ws))
+            found = [told[w] if w in told else memo[w] for w in ws]
             out.append((self.one(x) if x else 0) if None in found else sum(found))
+        for w in new:
+            if len(w) <= MEMO_LONGEST:
+                memo.make = told.__getitem__
+                memo[w]
+        memo.make = self._word
         return out
 
     @staticmethod
@@ -357,16 +158,21 @@ class Counter:
         return self._told(word, len(self.whole.encode(word)))
 
 
+SHARE = 1024
 COUNTS = "digest binary, version string, n_tokens long"
 
 
 def token_counts(docs: DataFrame, file: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit). `cache` is the path of a table of counts by (content digest, tokenizer version).
     Contents that it lacks are encoded once each, whatever number of rows holds them, and appended; then rows join to it.
-    Without `cache`, a new table in the shared folder serves this call. Content is the text with null as empty."""
+    Without `cache`, a new table in the shared folder serves this call. Content is the text with null as empty.
+
+    Texts that one row holds are encoded where they are read; only those of several rows are shuffled. Digests of over a
+    SHARE-th of the rows (so fewer than SHARE) get their counts by broadcast."""
     spark = docs.sparkSession
     cache = cache or new_path(spark, "counts")
-    version = hashlib.sha256(open(file, "rb").read()).hexdigest()
+    with open(file, "rb") as f:
+        version = hashlib.sha256(f.read()).hexdigest()
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.unhex(F.sha2(text.cast("binary"), 256))
     spark.createDataFrame([], COUNTS).write.mode("append").parquet(cache)
@@ -377,10 +183,21 @@ def token_counts(docs: DataFrame, file: str, cache: str | None = None, id_col: s
         for piece in pieces(batches, "text"):
             n = counter.counts(piece.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([version] * len(n)), pa.array(n, pa.int64())], names=["digest", "version", "n_tokens"])
-
-    new = docs.select(digest.alias("digest"), text.alias("text")).join(known.select("digest"), "digest", "left_anti")
-    new = new.groupBy("digest").agg(F.first("text").alias("text"))
-    new.select("digest", "text").mapInArrow(run, COUNTS).write.mode("append").parquet(cache)
+        released()
+
+    rows = staged(docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest")), "rows")
+    held = rows.groupBy("digest").count()
+    several = staged(held.where("count > 1").select("digest"), "several")
+    old = staged(known.select("digest").distinct(), "known")
+    texts = docs.select(digest.alias("digest"), text.alias("text"))
+    once = excluding(texts, several.union(old), "digest")
+    first = among(texts, several.join(old, "digest", "left_anti"), "digest").groupBy("digest").agg(F.first("text").alias("text"))
+    for new in (once, first):
+        new.select("digest", "text").mapInArrow(run, COUNTS).write.mode("append").parquet(cache)
     counts = spark.read.schema(COUNTS).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
-    return rows.join(counts, "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    often = held.where(F.col("count") > max(1, rows.count() // SHARE)).select("digest")  # fewer than SHARE
+    often = staged(counts.join(F.broadcast(often), "digest", "left_semi"), "often")
+    marked = rows.join(F.broadcast(often), "digest", "left")
+    hot = marked.where("n_tokens IS NOT NULL").select("id", "n_bytes", "n_tokens")
+    rest = marked.where("n_tokens IS NULL").drop("n_tokens").join(counts, "digest").select("id", "n_bytes", "n_tokens")
+    return hot.union(rest).select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
