@@ -61,9 +61,10 @@ def op8_near_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document without an id isn't held out, nor learnt from."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     out = identify_language(table(spark, sf_dir, "documents"), learn=fold != 2)
-    return out.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
