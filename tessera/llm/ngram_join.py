@@ -20,8 +20,8 @@ sequence as one; no words or null: the empty set, linked with nothing). Two text
    task, pieces against pieces, and only pairs under the bound are emitted and compared exactly. Pairs inside a component
    need no test, so copies aren't expanded into all pairs and no link between components is lost.
 
-Repeated rows of one id count once (smallest text wins no special treatment: equal ids must carry equal texts). Extra columns
-are ignored. An empty table gives an empty result.
+Rows of one id are one document: a link of any of its texts is a link of all its rows. Rows without an id get their size and no
+component, and take part in no link. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, among, components, may_be_in, mix, pieces, sequence_hash, staged, utf8
+from .common import Words, among, components, excluding, may_be_in, mix, pieces, released, sequence_hash, staged, utf8
 
 _U = np.uint64
 FOLDED_WORDS = 16  # 1024 bits
@@ -128,6 +128,7 @@ def _features(batches, k: int):
             out[1].append(int(r.sum(dtype=np.uint64).view(np.int64)))
             out[2].append(int(np.bitwise_xor.reduce(mix(r + _U(1))).view(np.int64)) if len(s) else 0)
         yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(x, pa.int64()) for x in out)], names=["id", "n", "d1", "d2"])
+    released()
 
 
 def _sketches(batches, k: int, t: Fraction):
@@ -141,6 +142,7 @@ def _sketches(batches, k: int, t: Fraction):
             lists[1].append(set_keys(s, tops, t))
         lists = [pa.ListArray.from_arrays(np.cumsum([0] + [len(y) for y in x]).astype(np.int32), pa.array(np.concatenate(x))) for x in lists]
         yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sizes, pa.int64()), *lists], names=["id", "n", "folded", "keys"])
+    released()
 
 
 def _verified(batches, k: int, t: Fraction):
@@ -174,7 +176,7 @@ def _bounded(pairs: DataFrame, sketches: DataFrame, words: int, t: Fraction) ->
 def _links(p: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     """Those of the pairs (a < b) that link. The larger ids' texts come first: one hub's text isn't copied through a shuffle."""
     ids = staged(p.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = staged(among(docs, ids, "id").dropDuplicates(["id"]), "texts")
+    texts = staged(among(docs, ids, "id"), "texts")
     both = p.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
     return staged(both.mapInArrow(lambda it: _verified(it, k, t), "a long, b long"), "links")
 
@@ -223,21 +225,32 @@ def _near_in_block(batches, t: Fraction):
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
-    """(id, n_shingles, component_id): component_id is the smallest id reachable over links, itself included. Ids are longs,
-    never null (rows with a null id are left out)."""
+    """(id, n_shingles, component_id): component_id is the smallest id reachable over links, itself included; null without an id."""
     t = Fraction(threshold)
-    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     features = staged(docs.mapInArrow(lambda it: _features(it, k), "id long, n long, d1 long, d2 long"), "features")
-    classes = staged(features.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
-    texts = among(docs, classes.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"])
-    reps = staged(texts.mapInArrow(lambda it: _sketches(it, k, t), "id long, n long, folded array<long>, keys array<long>"), "reps")
+    classes = staged(features.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
+    of_class = staged(features.join(classes, ["n", "d1", "d2"], "left").select("id", "n", "rep"), "of_class")
+    held = of_class.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("m"), F.min("rep").alias("rep"))
+    repeated = staged(held.where("m > 1").select("id"), "repeated")
+    copies = held.where("m = 1 AND rep <> id").select("id")
+    docs = docs.where("id IS NOT NULL")
+    apart = docs  # one row for each id and text
+    rest = excluding(docs, staged(copies.union(repeated), "copies"), "id")  # representatives: not shuffled
+    linked = None
+    if not repeated.isEmpty():
+        several = staged(among(docs, repeated, "id").dropDuplicates(["id", "text"]), "several")
+        apart, rest = excluding(docs, repeated, "id").union(several), rest.union(several)
+        linked = staged(among(of_class, repeated, "id").where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "linked")
+    docs = apart
+    reps = staged(rest.mapInArrow(lambda it: _sketches(it, k, t), "id long, n long, folded array<long>, keys array<long>"), "reps")
 
     member = reps.select("id", F.explode("keys").alias("key"))
     often = staged(member.groupBy("key").count().where("count > 1").select("key"), "often")
     met = staged(may_be_in(member, often, "key").join(often, "key", "left_semi").select("id", "key"), "met")  # members of blocks with others
     hubs = met.groupBy("key").agg(F.min("id").alias("h0"), F.max("id").alias("h1")).where("h0 < h1")
     tested = met.join(hubs, "key").select("id", F.explode(F.array("h0", "h1")).alias("hub")).where("id <> hub")
-    links, roots = _connected(tested.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), None, reps, docs, k, t)
+    links, roots = _connected(tested.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), linked, reps, docs, k, t)
 
     named = met.select("id", "key").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     named = staged(named, "named")
@@ -254,6 +267,6 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = paired.mapInArrow(lambda it: _near_in_block(it, t), "a long, b long").distinct()
     _, roots = _connected(near, links, reps, docs, k, t)
 
-    of_rep = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("root"))
-    out = features.select("id", "n", "d1", "d2").join(of_rep, ["n", "d1", "d2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+    out = of_class.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
