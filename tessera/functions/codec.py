@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +30,36 @@ def ipv4_tokens(address: Column) -> Column:
     return F.transform(F.split(a, r"\."), lambda x: byte_to_token(x.cast("int")))
 
 
+def ipv6_tokens(address: Column) -> Column:
+    """Sixteen tokens; blank or null is `::`. Groups of hex digits, one run of zeros as `::`, the last two groups perhaps as a
+    dotted quad; anything else is an error."""
+    a = F.when(F.coalesce(F.btrim(address), F.lit("")) == "", "::").otherwise(F.btrim(address))
+    octets = F.transform(F.split(F.regexp_extract(a, r"((\d{1,3}\.){3}\d{1,3})$", 1), r"\."), lambda x: x.try_cast("int"))
+    pair = lambda i: F.lower(F.hex(octets[i] * 256 + octets[i + 1]))
+    small = F.forall(octets, lambda x: x.between(0, 255))
+    plain = F.when(a.rlike(r":(\d{1,3}\.){3}\d{1,3}$") & small, F.concat(F.regexp_replace(a, r"(\d{1,3}\.){3}\d{1,3}$", ""), pair(0), F.lit(":"), pair(2))).otherwise(a)
+    groups = lambda x: F.filter(F.split(x, ":", -1), lambda g: F.lit(True))
+    none = F.array().cast("array<string>")
+    halves = F.split(plain, "::", -1)
+    side = lambda x: F.when(F.coalesce(x, F.lit("")) == "", none).otherwise(groups(x))
+    left, right = side(F.get(halves, F.lit(0))), side(F.get(halves, F.lit(1)))
+    short = F.size(halves) == 2
+    missing = F.lit(8) - F.size(left) - F.size(right)
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    right_size = (short & (missing >= 1)) | ((F.size(halves) == 1) & (missing == 0))
+    fine = right_size & F.forall(whole, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
+    checked = F.when(fine, whole).otherwise(F.raise_error(F.concat(F.lit("not an IPv6 address: "), a)))
+    number = lambda g: F.conv(g, 16, 10).cast("int")
+    return F.flatten(F.transform(checked, lambda g: F.array(byte_to_token(F.floor(number(g) / 256)), byte_to_token(number(g) % 256))))
+
+
+def merged_address(address: Column, version: Column, source: bool) -> Column:
+    """The address behind the token of its role, by version 4 or 6; another version is an error."""
+    wrong = F.raise_error(F.concat(F.lit("no IP version: "), F.coalesce(version.cast("string"), F.lit("null"))))
+    six = F.concat(F.array(F.lit(SRC6 if source else DST6)), ipv6_tokens(address))
+    return F.when(version == 4, address_block(address, source)).when(version == 6, six).otherwise(wrong)
+
+
 def address_block(address: Column, source: bool) -> Column:
     return F.concat(F.array(F.lit(SRC4 if source else DST4)), ipv4_tokens(address))
 
@@ -83,5 +116,30 @@ def measurement_tokens(src: Column, dst: Column, ms: Column, seconds: Column, pr
     return F.concat(F.array(F.lit(START)), address_block(src, True), address_block(dst, False), rtt_block(ms), time_block(seconds, previous))
 
 
+def block_order(seed: Column, blocks: Column) -> Column:
+    """Order of so many blocks: a shuffle by the Mersenne Twister from the seed, as Python's random module makes it. The generator
+    has no built-in form; rows come in Arrow batches."""
+
+    @F.pandas_udf("array<int>")
+    def order(seeds: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for seed, n in zip(seeds, counts):
+            x = list(range(n))
+            random.Random(int(seed)).shuffle(x)
+            out.append(x)
+        return pd.Series(out)
+
+    return order(seed, blocks)
+
+
+def shuffled_measurement(src: Column, dst: Column, ms: Column, seconds: Column, previous: Column, version: Column, with_time: bool = True) -> Column:
+    """The start token and the blocks of a measurement in an order that addresses and time decide; null addresses are empty."""
+    blocks = [merged_address(src, version, True), merged_address(dst, version, False), rtt_block(ms)]
+    blocks += [time_block(seconds, previous)] if with_time else []
+    order = block_order(shuffle_seed(src, dst, seconds), F.lit(len(blocks)))
+    every = F.array(*blocks)
+    return F.concat(F.array(F.lit(START)), F.flatten(F.transform(order, lambda i: F.get(every, i))))
+
+
 def valid_tokens(tokens: Column) -> Column:
     return F.forall(tokens, lambda t: t.between(0, VOCABULARY - 1))

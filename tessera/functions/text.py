@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,12 +31,138 @@ def next_power_of_two(n: Column, least: int = 1) -> Column:
     return F.greatest(F.lit(least), F.when(n <= 1, 1).otherwise(F.expr("1") * F.pow(F.lit(2.0), F.length(F.bin(n - 1))).cast("int")))
 
 
+def template_names(template: Column) -> Column:
+    """Names in {braces} of a template, each once, in order; doubled braces are text."""
+    single = F.regexp_replace(template, r"\{\{|\}\}", "")
+    return F.array_distinct(F.regexp_extract_all(single, F.lit(r"\{([A-Za-z0-9_]+)\}"), F.lit(1)))
+
+
 def fill_template(template: str, values: dict[str, Column]) -> Column:
-    """Placeholders {name} replaced by stripped values."""
-    out = F.lit(template)
-    for name, v in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), strip(v))
-    return out
+    """Placeholders {name} replaced by stripped values, in one pass: what a value holds isn't filled again. Doubled braces stand
+    for single ones; names without a value stay as they are."""
+    parts, done = [], 0
+    for m in re.finditer(r"\{\{|\}\}|\{([A-Za-z0-9_]+)\}", template):
+        parts.append(F.lit(template[done : m.start()]))
+        if m[1] is None:
+            parts.append(F.lit(m[0][0]))
+        else:
+            parts.append(strip(values[m[1]]) if m[1] in values else F.lit(m[0]))
+        done = m.end()
+    return F.concat(*parts, F.lit(template[done:]))
+
+
+def has_names(template: str | None, names: list[str]) -> bool:
+    found = re.findall(r"\{([A-Za-z0-9_]+)\}", re.sub(r"\{\{|\}\}", "", template or ""))
+    return set(names) <= set(found)
+
+
+def qa_conversation(question: Column, answer: Column, user: str | None = None, assistant: str | None = None, separator: str = "####") -> Column:
+    """Messages of user and assistant. The user template needs {question}; the assistant template needs {reasoning} and {answer},
+    and an answer that the separator splits in two; where one of these lacks, the raw text stands."""
+    asked = fill_template(user, {"question": question}) if has_names(user, ["question"]) else question
+    said = answer
+    if has_names(assistant, ["reasoning", "answer"]):
+        reasoning, final = split_once(answer, separator)
+        said = F.when(reasoning.isNotNull(), fill_template(assistant, {"reasoning": reasoning, "answer": final})).otherwise(answer)
+    message = lambda role, x: F.struct(F.lit(role).alias("role"), x.alias("content"))
+    return F.array(message("user", asked), message("assistant", said))
+
+
+def rendered(messages: Column, role: str = "role", content: str = "content") -> Column:
+    """A chat as text: each message in tags of its role."""
+    return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<"), m[role], F.lit(">"), m[content], F.lit("</"), m[role], F.lit(">\n"))), "")
+
+
+def prompt_and_completion(messages: Column, role: str = "role") -> Column:
+    """For each assistant message: what is rendered in front of it, and what its own rendering adds."""
+    upto = lambda i: rendered(F.slice(messages, F.lit(1), i))
+    every = F.transform(messages, lambda m, i: F.struct(m[role].alias("role"), upto(i).alias("prompt"), F.substring(upto(i + 1), F.length(upto(i)) + 1, F.lit(1 << 30)).alias("completion")))
+    return F.filter(every, lambda x: x["role"] == "assistant")
+
+
+def exact_format(x: Column, reason: tuple[str, str], answer: tuple[str, str]) -> Column:
+    """What the answer tags hold, if the text is reasoning in tags and then an answer in tags, each not empty; else null. Only
+    white space may stand around."""
+    parts = [re.escape(t) for t in (*reason, *answer)]
+    found = F.regexp_extract(x, rf"(?s)^\s*{parts[0]}.+?{parts[1]}.*?{parts[2]}(.+?){parts[3]}\s*$", 1)
+    return F.nullif(found, F.lit(""))
+
+
+def number_after(x: Column, tag: str) -> Column:
+    """First run of digits and points behind a tag, as a number; null if there is none or it isn't a number."""
+    found = F.regexp_extract(x, rf"(?s){re.escape(tag)}.*?([\d.]+)", 1)
+    return number(found)
+
+
+def number_reward(x: Column, tag: str, answer: Column) -> Column:
+    """1.5 if the number behind the tag is the answer, else 0; null answers or texts give 0."""
+    return F.when(number_after(x, tag) == number(strip(answer)), 1.5).otherwise(0.0)
+
+
+def plain_number(x: Column) -> Column:
+    """A number whose text may hold commas, dollar signs and blanks."""
+    return number(F.translate(x, ", $", ""))
+
+
+def response_flags(guess: Column, truth: Column, well_formed: Column) -> tuple[Column, Column, Column]:
+    """(correct, within a tenth, well formed) of a response; without a number none of the three."""
+    g, t = plain_number(guess), plain_number(truth)
+    known = g.isNotNull() & t.isNotNull()
+    near = F.try_divide(g, t).between(0.9, 1.1)
+    return tuple(F.coalesce(known & x, F.lit(False)) for x in (g == t, near, well_formed))
+
+
+def duration(seconds: Column) -> Column:
+    """Seconds, minutes, hours, or days and hours, by size; tenths are cut, not rounded."""
+    n = lambda x, unit: F.format_string(f"%.1f{unit}", F.floor(x * 10) / 10)
+    days = F.format_string("%dd %dh", F.floor(seconds / 86400).cast("long"), F.floor(seconds % 86400 / 3600).cast("long"))
+    return F.when(seconds < 60, n(seconds, "s")).when(seconds < 3600, n(seconds / 60, "m")).when(seconds < 86400, n(seconds / 3600, "h")).otherwise(days)
+
+
+def parameters(x: Column) -> Column:
+    """Map of the text `{k: v, k: v}`, values as text without quotes."""
+    inner = F.regexp_replace(x, r"^\s*\{|\}\s*$", "")
+    pairs = F.transform(F.split(inner, r",\s*"), lambda p: F.split(p, r":\s*", 2))
+    bare = lambda t: F.regexp_replace(F.btrim(t), r"^['\"]|['\"]$", "")
+    return F.map_from_entries(F.transform(F.filter(pairs, lambda p: F.size(p) == 2), lambda p: F.struct(bare(p[0]), bare(p[1]))))
+
+
+def truth_value(x: Column) -> Column:
+    """Boolean of a word; the query fails on others."""
+    low = F.lower(x)
+    known = F.when(low.isin("y", "yes", "t", "true", "on", "1"), True).when(low.isin("n", "no", "f", "false", "off", "0"), False)  # fixed values
+    return F.when(x.isNull(), F.lit(None).cast("boolean")).when(known.isNotNull(), known).otherwise(F.raise_error(F.concat(F.lit("no truth value: "), x)))
+
+
+def divisors(n: Column) -> Column:
+    return F.filter(F.sequence(F.lit(1).cast("long"), n.cast("long")), lambda i: n % i == 0)
+
+
+def tile_tokens(height: Column, width: Column, patches: int) -> Column:
+    """Tokens of an image in height x width tiles of `patches` tokens: a frame of 3, the whole image, and the tiles with a
+    separator each if there is more than one."""
+    tiles = height * width
+    return F.lit(3 + patches) + F.when(tiles > 1, tiles * (patches + 1)).otherwise(0)
+
+
+def spliced_at(x: Column, marker: int, parts: Column) -> Column:
+    """The i-th marker replaced by the i-th of the parts (an array of arrays); markers without a part go."""
+    number = lambda i: F.size(F.filter(F.slice(x, F.lit(1), i + 1), lambda t: t == marker))
+    return F.flatten(F.transform(x, lambda t, i: F.when(t == marker, F.coalesce(F.get(parts, number(i) - 1), F.array().cast("array<int>"))).otherwise(F.array(t))))
+
+
+def with_images(prompt: Column, marker: str, images: Column) -> Column:
+    """A prompt with as many image markers as there are images, the missing ones in front."""
+    return F.concat(F.repeat(F.lit(marker), F.greatest(F.lit(0), images - occurrences(prompt, marker)).cast("int")), prompt)
+
+
+def normalised_prompts(x: Column, kind: str, names: Column | None = None) -> Column:
+    """Prompts as a list of texts: kind is text, texts, tokens or token_lists; tokens become names (an array) joined by blanks."""
+    said = lambda tokens: F.array_join(F.transform(tokens, lambda t: F.get(names, t)), " ")
+    known = {"text": lambda: F.array(x), "texts": lambda: x, "tokens": lambda: F.array(said(x)), "token_lists": lambda: F.transform(x, said)}
+    if kind not in known:
+        raise ValueError(f"prompts of kind {kind}")
+    return known[kind]()
 
 
 def split_once(x: Column, separator: str) -> tuple[Column, Column]:

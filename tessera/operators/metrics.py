@@ -66,3 +66,27 @@ def ramp_up(start: int, end: int, increment: int, samples: int, steps: int) -> l
         while size < end and seen >= per_rise:
             seen, size = seen - per_rise, min(end, size + increment)
     return out
+
+
+def decoder_size(layers: Column, dim: Column, vocabulary: int, length: int) -> tuple[Column, Column]:
+    """(parameters, training operations of one sequence) of a decoder whose feed-forward part has three matrices of four times
+    its width: 6 operations for each weight and token, 12 for each pair of tokens and unit of width."""
+    weights = dim * dim * 4 + dim * dim * 12
+    parameters = layers * (weights + dim * 2) + dim * (2 * vocabulary)
+    return parameters, (layers * weights + dim * vocabulary) * (6 * length) + layers * dim * (12 * length * length)
+
+
+def schedule(tokens: Column, per_step: int, warmup: float, every: int) -> tuple[Column, Column, Column]:
+    """(steps, warm-up steps, steps between evaluations) for a number of tokens; the last two are 1 at least."""
+    steps = F.ceil(tokens / per_step)
+    return steps, F.greatest(F.lit(1).cast("long"), F.ceil(steps * warmup)), F.lit(max(1, -(-every // per_step))).cast("long")
+
+
+def exported_name(metric: Column, names: dict[str, str]) -> Column:
+    """The name under which a metric is exported; its own where none is given."""
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[metric], metric)
+
+
+def run_summary(df: DataFrame, by: list[str], order: list[str], value: str, steps: int) -> DataFrame:
+    """Average, median and sum over the newest steps - 10 rows with the value (all, if that isn't positive)."""
+    return last_n(df, by, order, value, steps - 10 if steps > 10 else 1 << 62)

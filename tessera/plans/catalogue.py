@@ -60,7 +60,8 @@ def indexed_events(spark, sf_dir) -> DataFrame:
 
 
 def indexed_docs(spark, sf_dir) -> DataFrame:
-    return ordering.dense_index(table(spark, sf_dir, "documents").select("doc_id", "source", text.words(F.coalesce("text", F.lit(""))).alias("w")), "doc_id")
+    """(idx, doc_id, n): documents in order of their ids, with their numbers of words; the texts aren't shuffled."""
+    return ordering.dense_index(table(spark, sf_dir, "documents").select("doc_id", F.size(text.words(F.coalesce("text", F.lit("")))).alias("n")), "doc_id")
 
 
 # ---------------------------------------------------------------- profile, splits, shards, order
@@ -123,9 +124,10 @@ def middle_slice(spark, sf_dir):
     return e.where((F.col("idx") >= half) & (F.col("idx") < half + 100)).select("event_id")
 
 
-@query("WITH k AS (SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 0.5::DOUBLE) / CASE lang WHEN 'en' THEN 0.5::DOUBLE WHEN 'de' THEN 0.25::DOUBLE ELSE 0.125::DOUBLE END AS place FROM documents WHERE lang IN ('en', 'de', 'fr', 'es')) SELECT doc_id, lang, round(place, 6) AS place FROM k")
+@query("WITH k AS (SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 0.5::DOUBLE) / CASE lang WHEN 'en' THEN 0.5::DOUBLE WHEN 'de' THEN 0.25::DOUBLE WHEN 'fr' THEN 0.125::DOUBLE WHEN 'es' THEN 0.125::DOUBLE END AS place FROM documents) SELECT doc_id, lang, round(place, 6) AS place FROM k")
 def weighted_interleave(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de", "fr", "es"))
+    """Places of all documents in a mixture of languages; a language without a weight has none."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return ordering.interleave(d, "lang", "doc_id", {"en": 4, "de": 2, "fr": 1, "es": 1}).select("doc_id", "lang", F.round("at", 6).alias("place"))
 
 
@@ -258,17 +260,18 @@ def trim_pad(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_real"), F.array_join(sequences.pad_or_trim(t, 32).cast("array<string>"), " ").alias("tokens"))
 
 
-@query(f"WITH {DOCS}, t AS (SELECT doc_id, list_transform(w[1:32], lambda x: length(x)) AS t FROM d WHERE len(w) > 0) SELECT doc_id, array_to_string(list_concat(t[2:], [0]), ' ') AS targets, array_to_string(list_transform(list_concat(t[2:], [0]), lambda x: CASE WHEN x IN (0, 1) THEN 0 ELSE 1 END), ' ') AS segments FROM t")
+@query(f"WITH {DOCS}, t AS (SELECT doc_id, list_transform(w, lambda x: length(x)) AS t FROM d WHERE len(w) > 0) SELECT doc_id, md5(array_to_string(list_concat(t[2:], [0]), ' ')) AS targets, md5(array_to_string(list_transform(list_concat(t[2:], [0]), lambda x: CASE WHEN x IN (0, 1) THEN 0 ELSE 1 END), ' ')) AS segments FROM t")
 def shift_targets(spark, sf_dir):
-    t = F.transform(F.slice(text.words(F.coalesce("text", F.lit(""))), 1, 32), F.length)
+    """Targets and segments of whole texts."""
+    t = F.transform(text.words(F.coalesce("text", F.lit(""))), F.length)
     d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).where(F.size("t") > 0).withColumn("g", sequences.shift_left(F.col("t"), 0))
     seg = sequences.mask_ignored(F.transform("t", lambda x: F.lit(1)), F.col("g"), [0, 1])
-    return d.select("doc_id", F.array_join(F.col("g").cast("array<string>"), " ").alias("targets"), F.array_join(seg.cast("array<string>"), " ").alias("segments"))
+    return d.select("doc_id", F.md5(F.array_join(F.col("g").cast("array<string>"), " ")).alias("targets"), F.md5(F.array_join(seg.cast("array<string>"), " ")).alias("segments"))
 
 
 @query(f"WITH {DOCS}, o AS (SELECT doc_id, len(w) AS n, coalesce(sum(len(w)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM d), c AS (SELECT *, unnest(range(o // 1024, (o + n - 1) // 1024 + 1)) AS chunk FROM o WHERE n > 0) SELECT chunk, sum(least((chunk + 1) * 1024, o + n) - greatest(chunk * 1024, o))::BIGINT AS n, count(*) AS n_docs FROM c GROUP BY 1")
 def concat_then_split(spark, sf_dir):
-    d = indexed_docs(spark, sf_dir).select("idx", "doc_id", F.size("w").cast("long").alias("n"))
+    d = indexed_docs(spark, sf_dir).withColumn("n", F.col("n").cast("long"))
     return sequences.concat_then_split(sequences.token_offsets(d, "n"), 1024).groupBy("chunk").agg(F.sum("tokens").alias("n"), F.count("*").alias("n_docs"))
 
 
@@ -277,7 +280,7 @@ def concat_then_split(spark, sf_dir):
         UNION ALL SELECT e.idx, e.n, CASE WHEN f.used + e.n <= 64 THEN f.bin ELSE f.bin + 1 END, CASE WHEN f.used + e.n <= 64 THEN f.used + e.n ELSE e.n END FROM f JOIN e ON e.idx = f.idx + 1 AND e.idx % 64 <> 0)
   SELECT idx // 64 AS block, bin, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM f GROUP BY 1, 2""")
 def greedy_pack(spark, sf_dir):
-    d = indexed_docs(spark, sf_dir).select("idx", F.least(F.size("w"), F.lit(64)).alias("n"))
+    d = indexed_docs(spark, sf_dir).select("idx", F.least("n", F.lit(64)).alias("n"))
     return sequences.greedy_pack(d, 64).groupBy("block", "bin").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
 
 
@@ -416,7 +419,9 @@ def knn_l2_top3(spark, sf_dir):
     return retrieval.nearest(v, v.where("vec_id % 20 = 0"), 3).select("query_id", "vec_id", "rank")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT 0 AS step, 4 AS size, 0 AS seen UNION ALL
+    SELECT step + 1, CASE WHEN size < 16 AND seen + size >= 20 THEN least(16, size + 4) ELSE size END, CASE WHEN size < 16 AND seen + size >= 20 THEN seen + size - 20 ELSE seen + size END FROM r WHERE step < 11)
+  SELECT step::INTEGER AS step, size::INTEGER AS size FROM r""")
 def rampup_batches(spark, sf_dir):
     return spark.createDataFrame(metrics.ramp_up(4, 16, 4, 60, 12), "step int, size int")
 

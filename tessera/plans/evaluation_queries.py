@@ -70,11 +70,12 @@ def common_prefix(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), scoring.common_prefix(letters(F.col("p_brand")), letters(F.lit("Brand#23"))).alias("n"))
 
 
-@query(f"""WITH {DOCS}, t AS (SELECT doc_id, flatten(list_transform(w[1:32], lambda x: CASE WHEN length(x) = 3 THEN [3, -2, -2] ELSE [length(x)] END)) AS t FROM d)
-  SELECT doc_id, array_to_string(list_concat(t, list_transform(range(40), lambda i: 0))[1:40], ' ') AS tokens FROM t""")
+@query(f"""WITH {DOCS}, t AS (SELECT doc_id, flatten(list_transform(w, lambda x: CASE WHEN length(x) = 3 THEN [3, -2, -2] ELSE [length(x)] END)) AS t FROM d)
+  SELECT doc_id, md5(array_to_string(list_concat(t, list_transform(range(1024), lambda i: 0))[1:1024], ' ')) AS tokens FROM t""")
 def insert_sequence(spark, sf_dir):
-    t = F.transform(F.slice(text.words(F.coalesce("text", F.lit(""))), 1, 32), F.length)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(scoring.insert_sequence(t, 3, [3, -2, -2], 40).cast("array<string>"), " ").alias("tokens"))
+    """Markers of whole texts replaced; the output's fixed length is the only cut."""
+    t = F.transform(text.words(F.coalesce("text", F.lit(""))), F.length)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(scoring.insert_sequence(t, 3, [3, -2, -2], 1024).cast("array<string>"), " ")).alias("tokens"))
 
 
 @query("""WITH q AS (SELECT l_orderkey, bool_or(l_quantity = 50) AS exact, bool_or(l_quantity >= 45) AS near FROM lineitem GROUP BY 1)
@@ -139,11 +140,11 @@ def positional_zip(spark, sf_dir):
     return evaluation.positional_zip(s, c)
 
 
-@query(f"""WITH {DOCS}, k AS (SELECT doc_id, CASE WHEN len(w) <= 128 THEN 128 WHEN len(w) <= 256 THEN 256 WHEN len(w) <= 512 THEN 512 ELSE 1024 END AS class FROM d WHERE len(w) <= 1024)
+@query(f"""WITH {DOCS}, k AS (SELECT doc_id, CASE WHEN len(w) <= 128 THEN 128 WHEN len(w) <= 256 THEN 256 WHEN len(w) <= 512 THEN 512 ELSE 1024 END AS class FROM d)
   SELECT row_number() OVER (ORDER BY class, {u('5', 'doc_id')}, doc_id) - 1 AS pos, doc_id, class::INTEGER AS class FROM k""")
 def length_class_order(spark, sf_dir):
     n = F.size(text.words(F.coalesce("text", F.lit(""))))
-    d = table(spark, sf_dir, "documents").select("doc_id", n.alias("n")).where("n <= 1024")
+    d = table(spark, sf_dir, "documents").select("doc_id", n.alias("n"))
     d = d.select("doc_id", sequences.bucket_of(F.col("n"), [128, 256, 512, 1024]).alias("class"), ordering.unit_hash("5", F.col("doc_id")).alias("u"))
     return ordering.dense_index(d, "class", "u", "doc_id", name="pos").select("pos", "doc_id", "class")
 
@@ -162,7 +163,7 @@ def padded_eval(spark, sf_dir):
 
 @query(f"WITH {DOCS}, p AS (SELECT doc_id, (len(w) + 63) // 64 AS pages FROM d) SELECT doc_id, pages, (sum(pages) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - pages)::BIGINT AS first_page FROM p")
 def page_allocation(spark, sf_dir):
-    d = indexed_docs(spark, sf_dir).select("idx", "doc_id", F.ceil(F.size("w") / 64).cast("long").alias("pages"))
+    d = indexed_docs(spark, sf_dir).select("idx", "doc_id", F.ceil(F.col("n") / 64).cast("long").alias("pages"))
     return sequences.token_offsets(d, "pages").select("doc_id", "pages", F.col("offset").alias("first_page"))
 
 
@@ -178,10 +179,11 @@ def balanced_order(spark, sf_dir):
     return p.select("id", F.array_join(sequences.balanced_order(F.col("x"), 2).cast("array<string>"), " ").alias("reordered"))
 
 
-@query("SELECT doc_id, sha256('v1|' || source || '|' || sha256(text)) AS key FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
+@query("SELECT doc_id, sha256('v1|' || coalesce(source, '') || '|' || sha256(coalesce(text, ''))) AS key FROM documents")
 def cache_keys(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL")
-    return d.select("doc_id", scoring.cache_key(F.col("text"), F.lit("v1"), F.col("source")).alias("key"))
+    """Keys of all documents; nulls count as empty."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", scoring.cache_key(F.coalesce("text", F.lit("")), F.lit("v1"), F.coalesce("source", F.lit(""))).alias("key"))
 
 
 @query("SELECT s_suppkey, (s_suppkey % 8)::INTEGER AS number, 8 AS shards, 'train' AS stem, 'b' || s_nationkey AS bucket, 'p/' || s_suppkey AS prefix FROM supplier")
