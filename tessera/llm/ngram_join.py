@@ -5,12 +5,13 @@ sequence as one; no words or null: the empty set, linked with nothing). Two text
 
 1. Every gram flips one bit of a parity sketch, so the Hamming distance of two sketches never exceeds |A ^ B|. Linked sets
    have |A ^ B| <= d = floor((|A| + |B|) * (1 - t) / (1 + t)).
-2. Sizes fall into geometric bands. In a band whose largest size is m, sketches have d(m, m) + 1 blocks or, in wide bands, an eighth more. A set
-   stands in its own band and, if it can link to larger ones there, in the next ones. Of the blocks it needs only the first
-   d(n, p) + 1, with n its size and p the largest that a partner in the band can have: linked sets differ in at most that
-   many bits less one, so at least one of the blocks that both have is equal (pigeonhole). In wide bands blocks without a
-   bit, which would be equal for most sets, are passed over: a set takes blocks until it has d(n, p) + 1 with bits; one of
-   those must be equal in the partner, which then takes it too. A block's bits are held as the XOR of 64-bit gram hashes.
+2. Sizes fall into geometric bands. In a band whose largest size is m, sketches have d(m, m) + 1 blocks and an eighth more. A set
+   stands in its own band and, if it can link to larger ones there, in the next ones. Blocks without a bit would be equal for
+   many sets and are passed over: of the blocks with bits a set takes the first d(n, p) + 1, with n its size and p the largest
+   that a partner in the band can have. Linked sets differ in fewer blocks than either takes (pigeonhole), so of those with
+   bits some are equal, and the first of them stands behind unequal ones only: both take it. Unless one set has fewer blocks
+   with bits than it takes, all unequal: then so has the other, and both stand in one block for such sets. A block's
+   bits are held as the XOR of 64-bit gram hashes.
 3. Texts with equal sets form a class; only class representatives are joined. A count finds the block values that more than
    one has; only members of these go on. Per block value they meet two hubs, its smallest and largest id (a partial
    aggregation, so a hot block isn't gathered); pairs pass a size test and the Hamming bounds of two folded sketches, a small
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, among, components, excluding, may_be_in, mix, pieces, released, sequence_hash, staged, utf8
+from .prefix_bpe import ragged
 
 _U = np.uint64
 FOLDED_WORDS = 16  # 1024 bits
@@ -43,21 +45,30 @@ BAND_RATIO = 1.35
 PIECE = 2048  # members of a block that are compared at once; a larger block is met piece by piece
 
 
-def gram_set(h: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct gram hashes of one text. h: gram hashes from each of its words on (only full ones), words: its words."""
-    if len(words) == 0:
-        return np.zeros(0, np.uint64)
-    if len(words) < k:
-        return np.array([sequence_hash(words)], np.uint64)
-    return np.unique(h)
+def gram_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the grams of all texts, sorted and distinct for each text; where each text's begin)."""
+    w = Words(data, at, fold=True)
+    count = np.diff(w.bounds)
+    full = np.maximum(0, count - k + 1)
+    text = np.repeat(np.arange(len(count)), full)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(full) - full, full) + np.repeat(w.bounds[:-1], full)
+    h = w.grams(k)[place] if len(place) else np.zeros(0, np.uint64)
+    short = np.flatnonzero((count > 0) & (full == 0))
+    if len(short):  # whole sequences of fewer words
+        text = np.concatenate([text, short])
+        h = np.concatenate([h, np.array([sequence_hash(w.hash[w.bounds[i] : w.bounds[i + 1]]) for i in short.tolist()], np.uint64)])
+    order = np.lexsort((h, text))
+    text, h = text[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1])
+    text, h = text[new], h[new]
+    return h, np.searchsorted(text, np.arange(len(count) + 1))
 
 
 def each_set(data: np.ndarray, at: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    w = Words(data, at, fold=True)
-    grams = w.grams(k)
-    for i in range(len(at) - 1):
-        a, b = int(w.bounds[i]), int(w.bounds[i + 1])
-        yield gram_set(grams[a : max(a, b - k + 1)], w.hash[a:b], k)
+    h, begin = gram_sets(data, at, k)
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+        yield h[a:b]
 
 
 def most_different(total: int, t: Fraction) -> int:
@@ -74,60 +85,75 @@ def band_tops(t: Fraction) -> list[int]:
     return tops
 
 
-def band_blocks(top: int, t: Fraction) -> tuple[int, bool]:
-    """(blocks of a band's sketches, whether blocks without bits are passed over)."""
+def band_blocks(top: int, t: Fraction) -> int:
+    """Blocks of a band's sketches: more than any set needs, as empty ones don't count."""
     need = most_different(2 * top, t) + 1
-    wide = top >= 200 and t >= Fraction(3, 4)
-    return (need + need // 8 + 8, True) if wide else (need, False)
-
-
-def block_keys(s: np.ndarray, band: int, blocks: int, need: int, skip: bool) -> np.ndarray:
-    """A 64-bit key for each of the first `need` blocks (with skip: of those with bits) of the parity sketch of set s."""
-    r = mix(s ^ _U((band * 0x9E3779B97F4A7C15) % 2**64))
-    place = ((r >> _U(32)) % _U(blocks)).astype(np.int64)
-    order = np.argsort(place, kind="stable")
-    used, begin = np.unique(place[order], return_index=True)
-    value = np.bitwise_xor.reduceat(mix(r[order] + _U(3)), begin)
-    if skip:
-        used, value = used[value != 0][:need], value[value != 0][:need]
-        if len(used) < need:  # of a probability below 1e-10 for each set; never a silent loss
-            raise ArithmeticError(f"{len(used)} of {need} blocks have bits")
-    else:
-        every = np.zeros(blocks, np.uint64)
-        every[used] = value
-        used, value = np.arange(need), every[:need]
-    return mix(mix(value) + used.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(band)).view(np.int64)
-
-
-def set_keys(s: np.ndarray, tops: np.ndarray, t: Fraction) -> np.ndarray:
-    """Keys of all blocks that set s needs to meet every set it links to, equal ones apart."""
-    n, keys = len(s), [np.zeros(0, np.int64)]
+    return need + need // 8 + 8
+
+
+def block_keys(sets: np.ndarray, begin: np.ndarray, band: np.ndarray, blocks: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, 64-bit key) for each of the first `need` blocks with bits of the parity sketch of each set; sets[begin[i]:begin[i + 1]]
+    are the grams of set i. A set that has fewer such blocks stands in all it has and in one block of such sets."""
+    size = np.diff(begin)
+    of = np.repeat(np.arange(len(size)), size)
+    tone = band.astype(np.uint64)
+    r = mix(sets ^ np.repeat(tone * _U(0x9E3779B97F4A7C15), size))
+    place = ((r >> _U(32)) % np.repeat(blocks.astype(np.uint64), size)).astype(np.int64)
+    slot = of << 32 | place
+    order = np.argsort(slot, kind="stable")
+    slot = slot[order]
+    first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
+    value = np.bitwise_xor.reduceat(mix(r[order] + _U(3)), first) if len(first) else np.zeros(0, np.uint64)
+    slot = slot[first][value != 0]
+    value = value[value != 0]
+    of, place = slot >> 32, (slot & 0xFFFFFFFF).astype(np.uint64)
+    number = np.arange(len(of)) - np.searchsorted(of, of)
+    taken = number < need[of]
+    key = mix(mix(value) + place * _U(0xD6E8FEB86659FD93) + tone[of])
+    few = np.flatnonzero(np.bincount(of, minlength=len(size)) < need)
+    return np.concatenate([of[taken], few]), np.concatenate([key[taken], mix(tone[few] * _U(0xA0761D6478BD642F) + _U(1))]).view(np.int64)
+
+
+def set_keys(sets: np.ndarray, begin: np.ndarray, tops: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) of all blocks that the sets need to meet every set they link to, equal ones apart; in order of the sets."""
+    n = np.diff(begin)
     most = n * t.denominator // t.numerator  # size of the largest partner
-    own = int(np.searchsorted(tops, n))
-    for band in range(own, int(np.searchsorted(tops, most)) + 1):
-        top = int(tops[band])
-        need = most_different(n + min(most, top), t) + 1
-        if need > 1:  # else only equal sets link
-            blocks, skip = band_blocks(top, t)
-            keys.append(block_keys(s, band, blocks, need, skip))
-    return np.concatenate(keys)
-
-
-def folded(s: np.ndarray) -> np.ndarray:
-    odd = (np.bincount((mix(s ^ _U(77)) % _U(64 * FOLDED_WORDS)).astype(np.int64), minlength=64 * FOLDED_WORDS) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view("<i8")
+    own, last = np.searchsorted(tops, n), np.searchsorted(tops, most)
+    blocks_of = {b: band_blocks(int(tops[b]), t) for b in range(int(own.min(initial=0)), int(last.max(initial=0)) + 1)}
+    found_sets, found_keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(int((last - own).max(initial=0)) + 1):
+        band = own + step
+        inside = (band <= last) & (n > 0)
+        need = (n + np.minimum(most, tops[np.minimum(band, len(tops) - 1)])) * (t.denominator - t.numerator) // (t.denominator + t.numerator) + 1
+        some = np.flatnonzero(inside & (need > 1))  # else only equal sets link
+        if len(some):
+            grams, at = ragged(sets, begin, some)
+            of, key = block_keys(grams, at, band[some], np.array([blocks_of[b] for b in band[some].tolist()]), need[some])
+            found_sets.append(some[of])
+            found_keys.append(key)
+    of, key = np.concatenate(found_sets), np.concatenate(found_keys)
+    order = np.argsort(of, kind="stable")
+    return of[order], key[order]
+
+
+def folded(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """(sets, FOLDED_WORDS): the bits of each set's folded sketch."""
+    bits = 64 * FOLDED_WORDS
+    size = np.diff(begin)
+    at = np.repeat(np.arange(len(size)), size) * bits + (mix(sets ^ _U(77)) % _U(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(size) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8").reshape(len(size), FOLDED_WORDS)
 
 
 def _features(batches, k: int):
     """Sizes and two digests of the sets."""
     for piece in pieces(batches, "text"):
-        out: list[list] = [[], [], []]
-        for s in each_set(*utf8(piece.column(1)), k):
-            r = mix(s)
-            out[0].append(len(s))
-            out[1].append(int(r.sum(dtype=np.uint64).view(np.int64)))
-            out[2].append(int(np.bitwise_xor.reduce(mix(r + _U(1))).view(np.int64)) if len(s) else 0)
-        yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(x, pa.int64()) for x in out)], names=["id", "n", "d1", "d2"])
+        sets, begin = gram_sets(*utf8(piece.column(1)), k)
+        r = mix(sets)
+        sums = np.concatenate([[_U(0)], np.cumsum(r)])
+        folds = np.concatenate([[_U(0)], np.bitwise_xor.accumulate(mix(r + _U(1)))])
+        digests = (sums[begin[1:]] - sums[begin[:-1]], folds[begin[1:]] ^ folds[begin[:-1]])
+        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(begin)), *(pa.array(d.view(np.int64)) for d in digests)], names=["id", "n", "d1", "d2"])
     released()
 
 
@@ -135,13 +161,12 @@ def _sketches(batches, k: int, t: Fraction):
     """Folded sketches and block keys of the sets."""
     tops = np.array(band_tops(t))
     for piece in pieces(batches, "text"):
-        sizes, lists = [], [[], []]
-        for s in each_set(*utf8(piece.column(1)), k):
-            sizes.append(len(s))
-            lists[0].append(folded(s))
-            lists[1].append(set_keys(s, tops, t))
-        lists = [pa.ListArray.from_arrays(np.cumsum([0] + [len(y) for y in x]).astype(np.int32), pa.array(np.concatenate(x))) for x in lists]
-        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sizes, pa.int64()), *lists], names=["id", "n", "folded", "keys"])
+        sets, begin = gram_sets(*utf8(piece.column(1)), k)
+        of, keys = set_keys(sets, begin, tops, t)
+        small = folded(sets, begin)
+        lists = [(np.arange(len(begin)) * FOLDED_WORDS, small.ravel()), (np.searchsorted(of, np.arange(len(begin))), keys)]
+        lists = [pa.ListArray.from_arrays(at.astype(np.int32), pa.array(x)) for at, x in lists]
+        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(begin)), *lists], names=["id", "n", "folded", "keys"])
     released()
 
 
@@ -201,26 +226,34 @@ def _connected(pairs: DataFrame, links: DataFrame | None, reps: DataFrame, docs:
 
 
 def _near_in_block(batches, t: Fraction):
-    """Pairs of different components, under the Hamming bound, in rows of pieces of a block."""
+    """Pairs of different components, under the size test and the Hamming bound, in rows of pieces of a block."""
+    gap, whole = t.denominator - t.numerator, t.denominator + t.numerator
     for batch in batches:
-        for row in batch.to_pylist():
-            left, right = row["left"], row["right"]
-            ids = [np.array([m["id"] for m in side]) for side in (left, right)]
-            n = [np.array([m["n"] for m in side]) for side in (left, right)]
-            root = [np.array([m["root"] for m in side]) for side in (left, right)]
-            s = [np.array([m["sketch"] for m in side], np.int64).view(np.uint64) for side in (left, right)]
-            found_a, found_b = [], []
-            for i in range(len(left)):
-                away = np.bitwise_count(s[1] ^ s[0][i]).sum(axis=1)
-                total = n[1] + n[0][i]
-                bound = total * (t.denominator - t.numerator) // (t.denominator + t.numerator)
-                small, large = np.minimum(n[1], n[0][i]), np.maximum(n[1], n[0][i])
-                hit = (away <= bound) & (root[1] != root[0][i]) & (small * t.denominator >= large * t.numerator)
-                found_a.append(np.minimum(ids[1][hit], ids[0][i]))
-                found_b.append(np.maximum(ids[1][hit], ids[0][i]))
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            if len(a):
-                ab = np.unique(np.stack([a, b]), axis=1)
+        for row in range(batch.num_rows):
+            sides = []
+            for column in range(2):
+                m = batch.column(column)[row].values
+                ids, n, root = (m.field(f).to_numpy(zero_copy_only=False) for f in ("id", "n", "root"))
+                bits = m.field("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), SMALL_WORDS)
+                order = np.argsort(n, kind="stable")
+                sides.append((ids[order], n[order], root[order], bits[order]))
+            (ids, n, root, bits), (ids2, n2, root2, bits2) = sides
+            # in order of size only those in reach of the size test are looked at
+            lo = np.searchsorted(n2, -(-n * t.numerator // t.denominator))
+            hi = np.searchsorted(n2, n * t.denominator // t.numerator, "right")
+            found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in range(len(ids)):
+                some = slice(int(lo[i]), int(hi[i]))
+                hit = np.flatnonzero(root2[some] != root[i])
+                if not len(hit):
+                    continue
+                hit += some.start
+                away = np.bitwise_count(bits2[hit] ^ bits[i]).sum(axis=1)
+                hit = hit[away <= (n2[hit] + n[i]) * gap // whole]
+                found_a.append(np.minimum(ids2[hit], ids[i]))
+                found_b.append(np.maximum(ids2[hit], ids[i]))
+            ab = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=1)
+            if ab.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
 
 

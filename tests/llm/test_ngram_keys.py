@@ -20,4 +20,5 @@ def test_linked_sets_share_a_key(threshold):
         both = len(np.intersect1d(a, b))
         if both < t * (len(a) + len(b) - both) or (gone == 0 and more <= 0):
             continue
-        assert len(np.intersect1d(set_keys(a, tops, t), set_keys(b, tops, t)))
+        of, keys = set_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), tops, t)
+        assert len(np.intersect1d(keys[of == 0], keys[of == 1]))
