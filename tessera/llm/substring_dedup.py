@@ -4,9 +4,11 @@ Words are runs without ASCII whitespace, compared as they are; shingles are five
 
 * lines of at least `min_words` words. Their MinHash signatures stand in BANDS bands of BAND_ROWS rows; at Jaccard 0.8 a pair
   meets with probability 1 - (1 - 0.8 ** rows) ** bands = 0.997.
-* windows of WINDOW words from content-chosen anchors (places where the hash of a word pair is the least within REACH words), so
-  that a passage is cut alike wherever it was pasted, also inside a line. They have one band, of their whole set: windows
-  meet when equal. Anchors are a few words apart, so of a passage of 50 words with an edit in it some windows are whole.
+* windows of WINDOW words from content-chosen anchors (of each REACH places that follow each other the one whose word pair has
+  the least hash), so that a passage is cut alike wherever it was pasted, also inside a line. They have one band, of their whole
+  set: windows meet when equal. Any REACH + WINDOW - 1 = 28 words that agree hold a whole window, so a passage of 50 words
+  always has one. For the same reason text that agrees goes on for less than 28 words beyond its first and last window:
+  CONTEXT words on each side are more than growth over equal words can need.
 
 Members of a band value join to its first member (smallest id, then place), which a partial aggregation finds, so a hot value is
 neither gathered nor expanded into pairs; the join is split by AQE. What the first member leaves open is met in a second step,
@@ -30,17 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, among, components, matched, mix, pieces, staged, utf8
+from .common import Words, among, components, fresh, matched, mix, pieces, released, staged, utf8
 
 WINDOW = 12
-REACH = 4
+REACH = 17  # places of which one is an anchor
 MELT = 50  # words between two windows of one stretch at most
 SLACK = 8  # by so many words their distances may differ
 EDIT = 4  # words of one edit that growth goes over
 BANDS = 6
 BAND_ROWS = 2
 SHINGLE = 5
-CONTEXT = 60  # words fetched on each side of a run, to grow it
+CONTEXT = 60  # words fetched on each side of a run, to grow it (see above)
 PIECE = 512  # members of a band value that are compared at once; a larger one is met piece by piece
 _U = np.uint64
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
@@ -50,29 +52,36 @@ UNITS = "key long, id long, place long, lead boolean"
 
 
 def anchors(pair: np.ndarray) -> np.ndarray:
-    """Places whose hash is the least within REACH places on both sides (the first of equal ones on the left). Where text goes
-    round in a loop equal least ones follow each other; of these every one at least WINDOW words behind the last anchor counts."""
+    """The place of the least hash (the first of equal ones) among each REACH places that follow each other: every stretch of
+    REACH places has one, whatever stands around it. Where text goes round in a loop equal ones follow each other closely; of
+    these only those at least WINDOW places behind the one before count."""
     n = len(pair)
     if n == 0:
         return np.zeros(0, np.int64)
-    wide = np.concatenate([np.full(REACH, ~_U(0)), pair, np.full(REACH, ~_U(0))])
-    left, right = wide[:n].copy(), wide[REACH + 1 : REACH + 1 + n].copy()
-    for k in range(1, REACH):
-        np.minimum(left, wide[k : k + n], out=left)
-        np.minimum(right, wide[REACH + 1 + k : REACH + 1 + k + n], out=right)
-    low = pair <= right
-    strict = np.flatnonzero(low & (pair < left))
-    equal = np.flatnonzero(low & (pair == left))
-    if not len(equal):
-        return strict
-    before = np.searchsorted(strict, equal) - 1
-    floor = np.where(before >= 0, strict[np.maximum(before, 0)], -WINDOW)
-    more, last = [], -WINDOW
-    for at, base in zip(equal.tolist(), floor.tolist()):
-        if at - max(last, base) >= WINDOW:
-            more.append(at)
-            last = at
-    return np.sort(np.concatenate([strict, np.array(more, np.int64)]))
+    if n <= REACH:
+        return np.array([int(pair.argmin())])
+    size = n - REACH + 1
+    least, at = pair.copy(), np.arange(n)
+    done = 1
+    while done < REACH:  # windows of `done` places become windows of done + step places
+        step = min(done, REACH - done)
+        left, right = least[:-step], least[step:]
+        at = np.where(right < left, at[step:], at[:-step])
+        least = np.minimum(left, right)
+        done += step
+    found = np.unique(at[:size])
+    same = np.flatnonzero((pair[found[1:]] == pair[found[:-1]]) & (np.diff(found) < WINDOW)) + 1
+    if not len(same):
+        return found
+    keep = np.ones(len(found), bool)
+    last = last_hash = None
+    for i in range(int(same[0]) - 1, len(found)):
+        p, h = int(found[i]), int(pair[found[i]])
+        if h == last_hash and p - last < WINDOW:
+            keep[i] = False
+        else:
+            last, last_hash = p, h
+    return found[keep]
 
 
 def _units(batches, min_words: int):
@@ -278,6 +287,14 @@ class Side:
         self.words = np.split(x.field("words").flatten().to_numpy().view(np.uint64), ends)
         self.grams = [_shingles(w) for w in self.words]
 
+    def aligned(self, pad: int) -> np.ndarray:
+        """Words of each member so that all windows begin in column CONTEXT; `pad` stands where there are none."""
+        out = np.full((len(self.words), 2 * CONTEXT + WINDOW), pad, np.uint64)
+        front = CONTEXT - ((self.place >> 32) - self.at)
+        for row, words, a in zip(out, self.words, front.tolist()):
+            row[a : a + len(words)] = words[: len(row) - a]
+        return out
+
     def index(self) -> None:
         """For `shared`: the shingles of all members, and where each member's begin."""
         self.size = np.array([len(g) for g in self.grams])
@@ -294,6 +311,13 @@ class Side:
         return total[self.first + self.size] - total[self.first]
 
 
+def _in_a_row(same: np.ndarray) -> np.ndarray:
+    """Number of true places in a row around the window of each row."""
+    ahead, behind = ~same[:, CONTEXT:], ~same[:, :CONTEXT][:, ::-1]
+    length = lambda x: np.where(x.any(axis=1), x.argmax(axis=1), x.shape[1])
+    return length(ahead) + length(behind)
+
+
 def _shingles(h: np.ndarray) -> np.ndarray:
     m = len(h) - SHINGLE + 1
     out = np.zeros(max(m, 0), np.uint64)
@@ -337,9 +361,13 @@ def _near_windows(batches, min_words: int, threshold: float):
             found = []
             for x, y in (sides,) if same else (sides, sides[::-1]):
                 y.index()
+                mine, others = x.aligned(0), y.aligned(1)
                 for i in np.flatnonzero(x.root == 1).tolist():
-                    enough = (y.id < x.id[i]) & (y.shared(x.grams[i]) >= int(threshold * (min_words - SHINGLE + 1)))
-                    near = np.flatnonzero(enough)
+                    shared = y.shared(x.grams[i])
+                    near = np.flatnonzero((y.id < x.id[i]) & (shared >= int(threshold * (min_words - SHINGLE + 1))))
+                    # words that agree in a row around the window; a longer run takes a shared shingle beyond them
+                    agree = _in_a_row(others[near] == mine[i])
+                    near = near[(agree >= min_words) | (shared[near] > agree - SHINGLE + 1)]
                     for j in near[np.lexsort((y.place[near], y.id[near]))].tolist():
                         at, hub_at = (int(s.place[k] >> 32) - int(s.at[k]) for s, k in ((x, i), (y, j)))
                         if _runs(x.words[i].tolist(), y.words[j].tolist(), [(at, hub_at)], min_words, threshold):
@@ -470,8 +498,9 @@ def _cut(batches, places: tuple[int, int]):
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, threshold: float = 0.8) -> DataFrame:
     """The documents without repeated passages, all columns kept. A document of which nothing stays goes."""
     spans = repeated_passages(docs, id_col, text_col, min_words, threshold)
-    spans = staged(spans.groupBy(F.col("id").alias(id_col)).agg(F.collect_set(F.struct("start", "n")).alias("__spans")), "spans")
+    cuts = fresh(docs, "cuts")
+    spans = staged(spans.groupBy(F.col("id").alias(id_col)).agg(F.collect_set(F.struct("start", "n")).alias(cuts)), "spans")
     hit, rest = matched(docs, spans, id_col)
-    hit = hit.select(*docs.columns, "__spans")
+    hit = hit.select(*docs.columns, cuts)
     places = (docs.columns.index(text_col), len(docs.columns))
     return rest.union(hit.mapInArrow(lambda it: _cut(it, places), docs.schema))
