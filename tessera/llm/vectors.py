@@ -1,4 +1,4 @@
-"""Vector search: exact top-k by an impact-ordered index (operator 6), approximate neighbours by Hilbert curves (operator 8).
+"""Vector search: exact top-k by an impact-ordered index (operator 6), near neighbours by Hilbert curves (operator 8).
 
 Only vectors that are not null and hold no null, NaN or infinite component take part, each against vectors of its own length.
 Ids are longs; a row is never its own candidate (rows of equal id count as one row's copies and aren't candidates of each
@@ -17,11 +17,11 @@ from .hilbert import hilbert_keys
 
 BLOCK = 4096  # vectors of an index block
 CHUNK = 1024  # queries that meet a block at once
-CURVES = 14
+CURVES = 8
 PROJECTED = 6  # dimensions of each curve
 BITS = 8
-WINDOW_SHARE = 0.05  # of the rows, on each side of a query on each curve
-LEAST_WINDOW = 100
+WINDOW = 16  # keys on each side of a query on each curve
+QUERIES_AT_ONCE = 128  # of a chunk, against a block
 FIT_ROWS = 4000
 
 
@@ -131,7 +131,7 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-# ---------------------------------------------------------------- approximate neighbours
+# ---------------------------------------------------------------- near neighbours
 class Curves:
     """CURVES Hilbert curves over random projections, each shifted; fitted on a bounded sample: its quantiles make the
     projected coordinates even."""
@@ -155,66 +155,110 @@ class Curves:
         return out
 
 
-def _nearest(batches, k: int):
+def _stacked(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _distances(batches, dim: int):
+    """(query_id, vec_id, score) of pairs with both vectors."""
+    for batch in batches:
+        if batch.num_rows:
+            x, q = (_stacked(batch.column(i), dim) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt(((x - q) ** 2).sum(axis=1)))], names=["query_id", "vec_id", "score"])
+
+
+def _balls(batches, dim: int):
+    """Centre and radius of each block."""
     for batch in batches:
         for r in range(batch.num_rows):
-            ids, own = (batch.column(n)[r].values.to_numpy() for n in ("ids", "own"))
-            x = batch.column("x")[r].values
-            x = _matrix(x, len(x.flatten()) // len(ids))
-            q = _matrix(batch.column("q")[r].values, x.shape[1])
-            out: list[list] = [[], [], []]
-            rough = (x**2).sum(axis=1)[None, :] - 2 * (q @ x.T)
-            for i in range(len(q)):
-                pick = np.flatnonzero(ids != own[i])
-                if len(pick) > 4 * k:  # the exact measure decides among a few more than k
-                    pick = pick[np.argpartition(rough[i, pick], 2 * k)[: 2 * k + 1]]
-                d = np.sqrt(((x[pick] - q[i]) ** 2).sum(axis=1))
-                best = np.lexsort((ids[pick], d))[:k]
-                out[0].append(np.full(len(best), own[i]))
-                out[1].append(ids[pick][best])
-                out[2].append(d[best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+            x = _stacked(batch.column("x")[r].values, dim)
+            centre = x.mean(axis=0)
+            yield pa.RecordBatch.from_arrays([batch.column("block").slice(r, 1), pa.array([centre.tolist()]), pa.array([float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())])], names=["block", "centre", "radius"])
+
+
+def _nearest(batches, k: int, dim: int):
+    """The k best of a block for each query, ties to the smaller id; what lies beyond a query's `reach` can't be among its best."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            ids, own, reach = (batch.column(n)[r].values.to_numpy() for n in ("ids", "own", "reach"))
+            x, q = (_stacked(batch.column(n)[r].values, dim) for n in ("x", "q"))
+            size, size_q = (x**2).sum(axis=1), (q**2).sum(axis=1)
+            for lo in range(0, len(q), QUERIES_AT_ONCE):
+                some = slice(lo, lo + QUERIES_AT_ONCE)
+                square = size[None, :] + size_q[some, None] - 2 * (q[some] @ x.T)
+                square[own[some, None] == ids[None, :]] = np.inf
+                blur = 1e-9 * (size_q[some] + size.max())  # more than what rounding can do
+                limit = reach[some] ** 2
+                if len(ids) > k:
+                    limit = np.minimum(limit, np.partition(square, k - 1, axis=1)[:, k - 1])
+                a, b = np.nonzero((square <= (limit + blur)[:, None]) & np.isfinite(square))
+                d = np.sqrt(((x[b] - q[some][a]) ** 2).sum(axis=1))
+                order = np.lexsort((ids[b], d, a))
+                a, b, d = a[order], b[order], d[order]
+                best = np.arange(len(a)) - np.searchsorted(a, a, "left") < k
+                yield pa.RecordBatch.from_arrays([pa.array(own[some][a[best]]), pa.array(ids[b[best]]), pa.array(d[best])], names=["query_id", "vec_id", "score"])
 
 
 def near_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by `every`, by Euclidean distance
-    on the original vectors. Every row stands on every curve; a query meets the rows of the window around it on each. Zero
-    vectors take no part. Windows are a share of the rows: in many dimensions neighbours are hardly nearer than
-    other rows, and recall needs that (README has measured figures)."""
+    """(query_id, rank, vec_id, score): the k nearest of each row whose id is divisible by `every`, by Euclidean distance on the
+    original vectors, ties to the smaller id. Every row stands on every curve. Zero vectors take no part.
+
+    1. A query meets the WINDOW keys on each side of it on each curve; the windows' members are merged and ranked by distance. The
+       k-th of them bounds how far off any of the k nearest can be.
+    2. Along the first curve rows make blocks and queries make chunks, each in a ball. A chunk meets only those blocks that come
+       within the bound of one of its queries, and there only nearer rows than the bound are ranked. So the result is exact. On
+       clustered vectors the bounds leave few blocks. In data without near neighbours (as isotropic ones in many dimensions) they
+       leave most: then this step is a scan of the query set against all rows in blocks."""
     spark = vectors.sparkSession
     rows = staged(usable(vectors, id_col, vector_col).where(F.exists("v", lambda x: x != 0)), "vectors")
     out = None
     for dim, n in sorted((r["dim"], r["count"]) for r in rows.groupBy("dim").count().collect()):  # lengths that occur
-        mine = rows.where(F.col("dim") == dim)
+        mine = rows.where(F.col("dim") == dim).select("id", "v")
         sample = np.array([r["v"] for r in mine.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()])
         model = spark.sparkContext.broadcast(Curves(sample))
 
-        def keyed(batches):
+        def keyed(batches, model=model, dim=dim):
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys = model.value.keys(np.stack(batch.column(1).to_pylist()).astype(np.float64))
-                c = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), c)), pa.array(np.tile(np.arange(c, dtype=np.int32), len(keys))), pa.array(keys.ravel())], names=["id", "curve", "key"])
+                if batch.num_rows:
+                    keys = model.value.keys(_stacked(batch.column(1), dim))
+                    c = keys.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), c)), pa.array(np.tile(np.arange(c, dtype=np.int32), len(keys))), pa.array(keys.ravel())], names=["id", "curve", "key"])
 
-        on_curves = mine.select("id", "v").mapInArrow(keyed, "id long, curve int, key long")
+        on_curves = mine.mapInArrow(keyed, "id long, curve int, key long")
         ranged = staged(on_curves.repartitionByRange("curve", "key", "id").withColumn("part", F.spark_partition_id()), "curves")
         sizes = ranged.groupBy("curve", "part").agg(F.count("*").alias("n"))  # a row for each part and curve
         before = sizes.select("curve", "part", (F.sum("n").over(Window.partitionBy("curve").orderBy("part")) - F.col("n")).alias("before"))
         place = F.row_number().over(Window.partitionBy("curve", "part").orderBy("key", "id")) - 1
         placed = ranged.withColumn("at", place).join(before, ["curve", "part"]).select("id", "curve", (F.col("at") + F.col("before")).alias("at"))
-        width = max(LEAST_WINDOW, round(n * WINDOW_SHARE))
-        size = min(BLOCK, max(64, width // 2))
-        placed = staged(placed.join(mine.select("id", "v"), "id"), "placed")
-        blocks = placed.groupBy("curve", F.floor(F.col("at") / size).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("r"))
-        blocks = blocks.select("curve", "block", F.col("r.id").alias("ids"), F.col("r.v").alias("x"))
-        reach = F.sequence(F.floor(F.greatest(F.col("at") - width, F.lit(0)) / size), F.floor(F.least(F.col("at") + width, F.lit(n - 1)) / size))
-        asked = placed.where(F.col("id") % every == 0).select("id", "v", "curve", F.explode(reach).alias("block"))
-        # the queries that meet a block, in rows of bounded size
-        asked = asked.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(max(1, n // every // 1024)))).groupBy("curve", "block", "c").agg(F.collect_list(F.struct("id", "v")).alias("r"))
-        asked = asked.select("curve", "block", F.col("r.id").alias("own"), F.col("r.v").alias("q"))
-        pairs = asked.join(blocks, ["curve", "block"]).select("ids", "x", "own", "q")
-        found = pairs.mapInArrow(lambda it: _nearest(it, k), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        placed = staged(placed, "placed")
+
+        # windows: ids first, then the vectors of each pair once
+        asked = placed.where(F.col("id") % every == 0)
+        around = asked.select(F.col("id").alias("query_id"), "curve", F.explode(F.sequence(F.col("at") - WINDOW, F.col("at") + WINDOW)).alias("at"))
+        pairs = around.join(placed, ["curve", "at"]).where("query_id <> id").select("query_id", "id").distinct()
+        queries = mine.where(F.col("id") % every == 0)
+        met = pairs.join(mine, "id").join(queries.toDF("query_id", "q"), "query_id").select("query_id", F.col("id").alias("vec_id"), F.col("v").alias("x"), "q")
+        seen = staged(met.mapInArrow(lambda it, dim=dim: _distances(it, dim), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "seen")
+        kth = seen.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("r") == k)  # windows are bounded
+        reach = kth.select(F.col("query_id").alias("id"), F.col("score").alias("reach"))
+
+        # blocks and chunks along the first curve
+        line = placed.where("curve = 0").select("id", "at").distinct()
+        blocks = mine.join(line.select("id", F.floor(F.col("at") / BLOCK).alias("block")), "id").groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("r"))
+        blocks = staged(blocks.select("block", F.col("r.id").alias("ids"), F.col("r.v").alias("x")), "blocks")
+        wanted = queries.join(line, "id").join(reach, "id", "left").select("id", "v", F.coalesce("reach", F.lit(float("inf"))).alias("reach"), F.floor(F.col("at") / (CHUNK * every)).alias("chunk"))
+        chunks = wanted.groupBy("chunk").agg(F.collect_list(F.struct("id", "v", "reach")).alias("r"))
+        chunks = staged(chunks.select("chunk", F.col("r.id").alias("own"), F.col("r.v").alias("q"), F.col("r.reach").alias("reach")), "chunks")
+        ball = "block long, centre array<double>, radius double"
+        balls = staged(blocks.select("block", "x").mapInArrow(lambda it, dim=dim: _balls(it, dim), ball), "balls")
+        rings = chunks.select(F.col("chunk").alias("block"), F.col("q").alias("x")).mapInArrow(lambda it, dim=dim: _balls(it, dim), ball)
+        rings = rings.toDF("chunk", "c", "r").join(chunks.select("chunk", F.array_max("reach").alias("reach")), "chunk")
+        rings = rings.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // BLOCK).cast("long"))))
+        apart = F.sqrt(F.aggregate(F.zip_with("c", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        close = rings.join(balls, "block").where(apart <= (F.col("r") + F.col("radius") + F.col("reach")) * (1 + 1e-9)).select("chunk", "block")
+        both = close.join(chunks, "chunk").join(blocks, "block").select("ids", "x", "own", "q", "reach")
+        found = both.mapInArrow(lambda it, dim=dim: _nearest(it, k, dim), "query_id long, vec_id long, score double")
+        found = found.union(seen).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")
         found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         out = found if out is None else out.union(found)
