@@ -5,33 +5,17 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-# ---------------------------------------------------------------- staged tables
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset, a temporary folder, in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+from ..staging import discard, new_path, shared_dir, staged  # noqa: F401 (for the operators)
 
 
+# ---------------------------------------------------------------- tables and columns
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -40,20 +24,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a staged table that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def _marked(df: DataFrame, ids: DataFrame, column: str, most_bits: int) -> tuple[DataFrame, str]:
     """df with a new column (its name comes second): false where a bitmap of at most most_bits proves that `column` isn't in
     ids. The bitmap is a broadcast table of fixed size; false positives are for an exact join behind it."""
@@ -97,11 +67,14 @@ def matched(df: DataFrame, more: DataFrame, column: str, most_bits: int = 1 << 2
 # ---------------------------------------------------------------- connected components
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) with root the smallest node reachable; edges has long columns a, b. Nodes without edges don't appear.
-    Alternating large-star and small-star rounds; each round is a staged table, and no list of links reaches the driver."""
-    spark = edges.sparkSession
+    Alternating large-star and small-star rounds, until every node has one edge, to a node that has none to smaller ones; each
+    round is a staged table, and no list of links reaches the driver."""
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    before = None
     for _ in range(most_rounds):
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("top")).union(now.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("top").alias("top"))
+        if ends.where("low > 1 OR low = 1 AND top = 1").isEmpty():
+            break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
@@ -109,11 +82,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(low, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         small = small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        now = staged(small, "cc")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+        last, now = now, staged(small, "cc")
+        discard(last)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
