@@ -23,7 +23,7 @@ from .common import staged
 
 MARGINS = ("source", "lang", "topic")
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 1.0}
-NONE = "\x00null"  # stands for null inside
+NONE = "-"  # stands for null inside, where every value has a sign in front
 
 
 def text_form(text: Column) -> Column:
@@ -68,18 +68,20 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
     return now.select(*MARGINS, "tokens", "w")
 
 
-def mixture(docs: DataFrame, targets: dict[str, dict[str | None, float]] | None = None, budget: float = 0.8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, seed: int = 17) -> DataFrame:
-    """(id, source, lang, topic, n_tokens, probability, drawn) for every document."""
+def mixture(docs: DataFrame, targets: dict[str, dict[str | None, float]] | None = None, budget: float = 0.8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, tokens_col: str | None = None, seed: int = 17) -> DataFrame:
+    """(id, source, lang, topic, n_tokens, probability, drawn) for every document. tokens_col has token counts; without it words
+    between white space count."""
     spark, text = docs.sparkSession, F.col(text_col)
-    named = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
-    tokens = F.greatest(F.lit(1), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))).cast("long")
+    named = lambda c: F.coalesce(F.concat(F.lit("+"), c.cast("string")), F.lit(NONE))
+    tokens = F.col(tokens_col) if tokens_col else F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
+    tokens = F.greatest(F.lit(1), F.coalesce(tokens, F.lit(1))).cast("long")
     topic = F.col(topic_col) if topic_col else text_form(text)
     rows = staged(docs.select(F.col(id_col).alias("id"), named(F.col(source_col)).alias("source"), named(F.col(lang_col)).alias("lang"), named(topic).alias("topic"), tokens.alias("n_tokens")), "rows")
     cells = staged(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     wanted = {}
     for m in MARGINS:
         if targets and m in targets:
-            given = spark.createDataFrame([(NONE if k is None else str(k), float(v)) for k, v in targets[m].items()], f"{m} string, share double")
+            given = spark.createDataFrame([(NONE if k is None else f"+{k}", float(v)) for k, v in targets[m].items()], f"{m} string, share double")
             given = given.join(cells.select(m).distinct(), m, "left_semi")
         else:
             given = cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(POWERS[m])).alias("share"))
@@ -89,7 +91,7 @@ def mixture(docs: DataFrame, targets: dict[str, dict[str | None, float]] | None
     all_tokens = cells.agg(F.sum("tokens")).first()[0] or 0
     # f by fixed-point steps: cells that reach probability 1 give what they can, the others share the rest
     goal, f = budget * all_tokens, budget * all_tokens
-    for _ in range(30):
+    while True:  # each step but the last brings a further cell to probability 1
         ratio = F.lit(f) * F.col("w") / F.col("tokens")
         full, open_ = raked.agg(F.sum(F.when(ratio >= 1, F.col("tokens")).otherwise(0)), F.sum(F.when(ratio < 1, F.col("w")).otherwise(0.0))).first()
         if not open_:
@@ -101,5 +103,5 @@ def mixture(docs: DataFrame, targets: dict[str, dict[str | None, float]] | None
     chance = raked.select(*MARGINS, F.least(F.lit(1.0), F.lit(f) * F.col("w") / F.col("tokens")).alias("probability"))
     out = rows.join(chance, list(MARGINS), "left").fillna(0.0, ["probability"])
     u = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    value = lambda m: F.nullif(F.col(m), F.lit(NONE)).alias(m)
+    value = lambda m: F.when(F.col(m) != NONE, F.substring(m, 2, 1 << 30)).alias(m)
     return out.select(F.col("id").alias(id_col), *map(value, MARGINS), "n_tokens", "probability", (u < F.col("probability")).alias("drawn"))

@@ -40,19 +40,20 @@ def pack_items(sizes: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, n_tokens, law, shard, slot, grown_shard) with law `bytes`: the shards' sizes are nearly equal."""
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None) -> DataFrame:
+    """(id, size, text_crc32, law, shard, slot, grown_shard, n_tokens) with law `bytes`: the shards' sizes are nearly equal.
+    tokens_col has token counts; without it words between white space count."""
     spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("n_tokens"),
+        (F.coalesce(F.col(tokens_col), F.lit(0)) if tokens_col else F.regexp_count(text, F.lit(r"\S+"))).cast("long").alias("n_tokens"),
         F.xxhash64(F.col(text_col).isNull(), text).alias("g"),
     )
     rows = staged(rows, "rows")
     sums = [F.sum("size").alias("size"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("rows")]
     total = rows.agg(*sums).first()
     if not total["rows"]:
-        return rows.select(F.col("id").alias(id_col), "size", "text_crc32", "n_tokens", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        return rows.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "n_tokens")
     share = F.greatest(*(F.col(c) / max(1, total[c]) for c in ("size", "n_tokens", "rows")))
     heavy = rows.groupBy("g").agg(*sums).withColumn("share", share).where(F.col("share") > 1 / (HEAVY * shards))
     heavy = [(r["g"], r["share"]) for r in heavy.collect()]  # at most 3 * HEAVY * shards groups
@@ -70,4 +71,4 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     before = before.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("before"))
     at = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "text_crc32")) - 1
     out = rows.withColumn("at", at).join(before, ["shard", "part"])
-    return out.select(F.col("id").alias(id_col), "size", "text_crc32", "n_tokens", F.lit("bytes").alias("law"), "shard", (F.col("at") + F.col("before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") + F.col("before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "n_tokens")
