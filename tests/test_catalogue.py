@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import catalogue, evaluation_queries, packing_queries, record_queries, scoring_queries  # noqa: F401
+from tessera.plans import catalogue, evaluation_queries, packing_queries, record_queries, scoring_queries, source_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -1,5 +1,6 @@
 import datetime
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,8 @@ def test_text(spark):
 def test_records_round_trip(spark):
     df = spark.createDataFrame([("1.2.3.4", None, 4, 1.5, 10), ("é", "b", 6, -1.0, 2)], measurement_records.SCHEMA)
     assert sorted(measurement_records.decode(measurement_records.encode(df)).collect(), key=str) == sorted(df.collect(), key=str)
+    raw = measurement_records.encode(df.where("ip_version = 4"), "s").first()[0]
+    assert bytes(raw) == b"\x07\x001.2.3.4\x00\x00" + struct.pack("<qfq", 4, 1.5, 0)
 
 
 def test_sources(spark, tmp_path):
