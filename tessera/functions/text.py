@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import bz2
+import lzma
 import re
+import zlib
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -207,3 +211,34 @@ def stop_cut(x: Column, stops: list[str]) -> Column:
     """Text up to the first of several stop strings."""
     first = F.array_min(F.filter(F.array(*(F.instr(x, s) for s in stops)), lambda i: i > 0))
     return F.when(first.isNull(), x).otherwise(F.substring(x, F.lit(1), first - 1))
+
+
+def hex_numbers(x: Column, size: int = 4) -> Column:
+    """Signed little-endian whole numbers of `size` bytes each (4 or 8) of a hex text; a rest of fewer bytes is left out."""
+    count = F.floor(F.length(x) / (2 * size)).cast("int")
+    one = lambda i: F.concat(*(F.substring(x, i * (2 * size) + (2 * b + 1), F.lit(2)) for b in range(size - 1, -1, -1)))
+    high, low = (lambda t: F.conv(F.substring(t, 1, 8), 16, 10).cast("long")), (lambda t: F.conv(F.substring(t, 9, 8), 16, 10).cast("long"))
+    number = (lambda t: F.shiftleft(high(t), 32).bitwiseOR(low(t))) if size == 8 else (lambda t: F.when(high(t) > 2147483647, high(t) - 4294967296).otherwise(high(t)))
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: number(one(i)))).otherwise(F.array().cast("array<long>"))
+
+
+def rouge(a: Column, b: Column, n: int = 1) -> Column:
+    """F1 of the n-grams that two word arrays share, each as often as both have it; 0 where one has none."""
+    grams = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    x, y = grams(a), grams(b)
+    times = lambda w, g: F.size(F.filter(w, lambda h: h == g))
+    both = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(times(x, g), times(y, g)))
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), both * 2.0 / (F.size(x) + F.size(y))).otherwise(0.0)
+
+
+def compressed_sizes(x: Column) -> Column:
+    """Bytes of a text under three general compressors, and the least of them. None of them is a built-in function; rows come in
+    Arrow batches."""
+
+    @F.pandas_udf("deflate int, bzip2 int, lzma int, least int")
+    def sizes(texts: pd.Series) -> pd.DataFrame:
+        raw = [(t or "").encode() for t in texts]
+        out = pd.DataFrame({name: [len(f(r)) for r in raw] for name, f in (("deflate", zlib.compress), ("bzip2", bz2.compress), ("lzma", lzma.compress))}, dtype="int32")
+        return out.assign(least=out.min(axis=1))
+
+    return sizes(x)

@@ -298,3 +298,41 @@ def shuffled_blocks(spark, sf_dir):
     t = codec.shuffled_measurement(*map(F.col, ("src", "dst", "rtt", "sec", "prev")), F.lit(4))
     m = with_previous(measurements(spark, sf_dir)).select("event_id", t.alias("t"))
     return m.select("event_id", joined(F.array_sort("t")).alias("sorted_tokens"))
+
+
+@query("SELECT o_orderkey AS id, array_to_string([CASE WHEN o_custkey % 40000 BETWEEN 0 AND 32000 THEN o_custkey % 40000 ELSE 1 END, -5, o_orderkey], ' ') AS numbers FROM orders")
+def hex_results(spark, sf_dir):
+    """Token ids from a hex log; a first one outside the vocabulary becomes 1."""
+    low = lambda c: F.lower(F.lpad(F.hex(c), 8, "0"))
+    turned = lambda h: F.concat(*(F.substring(h, i, 2) for i in (7, 5, 3, 1)))
+    raw = F.concat(turned(low(F.col("o_custkey") % 40000)), F.lit("fbffffff"), turned(low(F.col("o_orderkey"))))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.hex_numbers(raw).alias("n"))
+    first = F.when(F.col("n")[0].between(0, 32000), F.col("n")[0]).otherwise(1)
+    return o.select("id", joined(F.concat(F.array(first), F.slice("n", F.lit(2), F.size("n") - 1))).alias("numbers"))
+
+
+FIRST = """p AS (SELECT conv_id, list_filter(string_split_regex((list(coalesce(text, '') ORDER BY turn, coalesce(text, '')) FILTER (WHERE role = 'user'))[1], '\s+'), lambda x: x <> '') AS a,
+  list_filter(string_split_regex((list(coalesce(text, '') ORDER BY turn, coalesce(text, '')) FILTER (WHERE role = 'assistant'))[1], '\s+'), lambda x: x <> '') AS b FROM conversations GROUP BY 1)"""
+
+
+@query(f"""WITH {FIRST}, o AS (SELECT a, b, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS o FROM p WHERE a IS NOT NULL AND b IS NOT NULL)
+  SELECT count(*) AS n, round(100 * avg(CASE WHEN len(a) > 0 AND len(b) > 0 THEN 2.0::DOUBLE * o / (len(a) + len(b)) ELSE 0 END), 4) AS rouge_1, sum(len(b))::BIGINT AS length, round(sum(len(b)) / count(*), 1) AS tokens_per_sample FROM o""")
+def rouge_scores(spark, sf_dir):
+    """Mean score of first answers against first prompts, in percent, and their lengths."""
+    first = lambda role: text.words(F.get(F.filter("m", lambda x: x["role"] == role), F.lit(0))["content"])
+    p = chat(spark, sf_dir).select(first("user").alias("a"), first("assistant").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    return p.agg(F.count("*").alias("n"), F.round(F.avg(text.rouge(F.col("a"), F.col("b"))) * 100, 4).alias("rouge_1"), F.sum(F.size("b")).alias("length"), F.round(F.sum(F.size("b")) / F.count("*"), 1).alias("tokens_per_sample"))
+
+
+@query("SELECT doc_id, strlen(coalesce(text, '')) AS n, true AS fits FROM documents")
+def compression_sizes(spark, sf_dir):
+    """Bytes of each text, and whether the least of three compressors' sizes is that of one of them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), text.compressed_sizes(F.col("text")).alias("c"))
+    return d.select("doc_id", "n", (F.col("c.least") == F.least("c.deflate", "c.bzip2", "c.lzma")).alias("fits"))
+
+
+@query("SELECT p_partkey AS id, 'Solve: ' || trim(p_name) || chr(10) AS prompt, p_size::VARCHAR AS answer FROM part")
+def task_rows(spark, sf_dir):
+    """Rows of a task source: the rendered prompt, and the answer behind the mark."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question"), F.concat(F.lit("because\n#### "), F.col("p_size").cast("string")).alias("answer"))
+    return p.select("id", text.fill_template("Solve: {question}\n", {"question": F.col("question")}).alias("prompt"), text.hash_answer(F.col("answer")).alias("answer"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +46,19 @@ def synthetic(spark: SparkSession, rows: int, length: int, vocabulary: int, seed
 
 def placeholder(spark: SparkSession, rows: int, length: int) -> DataFrame:
     return spark.range(rows).select("id", F.array_repeat(F.lit(-1), length).alias("inputs"))
+
+
+def find_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Sorted paths that match a glob pattern, in any file system that Spark reads; a FileNotFoundError if there are none."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern.replace("~", os.path.expanduser("~"), 1) if pattern.startswith("~") else pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    names = sorted(x.getPath().toString() for x in found or [])
+    if not names:
+        raise FileNotFoundError(pattern)
+    return names
+
+
+def pad_id(pad: int | None, unknown: int | None) -> int:
+    """The token id that fills up sequences: the tokenizer's own, else that of unknown tokens, else -1."""
+    return next((i for i in (pad, unknown) if i is not None and i >= 0), -1)

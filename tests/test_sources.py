@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import codec, text
 from tessera.operators import columns, graph
-from tessera.sources import datasets, sinks, tfrecord
+from tessera.sources import datasets, readers, sinks, tfrecord
 from tessera.streaming import metrics as streaming
 
 
@@ -85,6 +85,10 @@ def test_sinks(spark, tmp_path):
     sinks.write_dimensions(df, f"{base}/dims", ["id"])
     assert spark.read.json(f"{base}/dims").where("dimensions.id = 3").first()["metrics"]["text"] == " t3 "
     assert sinks.copied(spark, f"{base}/texts", f"{base}/copy") and not sinks.copied(spark, f"{base}/texts", f"{base}/copy")
+    assert readers.find_files(spark, f"{base}/tex*/*.parquet") == sorted(f"file:{p}" for p in (tmp_path / "texts").glob("*.parquet"))
+    with pytest.raises(FileNotFoundError):
+        readers.find_files(spark, f"{base}/nothing*")
+    assert [readers.pad_id(*x) for x in ((0, 3), (None, 3), (-1, None))] == [0, 3, -1]
     assert sinks.folder_bytes(spark, f"{base}/texts", "*.parquet") == sum(p.stat().st_size for p in (tmp_path / "texts").glob("*.parquet"))
     assert {tuple(r) for r in sinks.manifest(df.selectExpr("id % 2 AS shard"), "shard").collect()} == {(0, 50, 100), (1, 50, 100)}
 
