@@ -16,6 +16,18 @@ from ..staging import discard, new_path, shared_dir, staged  # noqa: F401 (for t
 
 
 # ---------------------------------------------------------------- tables and columns
+@contextlib.contextmanager
+def rows_at_once(spark, n: int):
+    """Arrow batches of at most n rows for what runs inside: for wide rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have."""
     taken = {c.lower() for c in df.columns}

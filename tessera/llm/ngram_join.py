@@ -35,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, among, components, excluding, may_be_in, mix, pieces, released, sequence_hash, staged, utf8
+from .common import Words, among, components, excluding, may_be_in, mix, pieces, released, rows_at_once, sequence_hash, staged, utf8
 from .prefix_bpe import ragged
 
 _U = np.uint64
 FOLDED_WORDS = 16  # 1024 bits
 SMALL_WORDS = 4  # the same sketch folded once more
 BAND_RATIO = 1.35
+PAIRS = 1 << 18  # pairs of members that are looked at together
 PIECE = 2048  # members of a block that are compared at once; a larger block is met piece by piece
 
 
@@ -225,36 +226,40 @@ def _connected(pairs: DataFrame, links: DataFrame | None, reps: DataFrame, docs:
     return links, roots
 
 
+def _members(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(offsets, [ids, sizes, roots, sketches]) of the members in all rows of a list column."""
+    m = column.flatten()
+    ids, n, root = (m.field(f).to_numpy(zero_copy_only=False) for f in ("id", "n", "root"))
+    bits = m.field("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), SMALL_WORDS)
+    return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]), [ids, n, root, bits]
+
+
 def _near_in_block(batches, t: Fraction):
-    """Pairs of different components, under the size test and the Hamming bound, in rows of pieces of a block."""
+    """Pairs of different components, under the size test and the Hamming bound, in rows of pieces of a block. The pairs of all
+    rows of a batch are looked at together, PAIRS at a time."""
     gap, whole = t.denominator - t.numerator, t.denominator + t.numerator
     for batch in batches:
-        for row in range(batch.num_rows):
-            sides = []
-            for column in range(2):
-                m = batch.column(column)[row].values
-                ids, n, root = (m.field(f).to_numpy(zero_copy_only=False) for f in ("id", "n", "root"))
-                bits = m.field("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), SMALL_WORDS)
-                order = np.argsort(n, kind="stable")
-                sides.append((ids[order], n[order], root[order], bits[order]))
-            (ids, n, root, bits), (ids2, n2, root2, bits2) = sides
-            # in order of size only those in reach of the size test are looked at
-            lo = np.searchsorted(n2, -(-n * t.numerator // t.denominator))
-            hi = np.searchsorted(n2, n * t.denominator // t.numerator, "right")
-            found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i in range(len(ids)):
-                some = slice(int(lo[i]), int(hi[i]))
-                hit = np.flatnonzero(root2[some] != root[i])
-                if not len(hit):
-                    continue
-                hit += some.start
-                away = np.bitwise_count(bits2[hit] ^ bits[i]).sum(axis=1)
-                hit = hit[away <= (n2[hit] + n[i]) * gap // whole]
-                found_a.append(np.minimum(ids2[hit], ids[i]))
-                found_b.append(np.maximum(ids2[hit], ids[i]))
-            ab = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=1)
-            if ab.shape[1]:
+        at, (ids, n, root, bits) = _members(batch.column(0))
+        at2, (ids2, n2, root2, bits2) = _members(batch.column(1))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+        met = np.diff(at2)[row]  # partners of each member on the left
+        upto = np.concatenate([[0], np.cumsum(met)])
+        i = 0
+        while i < len(ids):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + PAIRS, "right")) - 1)
+            left = np.repeat(np.arange(i, j), met[i:j])
+            right = np.arange(len(left)) - np.repeat(upto[i:j] - upto[i], met[i:j]) + np.repeat(at2[row[i:j]], met[i:j])
+            some = root[left] != root2[right]
+            left, right = left[some], right[some]
+            small, large = np.minimum(n[left], n2[right]), np.maximum(n[left], n2[right])
+            some = small * t.denominator >= large * t.numerator
+            left, right, total = left[some], right[some], (small + large)[some]
+            some = np.bitwise_count(bits[left] ^ bits2[right]).sum(axis=1) <= total * gap // whole
+            a, b = ids[left[some]], ids2[right[some]]
+            if len(a):
+                ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
+            i = j
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
@@ -297,7 +302,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = staged(blocks, "blocks")
     a = blocks.select("key", F.col("piece").alias("p"), F.col("members").alias("left"), F.explode(F.sequence("piece", F.ceil(F.col("m") / PIECE) - 1)).alias("piece"))
     paired = a.join(blocks.select("key", "piece", F.col("members").alias("right")), ["key", "piece"]).select("left", "right")
-    near = paired.mapInArrow(lambda it: _near_in_block(it, t), "a long, b long").distinct()
+    with rows_at_once(docs.sparkSession, 256):  # a row has up to two pieces
+        near = staged(paired.mapInArrow(lambda it: _near_in_block(it, t), "a long, b long").distinct(), "near")
     _, roots = _connected(near, links, reps, docs, k, t)
 
     out = of_class.join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, among, components, fresh, matched, mix, pieces, released, staged, utf8
+from .common import Words, among, components, fresh, matched, mix, pieces, released, rows_at_once, staged, utf8
 
 WINDOW = 12
 REACH = 17  # places of which one is an anchor
@@ -278,31 +278,32 @@ def _compared(batches, min_words: int, threshold: float):
 
 
 class Side:
-    """A piece of a band value's members."""
+    """A piece of a band value's members: their words, one behind the other, and their shingles."""
 
     def __init__(self, members):
         x = members.values
         self.id, self.place, self.root, self.at = (x.field(n).to_numpy(zero_copy_only=False).copy() for n in ("id", "place", "root", "at"))
-        ends = np.cumsum(x.field("words").value_lengths().to_numpy())[:-1]
-        self.words = np.split(x.field("words").flatten().to_numpy().view(np.uint64), ends)
-        self.grams = [_shingles(w) for w in self.words]
-
-    def aligned(self, pad: int) -> np.ndarray:
-        """Words of each member so that all windows begin in column CONTEXT; `pad` stands where there are none."""
-        out = np.full((len(self.words), 2 * CONTEXT + WINDOW), pad, np.uint64)
-        front = CONTEXT - ((self.place >> 32) - self.at)
-        for row, words, a in zip(out, self.words, front.tolist()):
-            row[a : a + len(words)] = words[: len(row) - a]
-        return out
-
-    def index(self) -> None:
-        """For `shared`: the shingles of all members, and where each member's begin."""
-        self.size = np.array([len(g) for g in self.grams])
-        self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
-        self.known, self.number = np.unique(np.concatenate(self.grams), return_inverse=True)
+        self.flat = x.field("words").flatten().to_numpy().view(np.uint64)
+        self.length = x.field("words").value_lengths().to_numpy().astype(np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        size = np.maximum(self.length - SHINGLE + 1, 0)
+        self.gram_at = np.repeat(self.begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        self.gram = _shingles(self.flat)[self.gram_at]
+        self.grams = np.split(self.gram, np.cumsum(size)[:-1])
+
+    def words(self, i: int, own: int) -> list[int]:
+        """Words of a member; those that are not `known` get numbers below 0 from `own` down, which stand nowhere else."""
+        part = slice(self.begin[i], self.begin[i] + self.length[i])
+        return [w if k else own - n for n, (w, k) in enumerate(zip(self.flat[part].tolist(), self.known_words[part].tolist()))]
+
+    def index(self, some: list[int]) -> None:
+        """For `shared`: the shingles of some members, and where each member's begin."""
+        self.size = np.array([len(self.grams[i]) for i in some], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.known, self.number = np.unique(np.concatenate([self.grams[i] for i in some]), return_inverse=True)
 
     def shared(self, grams: np.ndarray) -> np.ndarray:
-        """How many of each member's shingles are among these."""
+        """How many shingles of each indexed member are among these."""
         flag = np.zeros(len(self.known) + 1, bool)
         at = np.searchsorted(self.known, grams)
         at = at[at < len(self.known)][self.known[at[at < len(self.known)]] == grams[at < len(self.known)]]
@@ -311,13 +312,6 @@ class Side:
         return total[self.first + self.size] - total[self.first]
 
 
-def _in_a_row(same: np.ndarray) -> np.ndarray:
-    """Number of true places in a row around the window of each row."""
-    ahead, behind = ~same[:, CONTEXT:], ~same[:, :CONTEXT][:, ::-1]
-    length = lambda x: np.where(x.any(axis=1), x.argmax(axis=1), x.shape[1])
-    return length(ahead) + length(behind)
-
-
 def _shingles(h: np.ndarray) -> np.ndarray:
     m = len(h) - SHINGLE + 1
     out = np.zeros(max(m, 0), np.uint64)
@@ -326,6 +320,28 @@ def _shingles(h: np.ndarray) -> np.ndarray:
     return out
 
 
+_COLUMN = np.random.default_rng(13).integers(1, 2**63, 2 * CONTEXT + WINDOW, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def _variants(sides: list[Side]) -> list[np.ndarray]:
+    """A number for each member of windows: members of one number have the same words at the same distance from their window,
+    as far as these stand in shingles that occur more than once. Other words never agree with any member's, as blocks that
+    agree have a shingle at least: so members of one number give the same runs. The sides keep only such words and shingles."""
+    _, number, count = np.unique(np.concatenate([s.gram for s in sides]), return_inverse=True, return_counts=True)
+    often, done, out = count[number] > 1, 0, []
+    for s in sides:
+        mine = often[done : done + len(s.gram)]
+        done += len(s.gram)
+        begins = s.gram_at[mine]
+        s.grams = np.split(s.gram[mine], np.searchsorted(begins, s.begin[1:]))
+        change = np.bincount(begins, minlength=len(s.flat) + SHINGLE) - np.bincount(begins + SHINGLE, minlength=len(s.flat) + SHINGLE)[: len(s.flat) + SHINGLE]
+        s.known_words = known = np.cumsum(change)[: len(s.flat)] > 0
+        column = np.arange(len(s.flat)) - np.repeat(s.begin + (s.place >> 32) - s.at - CONTEXT, s.length)
+        total = np.concatenate([[_U(0)], np.cumsum(np.where(known, mix(s.flat) * _COLUMN[column], _U(0)))])
+        out.append(total[s.begin + s.length] - total[s.begin])
+    return out
+
+
 def _near_lines(batches, threshold: float):
     """Similar lines of different documents and components in rows of two pieces; of all pairs those that join components."""
     names = ["id", "place", "hub", "hub_place"]
@@ -334,7 +350,7 @@ def _near_lines(batches, threshold: float):
             x, y = (Side(batch.column(i)[row]) for i in range(2))
             for side in (x, y):
                 side.grams = [np.unique(g) for g in side.grams]
-            y.index()
+            y.index(range(len(y.grams)))
             found = []
             for i, g in enumerate(x.grams):
                 other = (y.root != x.root[i]) & (y.id != x.id[i])
@@ -352,26 +368,36 @@ def _near_lines(batches, threshold: float):
 
 
 def _near_windows(batches, min_words: int, threshold: float):
-    """For each open window (root 1) of rows of two pieces the earliest document with which a run holds."""
+    """For each open window (root 1) of rows of two pieces the earliest document with which a run holds. Members that must give
+    the same runs (see `_variants`) are tested once."""
     names = ["id", "place", "hub", "hub_place"]
+    enough = int(threshold * (min_words - SHINGLE + 1))
     for batch in batches:
         for row in range(batch.num_rows):
-            sides = [Side(batch.column(i)[row]) for i in range(2)]
             same = batch.column(2)[row].as_py()
+            sides = [Side(batch.column(i)[row]) for i in range(1 if same else 2)]
+            kinds = _variants(sides)
+            pairs = [(0, 0)] if same else [(0, 1), (1, 0)]
             found = []
-            for x, y in (sides,) if same else (sides, sides[::-1]):
-                y.index()
-                mine, others = x.aligned(0), y.aligned(1)
-                for i in np.flatnonzero(x.root == 1).tolist():
+            for x, y, of, to in ((sides[p], sides[q], kinds[p], kinds[q]) for p, q in pairs):
+                open_ones = np.flatnonzero(x.root == 1)
+                if not len(open_ones):
+                    continue
+                # the first member of each kind, in order
+                order = np.lexsort((y.place, y.id))
+                first = order[np.sort(np.unique(to[order], return_index=True)[1])].tolist()
+                y.index(first)
+                for kind in np.unique(of[open_ones]).tolist():
+                    mine = open_ones[of[open_ones] == kind]
+                    i, most = int(mine[0]), int(x.id[mine].max())
                     shared = y.shared(x.grams[i])
-                    near = np.flatnonzero((y.id < x.id[i]) & (shared >= int(threshold * (min_words - SHINGLE + 1))))
-                    # words that agree in a row around the window; a longer run takes a shared shingle beyond them
-                    agree = _in_a_row(others[near] == mine[i])
-                    near = near[(agree >= min_words) | (shared[near] > agree - SHINGLE + 1)]
-                    for j in near[np.lexsort((y.place[near], y.id[near]))].tolist():
-                        at, hub_at = (int(s.place[k] >> 32) - int(s.at[k]) for s, k in ((x, i), (y, j)))
-                        if _runs(x.words[i].tolist(), y.words[j].tolist(), [(at, hub_at)], min_words, threshold):
-                            found.append((x.id[i], x.place[i], y.id[j], y.place[j]))
+                    for k in np.flatnonzero(shared >= enough).tolist():
+                        j = first[k]
+                        if y.id[j] >= most:
+                            break
+                        at, hub_at = (int(s.place[m] >> 32) - int(s.at[m]) for s, m in ((x, i), (y, j)))
+                        if _runs(x.words(i, -1), y.words(j, -1_000_000_000), [(at, hub_at)], min_words, threshold):
+                            found += [(x.id[m], x.place[m], y.id[j], y.place[j]) for m in mine.tolist() if y.id[j] < x.id[m]]
                             break
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*found)], names=names)
@@ -394,13 +420,8 @@ def _pieces_met(members: DataFrame, base: DataFrame, around: int, f) -> DataFram
     blocks = staged(left.groupBy("key", "piece").agg(F.collect_list(F.struct("id", "place", "root", "at", "words")).alias("members"), F.first("m").alias("m")), "blocks")
     a = blocks.select("key", F.col("piece").alias("p"), F.col("members").alias("left"), F.explode(F.sequence("piece", pieces_of - 1)).alias("piece"))
     paired = a.join(blocks.select("key", "piece", F.col("members").alias("right")), ["key", "piece"]).select("left", "right", (F.col("p") == F.col("piece")).alias("same"))
-    conf, most = base.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(most)
-    conf.set(most, "32")  # rows are wide: up to two pieces of PIECE members
-    try:
+    with rows_at_once(base.sparkSession, 32):  # rows are wide: up to two pieces of PIECE members
         return staged(paired.mapInArrow(f, "id long, place long, hub long, hub_place long").distinct(), "more")
-    finally:
-        conf.set(most, before)
 
 
 def _edges(held: DataFrame) -> DataFrame:
