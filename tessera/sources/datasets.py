@@ -30,7 +30,7 @@ def dataset(spark: SparkSession, kind: str, **options) -> tuple[DataFrame, str]:
 
 
 #: Evaluation variants of the public corpus: (already tokenised, split).
-EVALUATION = {"en:3.0.1": (False, "validation"), "en:3.0.4": (False, "validation_24567exp"), "en:3.0.5": (True, "validation_tokenized_5662seqs")}
+EVALUATION = {"en:3.0.1": (False, "validation"), "en:3.0.4": (False, "validation_24567exp"), "en:3.0.5": (True, "validation_tokenized_5662seqs"), "en:3.0.8": (False, "validation"), "en:3.0.9": (False, "validation")}
 
 
 def evaluation_variant(version: str) -> tuple[bool, str]:
