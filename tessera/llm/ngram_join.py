@@ -304,7 +304,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     paired = a.join(blocks.select("key", "piece", F.col("members").alias("right")), ["key", "piece"]).select("left", "right")
     with rows_at_once(docs.sparkSession, 256):  # a row has up to two pieces
         near = staged(paired.mapInArrow(lambda it: _near_in_block(it, t), "a long, b long").distinct(), "near")
-    _, roots = _connected(near, links, reps, docs, k, t)
+    if not near.isEmpty():
+        _, roots = _connected(near, links, reps, docs, k, t)
 
     out = of_class.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))

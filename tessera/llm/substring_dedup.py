@@ -27,6 +27,8 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -302,15 +304,41 @@ class Side:
         self.first = np.cumsum(self.size) - self.size
         self.known, self.number = np.unique(np.concatenate([self.grams[i] for i in some]), return_inverse=True)
 
-    def shared(self, grams: np.ndarray) -> np.ndarray:
-        """How many shingles of each indexed member are among these."""
+    def among(self, grams: np.ndarray) -> np.ndarray:
+        """Which shingles of the indexed members are among these."""
         flag = np.zeros(len(self.known) + 1, bool)
         at = np.searchsorted(self.known, grams)
         at = at[at < len(self.known)][self.known[at[at < len(self.known)]] == grams[at < len(self.known)]]
         flag[at] = True
-        total = np.concatenate([[0], np.cumsum(flag[self.number])])
+        return flag[self.number]
+
+    def shared(self, grams: np.ndarray) -> np.ndarray:
+        """How many shingles of each indexed member are among these."""
+        total = np.concatenate([[0], np.cumsum(self.among(grams))])
         return total[self.first + self.size] - total[self.first]
 
+    def may_hold(self, grams: np.ndarray, min_words: int, threshold: float) -> np.ndarray:
+        """Indexed members with which a run may hold. Equal blocks are stretches of shared shingles; a run without an edit is one
+        of min_words words, each edit costs so much that it takes `per_edit` shared shingles: so a run with one edit has these in
+        two stretches, one with more edits has twice as many in all."""
+        per_edit = threshold * (2 * SHINGLE - 1) / (1 - threshold) - 1e-9
+        out = np.zeros(len(self.size), bool)
+        at = np.flatnonzero(self.among(grams))
+        if len(at) < per_edit:
+            return out
+        of = np.searchsorted(self.first, at, "right") - 1
+        begin = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(of) != 0)]))
+        length, of = np.diff(np.concatenate([begin, [len(at)]])), of[begin]
+        order = np.lexsort((-length, of))
+        length, of = length[order], of[order]
+        member = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0]))
+        most = length[member]
+        second = np.minimum(member + 1, len(of) - 1)
+        two = most + np.where((second > member) & (of[second] == of[member]), length[second], 0)
+        total = np.add.reduceat(length, member)
+        out[of[member]] = (total >= int(threshold * (min_words - SHINGLE + 1))) & ((most >= min_words - SHINGLE + 1) | (two >= per_edit) | (total >= 2 * per_edit))
+        return out
+
 
 def _shingles(h: np.ndarray) -> np.ndarray:
     m = len(h) - SHINGLE + 1
@@ -371,7 +399,6 @@ def _near_windows(batches, min_words: int, threshold: float):
     """For each open window (root 1) of rows of two pieces the earliest document with which a run holds. Members that must give
     the same runs (see `_variants`) are tested once."""
     names = ["id", "place", "hub", "hub_place"]
-    enough = int(threshold * (min_words - SHINGLE + 1))
     for batch in batches:
         for row in range(batch.num_rows):
             same = batch.column(2)[row].as_py()
@@ -390,8 +417,7 @@ def _near_windows(batches, min_words: int, threshold: float):
                 for kind in np.unique(of[open_ones]).tolist():
                     mine = open_ones[of[open_ones] == kind]
                     i, most = int(mine[0]), int(x.id[mine].max())
-                    shared = y.shared(x.grams[i])
-                    for k in np.flatnonzero(shared >= enough).tolist():
+                    for k in np.flatnonzero(y.may_hold(x.grams[i], min_words, threshold)).tolist():
                         j = first[k]
                         if y.id[j] >= most:
                             break
@@ -468,15 +494,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines = every.where("(place & 1) = 1").select("key", "id", "place", node.alias("node")).join(roots, "node", "left").select("key", "id", "place", F.coalesce("root", "node").alias("root"))
     lines = staged(lines, "lines")
     apart = lines.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("i"), F.max("id").alias("j")).where("lo < hi AND i < j").select("key")
-    more = _pieces_met(lines.join(apart, "key"), base, 0, lambda it: _near_lines(it, threshold))
+    more = [(lines.join(apart, "key"), 0, lambda it: _near_lines(it, threshold))]
     done = held.where("not line").groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("done"))
     windows = every.where("(place & 1) = 0").select("key", "id", "place", "hub", F.shiftright("place", 32).alias("at")).join(done, "id", "left")
     covered = f"coalesce(exists(done, d -> d.start <= at AND at + {WINDOW} <= d.start + d.n), false)"
     windows = staged(windows.selectExpr("key", "id", "place", f"if(id = hub OR {covered}, 0L, 1L) AS root"), "windows")
     apart = windows.groupBy("key").agg(F.max("root").alias("open")).where("open = 1").select("key")
-    windows = windows.join(apart, "key")
-    more = more.union(_pieces_met(windows, base, CONTEXT, lambda it: _near_windows(it, min_words, threshold)))
-    held = held.union(_held(more, base, min_words, threshold))
+    more.append((windows.join(apart, "key"), CONTEXT, lambda it: _near_windows(it, min_words, threshold)))
+    more = [(staged(members, "members"), around, f) for members, around, f in more]
+    more = [_pieces_met(members, base, around, f) for members, around, f in more if not members.isEmpty()]
+    more = [found for found in more if not found.isEmpty()]
+    if more:
+        held = held.union(_held(reduce(DataFrame.union, more), base, min_words, threshold))
 
     # lines: in each component of similar lines the first stays
     similar = held.where("line")
