@@ -292,6 +292,7 @@ class Side:
         self.gram_at = np.repeat(self.begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         self.gram = _shingles(self.flat)[self.gram_at]
         self.grams = np.split(self.gram, np.cumsum(size)[:-1])
+        self.gram_places: list[np.ndarray] = []  # places of windows' shingles, from the window on
 
     def words(self, i: int, own: int) -> list[int]:
         """Words of a member; those that are not `known` get numbers below 0 from `own` down, which stand nowhere else."""
@@ -303,6 +304,8 @@ class Side:
         self.size = np.array([len(self.grams[i]) for i in some], np.int64)
         self.first = np.cumsum(self.size) - self.size
         self.known, self.number = np.unique(np.concatenate([self.grams[i] for i in some]), return_inverse=True)
+        if self.gram_places:
+            self.places = np.concatenate([self.gram_places[i] for i in some])
 
     def among(self, grams: np.ndarray) -> np.ndarray:
         """Which shingles of the indexed members are among these."""
@@ -318,25 +321,37 @@ class Side:
         return total[self.first + self.size] - total[self.first]
 
     def may_hold(self, grams: np.ndarray, min_words: int, threshold: float) -> np.ndarray:
-        """Indexed members with which a run may hold. Equal blocks are stretches of shared shingles; a run without an edit is one
-        of min_words words, each edit costs so much that it takes `per_edit` shared shingles: so a run with one edit has these in
-        two stretches, one with more edits has twice as many in all."""
+        """Indexed members with which a run through the window may hold. Equal blocks are stretches of shared shingles; those of
+        one run follow each other from the window on with few words between. A run without an edit is one stretch of min_words
+        words. One with an edit has two stretches, and `in_two` shared shingles in them at least: enough to pay for the edit's
+        words and the shingles over them, and to be long enough with them. One with more edits has `per_edit` for each."""
         per_edit = threshold * (2 * SHINGLE - 1) / (1 - threshold) - 1e-9
+        over = 2 * (SHINGLE - 1)
+        in_two = min(max(threshold * (gap + over) / (1 - threshold), min_words - over - gap) for gap in range(1, EDIT + 1)) - 1e-9
         out = np.zeros(len(self.size), bool)
         at = np.flatnonzero(self.among(grams))
         if len(at) < per_edit:
             return out
-        of = np.searchsorted(self.first, at, "right") - 1
-        begin = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(of) != 0)]))
+        of, place = np.searchsorted(self.first, at, "right") - 1, self.places[at]
+        other = np.diff(of) != 0
+        begin = np.flatnonzero(np.concatenate([[True], other | (np.diff(place) != 1)]))
         length, of = np.diff(np.concatenate([begin, [len(at)]])), of[begin]
+        lo = place[begin]
+        hi = lo + length  # of each stretch, in places from the window on
+        chain = np.cumsum(np.concatenate([[True], (np.diff(of) != 0) | (lo[1:] - hi[:-1] > SHINGLE - 1 + EDIT)]))
+        mine = np.isin(chain, chain[(lo <= 0) & (hi > 0)])
+        length, of = length[mine], of[mine]
+        if not len(of):
+            return out
         order = np.lexsort((-length, of))
         length, of = length[order], of[order]
         member = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0]))
         most = length[member]
         second = np.minimum(member + 1, len(of) - 1)
-        two = most + np.where((second > member) & (of[second] == of[member]), length[second], 0)
+        several = (second > member) & (of[second] == of[member])
+        two = most + length[second]
         total = np.add.reduceat(length, member)
-        out[of[member]] = (total >= int(threshold * (min_words - SHINGLE + 1))) & ((most >= min_words - SHINGLE + 1) | (two >= per_edit) | (total >= 2 * per_edit))
+        out[of[member]] = (most >= min_words - SHINGLE + 1) | several & ((two >= in_two) | (total >= 2 * per_edit))
         return out
 
 
@@ -361,7 +376,9 @@ def _variants(sides: list[Side]) -> list[np.ndarray]:
         mine = often[done : done + len(s.gram)]
         done += len(s.gram)
         begins = s.gram_at[mine]
-        s.grams = np.split(s.gram[mine], np.searchsorted(begins, s.begin[1:]))
+        ends = np.searchsorted(begins, s.begin[1:])
+        s.grams = np.split(s.gram[mine], ends)
+        s.gram_places = [p - w for p, w in zip(np.split(begins, ends), (s.begin + (s.place >> 32) - s.at).tolist())]
         change = np.bincount(begins, minlength=len(s.flat) + SHINGLE) - np.bincount(begins + SHINGLE, minlength=len(s.flat) + SHINGLE)[: len(s.flat) + SHINGLE]
         s.known_words = known = np.cumsum(change)[: len(s.flat)] > 0
         column = np.arange(len(s.flat)) - np.repeat(s.begin + (s.place >> 32) - s.at - CONTEXT, s.length)
@@ -414,15 +431,19 @@ def _near_windows(batches, min_words: int, threshold: float):
                 order = np.lexsort((y.place, y.id))
                 first = order[np.sort(np.unique(to[order], return_index=True)[1])].tolist()
                 y.index(first)
+                words: dict[int, list[int]] = {}
                 for kind in np.unique(of[open_ones]).tolist():
                     mine = open_ones[of[open_ones] == kind]
                     i, most = int(mine[0]), int(x.id[mine].max())
+                    own = x.words(i, -1)
                     for k in np.flatnonzero(y.may_hold(x.grams[i], min_words, threshold)).tolist():
                         j = first[k]
                         if y.id[j] >= most:
                             break
                         at, hub_at = (int(s.place[m] >> 32) - int(s.at[m]) for s, m in ((x, i), (y, j)))
-                        if _runs(x.words(i, -1), y.words(j, -1_000_000_000), [(at, hub_at)], min_words, threshold):
+                        if j not in words:
+                            words[j] = y.words(j, -1_000_000_000)
+                        if _runs(own, words[j], [(at, hub_at)], min_words, threshold):
                             found += [(x.id[m], x.place[m], y.id[j], y.place[j]) for m in mine.tolist() if y.id[j] < x.id[m]]
                             break
             if found:
