@@ -99,6 +99,11 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
         out[at[mine][:, None] + lane] = (words_of[mine][:, None] >> (lane * width).astype(np.uint64)) & _U((1 << width) - 1)
     return out[:n]
 
+LATER_WORDS = 300_000  # of the memo of words behind a blank
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: The byte-level alphabet: bytes without a printable character of their own take those from U+0100 on.
+_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
 
 class ByteBPE:
     """The tokenizers library over whole texts, with a memo of words. A text without two blanks in a row falls apart in front
@@ -106,14 +111,12 @@ class ByteBPE:
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(file)
         self.whole.no_truncation()
         self.whole.no_padding()
         self.model = self.whole.model
-        self.level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.later, self.first = Memo(self._later), Memo(self._alone, 50_000)
+        self.later, self.first = Memo(self._later, LATER_WORDS), Memo(self._alone, 50_000)
         self.marks = {c: self._letters(c) for c in ".,;:!?"}
         self.line = self._letters("\n")
 
@@ -122,13 +125,9 @@ class ByteBPE:
 
     def _letters(self, text: str) -> bytes:
         """Ids of one run of letters, perhaps behind a blank, or of one mark or line end."""
-        if text.isascii() and text.isalpha():
-            name = text
-        elif text[0] == " " and text.isascii():
-            name = "\u0120" + text[1:]
-        else:
-            name = self.level.pre_tokenize_str(text)[0][0]
-        return array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
+        if not text.isascii() or not text.isalpha():
+            text = text.encode().decode("latin-1").translate(_LEVEL)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def _alone(self, word: str) -> bytes | None:
         if not word or word[0].isspace() or word[-1].isspace():
@@ -141,6 +140,8 @@ class ByteBPE:
 
     def _later(self, word: str) -> bytes | None:
         if word.isalpha():
+            if word.isascii():
+                return array("I", [t.id for t in self.model.tokenize("\u0120" + word)]).tobytes()
             return self._letters(" " + word)
         if not word or word[-1].isspace() or word[1:2].isspace():
             return None

@@ -166,3 +166,19 @@ def test_pipeline_edges(spark, rows):
 
 def test_brute_components_agree():
     assert brute_components([(1, "a b c"), (2, "a b c"), (3, None)], 3, 0.9) == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+
+
+def test_byte_level_names_and_memo_of_id_files():
+    """op10: every character's byte-level name is the library's, and a text's words are all still in the memo when it comes again."""
+    import public_tokenizers
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    from tessera.llm import id_files
+
+    level = ByteLevel(add_prefix_space=False, use_regex=False)
+    for point in [*range(1, 0x3000), *range(0xE000, 0x10000, 97), *range(0x10000, 0x110000, 9973)]:
+        text = "a" + chr(point)
+        assert text.encode().decode("latin-1").translate(id_files._LEVEL) == level.pre_tokenize_str(text)[0][0]
+    bpe = id_files.ByteBPE(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "start " + " ".join(f"w{chr(97 + i % 26)}{chr(224 + i // 26 % 26)}{i}" for i in range(2000)) + " é. naïve, straße\nÜber x"
+    assert bpe.encode(text) == bpe._ids(text) and bpe.later.most == id_files.LATER_WORDS
