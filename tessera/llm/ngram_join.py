@@ -13,12 +13,13 @@ sequence as one; no words or null: the empty set, linked with nothing). Two text
    with bits than it takes, all unequal: then so has the other, and both stand in one block for such sets. A block's
    bits are held as the XOR of 64-bit gram hashes.
 3. Texts with equal sets form a class; only class representatives are joined. A count finds the block values that more than
-   one has; only members of these go on. Per block value they meet two hubs, its smallest and largest id (a partial
-   aggregation, so a hot block isn't gathered); pairs pass a size test and the Hamming bounds of two folded sketches, a small
-   one first, before their texts are compared exactly. Links give components. Of the pairs one for each larger id comes first;
+   one has; only members of these go on, with their size and a small folded sketch. Per block value they meet two hubs, its
+   smallest and largest id (a partial aggregation, so a hot block isn't gathered): a member and a hub are a pair only if they
+   pass the size test and the small sketches' Hamming bound where they meet. Pairs pass the bound of the whole folded
+   sketches before their texts are compared exactly. Links give components. Of the pairs one for each larger id comes first;
    of the others only those remain whose ends are not yet in one component.
 4. What remains are pairs of different components in one block (of blocks with the same members one is kept): blocks of members are compared by Hamming bound within a
-   task, pieces against pieces, and only pairs under the bound are emitted and compared exactly. Pairs inside a component
+   task, pieces against pieces, and only pairs under the bounds of both sketches are emitted and compared exactly. Pairs inside a component
    need no test, so copies aren't expanded into all pairs and no link between components is lost.
 
 Rows of one id are one document: a link of any of its texts is a link of all its rows. Rows without an id get their size and no
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, among, components, excluding, may_be_in, mix, pieces, released, rows_at_once, sequence_hash, staged, utf8
+from .common import Words, among, components, discard, excluding, may_be_in, mix, pieces, released, rows_at_once, sequence_hash, staged, utf8
 from .prefix_bpe import ragged
 
 _U = np.uint64
@@ -192,11 +193,15 @@ def _small() -> str:
 
 def _bounded(pairs: DataFrame, sketches: DataFrame, words: int, t: Fraction) -> DataFrame:
     """Those of the pairs (a, b) under the size test and the Hamming bound; sketches: id, n, sketch of so many words."""
-    p = pairs.join(sketches.toDF("a", "na", "fa"), "a").join(sketches.toDF("b", "nb", "fb"), "b")
+    return _may_link(pairs.join(sketches.toDF("a", "na", "fa"), "a").join(sketches.toDF("b", "nb", "fb"), "b"), words, t).select("a", "b")
+
+
+def _may_link(p: DataFrame, words: int, t: Fraction) -> DataFrame:
+    """Rows with sizes na, nb and sketches fa, fb of so many words that pass the size test and the Hamming bound."""
     ratio = f"least(na, nb) * {t.denominator} >= greatest(na, nb) * {t.numerator}"
     bound = f"floor((na + nb) * {t.denominator - t.numerator} / {t.denominator + t.numerator})"
     away = " + ".join(f"bit_count(fa[{i}] ^ fb[{i}])" for i in range(words))
-    return p.where(ratio).where(f"{away} <= {bound}").select("a", "b")
+    return p.where(ratio).where(f"{away} <= {bound}")
 
 
 def _links(p: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
@@ -208,9 +213,9 @@ def _links(p: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
 
 
 def _connected(pairs: DataFrame, links: DataFrame | None, reps: DataFrame, docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
-    """(links and those among the pairs (a < b) that components need, (node, root) of their components)."""
-    p = _bounded(pairs, reps.select("id", "n", F.expr(_small())), SMALL_WORDS, t)
-    p = staged(_bounded(p, reps.select("id", "n", "folded"), FOLDED_WORDS, t).distinct(), "pairs")
+    """(links and those among the pairs (a < b) that components need, (node, root) of their components). The pairs have passed
+    the small sketches' bound."""
+    p = staged(_bounded(pairs, reps.select("id", "n", "folded"), FOLDED_WORDS, t).distinct(), "pairs")
     tested = staged(p.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tested")
     for _ in range(2):
         found = _links(tested, docs, k, t)
@@ -230,17 +235,18 @@ def _members(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     """(offsets, [ids, sizes, roots, sketches]) of the members in all rows of a list column."""
     m = column.flatten()
     ids, n, root = (m.field(f).to_numpy(zero_copy_only=False) for f in ("id", "n", "root"))
-    bits = m.field("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), SMALL_WORDS)
+    bits = m.field("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), FOLDED_WORDS)
     return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]), [ids, n, root, bits]
 
 
 def _near_in_block(batches, t: Fraction):
-    """Pairs of different components, under the size test and the Hamming bound, in rows of pieces of a block. The pairs of all
+    """Pairs of different components, under the size test and the Hamming bounds of both sketches, in rows of pieces of a block. The pairs of all
     rows of a batch are looked at together, PAIRS at a time."""
     gap, whole = t.denominator - t.numerator, t.denominator + t.numerator
     for batch in batches:
         at, (ids, n, root, bits) = _members(batch.column(0))
         at2, (ids2, n2, root2, bits2) = _members(batch.column(1))
+        small_bits, small_bits2 = (np.bitwise_xor.reduce(x.reshape(len(x), -1, SMALL_WORDS), axis=1) for x in (bits, bits2))
         row = np.repeat(np.arange(batch.num_rows), np.diff(at))
         met = np.diff(at2)[row]  # partners of each member on the left
         upto = np.concatenate([[0], np.cumsum(met)])
@@ -254,7 +260,9 @@ def _near_in_block(batches, t: Fraction):
             small, large = np.minimum(n[left], n2[right]), np.maximum(n[left], n2[right])
             some = small * t.denominator >= large * t.numerator
             left, right, total = left[some], right[some], (small + large)[some]
-            some = np.bitwise_count(bits[left] ^ bits2[right]).sum(axis=1) <= total * gap // whole
+            most = total * gap // whole
+            some = np.flatnonzero(np.bitwise_count(small_bits[left] ^ small_bits2[right]).sum(axis=1) <= most)
+            some = some[np.bitwise_count(bits[left[some]] ^ bits2[right[some]]).sum(axis=1) <= most[some]]
             a, b = ids[left[some]], ids2[right[some]]
             if len(a):
                 ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -283,12 +291,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = apart
     reps = staged(rest.mapInArrow(lambda it: _sketches(it, k, t), "id long, n long, folded array<long>, keys array<long>"), "reps")
 
-    member = reps.select("id", F.explode("keys").alias("key"))
-    often = staged(member.groupBy("key").count().where("count > 1").select("key"), "often")
-    met = staged(may_be_in(member, often, "key").join(often, "key", "left_semi").select("id", "key"), "met")  # members of blocks with others
+    member = reps.select("id", "n", F.expr(_small()).alias("sketch"), F.explode("keys").alias("key"))
+    often = staged(member.select("key").groupBy("key").count().where("count > 1").select("key"), "often")
+    met = staged(may_be_in(member, often, "key").join(often, "key", "left_semi").select("key", "id", "n", "sketch"), "met")  # members of blocks with others
     hubs = met.groupBy("key").agg(F.min("id").alias("h0"), F.max("id").alias("h1")).where("h0 < h1")
-    tested = met.join(hubs, "key").select("id", F.explode(F.array("h0", "h1")).alias("hub")).where("id <> hub")
-    links, roots = _connected(tested.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), linked, reps, docs, k, t)
+    hubs = met.join(hubs, "key").where("id = h0 OR id = h1").select("key", F.col("id").alias("hub"), F.col("n").alias("nb"), F.col("sketch").alias("fb"))
+    hubs = staged(hubs.dropDuplicates(["key", "hub", "nb", "fb"]) if linked is not None else hubs, "hubs")  # two for each key, but for repeated ids
+    tested = met.select("key", "id", F.col("n").alias("na"), F.col("sketch").alias("fa")).join(hubs, "key").where("id <> hub")
+    tested = _may_link(tested, SMALL_WORDS, t).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    links, roots = _connected(tested, linked, reps, docs, k, t)
+    discard(hubs)
 
     named = met.select("id", "key").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     named = staged(named, "named")
@@ -297,7 +309,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # of the blocks with the same members one is enough: they stand for the same pairs
     open_keys = open_keys.where("lo < hi").groupBy("m", "x", "s").agg(F.min("key").alias("key")).select("key", "m")
     piece = F.pmod(F.xxhash64("id", F.lit(9)), F.ceil(F.col("m") / PIECE))
-    left = named.join(open_keys, "key").withColumn("piece", piece).join(reps.select("id", "n", F.expr(_small()).alias("sketch")), "id")
+    left = named.join(open_keys, "key").withColumn("piece", piece).join(reps.select("id", "n", F.col("folded").alias("sketch")), "id")
     blocks = left.groupBy("key", "piece").agg(F.collect_list(F.struct("id", "n", "root", "sketch")).alias("members"), F.first("m").alias("m"))
     blocks = staged(blocks, "blocks")
     a = blocks.select("key", F.col("piece").alias("p"), F.col("members").alias("left"), F.explode(F.sequence("piece", F.ceil(F.col("m") / PIECE) - 1)).alias("piece"))
