@@ -164,9 +164,9 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21)
 
 
 class Words:
-    """Words of a run of texts: ASCII-whitespace-separated, with 64-bit hashes. Texts are joined in one byte array."""
+    """Words of a run of texts: ASCII-whitespace-separated, with 64-bit hashes if hashed. Texts are joined in one byte array."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, fold: bool):
+    def __init__(self, data: np.ndarray, at: np.ndarray, fold: bool, hashed: bool = True):
         solid = ~_SPACE[data]
         n = len(data)
         cut = np.zeros(n + 1, bool)
@@ -180,6 +180,8 @@ class Words:
         self.end = np.flatnonzero(last) + 1
         #: words of text i are from bounds[i] up to bounds[i + 1]
         self.bounds = np.searchsorted(self.start, at)
+        if not hashed:
+            return
         up, down = _power_tables(n)
         table = _BYTE_FOLDED if fold else _BYTE
         total = np.zeros(n + 1, np.uint64)

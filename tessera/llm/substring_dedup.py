@@ -131,33 +131,40 @@ def _units(batches, min_words: int):
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[docs]), pa.array(place), pa.array(lead)], names=["key", "id", "place", "lead"])
 
 
+def _wanted(piece, w: Words, *fields: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(row, first word, word behind the last, in all texts' words; more fields) of each wanted part, cut to its text."""
+    wanted = piece.column(2)
+    row = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy())
+    lo, hi, *more = (wanted.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("lo", "hi", *fields))
+    size = np.diff(w.bounds)[row]
+    a = np.minimum(np.maximum(lo, 0), size)
+    return row, w.bounds[row] + a, w.bounds[row] + np.maximum(np.minimum(hi, size), a), [lo, hi, *more]
+
+
 def _regions(batches):
-    """Words of the wanted regions of each document, joined by blanks, with the first word's place."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            words = Words(*(x := utf8(batch.column(1).slice(row, 1))), fold=False)
-            raw = x[0].tobytes()
-            wanted = batch.column(2)[row].as_py()
-            out: list[list] = [[], [], [], []]
-            for lo, hi in ((x["lo"], x["hi"]) for x in wanted):
-                a, b = max(lo, 0), min(hi, len(words.start))
-                out[0].append(lo)
-                out[1].append(hi)
-                out[2].append(a)
-                out[3].append(b" ".join(raw[words.start[i] : words.end[i]] for i in range(a, b)).decode())
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(wanted), pa.int64()), *(pa.array(x, k) for x, k in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.string())))], names=["id", "lo", "hi", "at", "region"])
+    """The wanted regions of each document as they stand there, with the first word's place."""
+    for piece in pieces(batches, "text"):
+        data, at = utf8(piece.column(1))
+        w, raw = Words(data, at, fold=False, hashed=False), data.tobytes()
+        row, a, b, (lo, hi) = _wanted(piece, w)
+        some = a < b
+        begin, end = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        begin[some], end[some] = w.start[a[some]], w.end[b[some] - 1]
+        regions = [raw[i:j] for i, j in zip(begin.tolist(), end.tolist())]
+        first = (a - w.bounds[row]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), pa.array(lo), pa.array(hi), pa.array(first), pa.array(regions, pa.binary())], names=["id", "lo", "hi", "at", "region"])
 
 
 def _hashes(batches):
     """Word hashes of the wanted units (with lo and hi) of each document, from word `at` on."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            w = Words(*utf8(batch.column(1).slice(row, 1)), fold=False)
-            wanted = batch.column(2)[row].as_py()
-            at = [max(x["lo"], 0) for x in wanted]
-            parts = [w.hash[a : x["hi"]] for a, x in zip(at, wanted)]
-            words = pa.ListArray.from_arrays(np.cumsum([0] + [len(x) for x in parts]).astype(np.int32), pa.array(np.concatenate(parts).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[row].as_py()] * len(wanted), pa.int64()), pa.array([x["place"] for x in wanted], pa.int64()), pa.array(at, pa.int32()), words], names=["id", "place", "at", "words"])
+    for piece in pieces(batches, "text", 1 << 19):
+        w = Words(*utf8(piece.column(1)), fold=False)
+        row, a, b, (_, _, place) = _wanted(piece, w, "place")
+        size = b - a
+        upto = np.cumsum(size)
+        flat = w.hash[np.repeat(a - (upto - size), size) + np.arange(int(size.sum()))].view(np.int64)
+        words = pa.ListArray.from_arrays(np.concatenate([[0], upto]).astype(np.int32), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row)), pa.array(place), pa.array((a - w.bounds[row]).astype(np.int32)), words], names=["id", "place", "at", "words"])
 
 
 def _onward(x, y, e: int, f: int, x_end: int, y_end: int) -> list[list[int]]:
@@ -213,22 +220,31 @@ def _runs(x, y, seeds, min_words: int, threshold: float) -> list[tuple[int, int,
     blocks = _blocks(x, y, seeds)
     if not blocks:
         return []
-    at, to, n = (np.array(c) for c in zip(*blocks))
-    gone = (at[1:] - at[:-1] - n[:-1]) + (to[1:] - to[:-1] - n[:-1]) + 2 * (SHINGLE - 1)
-    gain = np.concatenate([[0], np.cumsum((1 - threshold) * (n - SHINGLE + 1))])
-    cost = np.concatenate([[0], np.cumsum(threshold * gone)])
+    if blocks[-1][0] + blocks[-1][2] - blocks[0][0] < min_words:
+        return []
+    at, to, n = zip(*blocks)
+    gain, cost = [0.0], [0.0]
+    for size in n:
+        gain.append(gain[-1] + (1 - threshold) * (size - SHINGLE + 1))
+    for a, b, u, v, size in zip(at, at[1:], to, to[1:], n):
+        cost.append(cost[-1] + threshold * ((b - a - size) + (v - u - size) + 2 * (SHINGLE - 1)))
     out, todo = [], [(0, len(blocks))]
     while todo:
         p, q = todo.pop()
         if p >= q or at[q - 1] + n[q - 1] - at[p] < min_words:
             continue
-        size = (at + n)[None, p:q] - at[p:q, None]
-        holds = (gain[p + 1 : q + 1] - cost[p:q])[None, :] - (gain[p:q] - cost[p:q])[:, None] >= -1e-9
-        size = np.where(np.triu(holds), size, 0)
-        i, j = divmod(int(size.argmax()), q - p)
-        if size[i, j] >= min_words:
-            i, j = p + i, p + j
-            out.append((int(at[i]), int(at[j] + n[j] - at[i]), int(to[i]), int(to[j] + n[j] - to[i])))
+        i = j = most = 0
+        for e in range(p, q):
+            least = gain[e] - cost[e] - 1e-9
+            for f in range(q - 1, e - 1, -1):
+                size = at[f] + n[f] - at[e]
+                if size <= most:
+                    break
+                if gain[f + 1] - cost[f] >= least:
+                    i, j, most = e, f, size
+                    break
+        if most >= min_words:
+            out.append((at[i], most, to[i], to[j] + n[j] - to[i]))
             todo += [(p, i), (j + 1, q)]
     return out
 
@@ -261,9 +277,11 @@ def _compared(batches, min_words: int, threshold: float):
     for batch in batches:
         out: list[list] = [[] for _ in range(7)]
         for r in batch.to_pylist():
-            x, y = r["region"].split(" "), r["hub_region"].split(" ")
+            x, y = r["region"].split(), r["hub_region"].split()
             i, j, n = r["start"] - r["at"], r["hub_start"] - r["hub_at"], r["n"]
-            if r["line"]:
+            if r["line"] and n == r["hub_n"] and x[i : i + n] == y[j : j + n] != []:
+                out_rows = [(r["start"], n, r["hub_start"], n, True)]
+            elif r["line"]:
                 a, b = ({tuple(z[k : k + SHINGLE]) for k in range(s, s + m - SHINGLE + 1)} for z, s, m in ((x, i, n), (y, j, r["hub_n"])))
                 both = len(a & b)
                 if both < threshold * (len(a) + len(b) - both):
@@ -291,7 +309,8 @@ class Side:
         size = np.maximum(self.length - SHINGLE + 1, 0)
         self.gram_at = np.repeat(self.begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         self.gram = _shingles(self.flat)[self.gram_at]
-        self.grams = np.split(self.gram, np.cumsum(size)[:-1])
+        self.ends = np.cumsum(size)[:-1]  # of the shingles of each member but the last
+        self.grams: list[np.ndarray] = []  # numbers of the shingles of each member
         self.gram_places: list[np.ndarray] = []  # places of windows' shingles, from the window on
 
     def words(self, i: int, own: int) -> list[int]:
@@ -300,20 +319,20 @@ class Side:
         return [w if k else own - n for n, (w, k) in enumerate(zip(self.flat[part].tolist(), self.known_words[part].tolist()))]
 
     def index(self, some: list[int]) -> None:
-        """For `shared`: the shingles of some members, and where each member's begin."""
+        """For `shared`: the numbers of the shingles of some members, and where each member's begin."""
         self.size = np.array([len(self.grams[i]) for i in some], np.int64)
         self.first = np.cumsum(self.size) - self.size
-        self.known, self.number = np.unique(np.concatenate([self.grams[i] for i in some]), return_inverse=True)
+        self.number = np.concatenate([self.grams[i] for i in some])
+        self.member = np.repeat(np.arange(len(self.size)), self.size)
         if self.gram_places:
             self.places = np.concatenate([self.gram_places[i] for i in some])
 
     def among(self, grams: np.ndarray) -> np.ndarray:
         """Which shingles of the indexed members are among these."""
-        flag = np.zeros(len(self.known) + 1, bool)
-        at = np.searchsorted(self.known, grams)
-        at = at[at < len(self.known)][self.known[at[at < len(self.known)]] == grams[at < len(self.known)]]
-        flag[at] = True
-        return flag[self.number]
+        self.flag[grams] = True
+        out = self.flag[self.number]
+        self.flag[grams] = False
+        return out
 
     def shared(self, grams: np.ndarray) -> np.ndarray:
         """How many shingles of each indexed member are among these."""
@@ -329,17 +348,27 @@ class Side:
         over = 2 * (SHINGLE - 1)
         in_two = min(max(threshold * (gap + over) / (1 - threshold), min_words - over - gap) for gap in range(1, EDIT + 1)) - 1e-9
         out = np.zeros(len(self.size), bool)
+        least = min(min_words - SHINGLE + 1, in_two, 2 * per_edit)  # shared shingles that each of the three needs
+        if len(grams) < least:
+            return out
         at = np.flatnonzero(self.among(grams))
-        if len(at) < per_edit:
+        of = self.member[at]
+        enough = np.bincount(of, minlength=len(self.size)) >= least
+        at = at[enough[of]]
+        if not len(at):
             return out
-        of, place = np.searchsorted(self.first, at, "right") - 1, self.places[at]
-        other = np.diff(of) != 0
-        begin = np.flatnonzero(np.concatenate([[True], other | (np.diff(place) != 1)]))
-        length, of = np.diff(np.concatenate([begin, [len(at)]])), of[begin]
-        lo = place[begin]
+        of, place = self.member[at], self.places[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1)
+        begin = np.flatnonzero(new)
+        length, of, lo = np.diff(begin, append=len(at)), of[begin], place[begin]
         hi = lo + length  # of each stretch, in places from the window on
-        chain = np.cumsum(np.concatenate([[True], (np.diff(of) != 0) | (lo[1:] - hi[:-1] > SHINGLE - 1 + EDIT)]))
-        mine = np.isin(chain, chain[(lo <= 0) & (hi > 0)])
+        new = np.zeros(len(lo), bool)
+        new[1:] = (of[1:] != of[:-1]) | (lo[1:] - hi[:-1] > SHINGLE - 1 + EDIT)
+        chain = np.cumsum(new)
+        through = np.zeros(int(chain[-1]) + 1, bool)
+        through[chain[(lo <= 0) & (hi > 0)]] = True
+        mine = through[chain]
         length, of = length[mine], of[mine]
         if not len(of):
             return out
@@ -363,6 +392,14 @@ def _shingles(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _numbered(sides: list[Side]) -> np.ndarray:
+    """How often each shingle occurs. The sides get numbers in place of their shingles."""
+    _, number, count = np.unique(np.concatenate([s.gram for s in sides]), return_inverse=True, return_counts=True)
+    for s, part in zip(sides, np.split(number, np.cumsum([len(s.gram) for s in sides])[:-1])):
+        s.gram, s.flag = part, np.zeros(len(count), bool)
+    return count
+
+
 _COLUMN = np.random.default_rng(13).integers(1, 2**63, 2 * CONTEXT + WINDOW, dtype=np.uint64) * _U(2) + _U(1)
 
 
@@ -370,11 +407,9 @@ def _variants(sides: list[Side]) -> list[np.ndarray]:
     """A number for each member of windows: members of one number have the same words at the same distance from their window,
     as far as these stand in shingles that occur more than once. Other words never agree with any member's, as blocks that
     agree have a shingle at least: so members of one number give the same runs. The sides keep only such words and shingles."""
-    _, number, count = np.unique(np.concatenate([s.gram for s in sides]), return_inverse=True, return_counts=True)
-    often, done, out = count[number] > 1, 0, []
+    count, out = _numbered(sides), []
     for s in sides:
-        mine = often[done : done + len(s.gram)]
-        done += len(s.gram)
+        mine = count[s.gram] > 1
         begins = s.gram_at[mine]
         ends = np.searchsorted(begins, s.begin[1:])
         s.grams = np.split(s.gram[mine], ends)
@@ -393,8 +428,9 @@ def _near_lines(batches, threshold: float):
     for batch in batches:
         for row in range(batch.num_rows):
             x, y = (Side(batch.column(i)[row]) for i in range(2))
+            _numbered([x, y])
             for side in (x, y):
-                side.grams = [np.unique(g) for g in side.grams]
+                side.grams = [np.unique(g) for g in np.split(side.gram, side.ends)]
             y.index(range(len(y.grams)))
             found = []
             for i, g in enumerate(x.grams):
@@ -493,7 +529,7 @@ def _held(met: DataFrame, base: DataFrame, min_words: int, threshold: float) ->
     wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("wanted"))  # regions of one document
     wanted = staged(wanted, "wanted")
     near = among(base, wanted.select("id"), "id").join(wanted, "id").select("id", "text", "wanted")
-    regions = staged(near.mapInArrow(_regions, "id long, lo int, hi int, at int, region string"), "regions")
+    regions = staged(near.mapInArrow(_regions, "id long, lo int, hi int, at int, region binary"), "regions")
     both = found.join(regions, ["id", "lo", "hi"]).join(regions.toDF("hub", "hub_lo", "hub_hi", "hub_at", "hub_region"), ["hub", "hub_lo", "hub_hi"])
     return staged(both.mapInArrow(lambda it: _compared(it, min_words, threshold), "id long, start int, n int, hub long, hub_start int, hub_n int, line boolean"), "held")
 
