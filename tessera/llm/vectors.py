@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import rows_at_once, staged
 from .hilbert import hilbert_keys
 
 BLOCK = 4096  # vectors of an index block
 CHUNK = 1024  # queries that meet a block at once
+AT_ONCE = 256  # of them, in a search
+LARGEST = 4 * BLOCK  # of an index block: each query is sent to every block, so on many rows blocks are larger
 CURVES = 8
 PROJECTED = 6  # dimensions of each curve
 BITS = 8
@@ -107,26 +109,36 @@ def _meet(batches, k: int):
             if last[0] != row["block"].as_py():
                 last = (row["block"].as_py(), ids, ImpactIndex(_matrix(row["x"].values, len(row["x"].values.flatten()) // max(1, len(ids)))))
             index = last[2]
-            a, b, score = index.search(_matrix(row["q"].values, index.x.shape[1]), own, ids, k)
-            yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(ids[b]), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"])
+            q = _matrix(row["q"].values, index.x.shape[1])
+            for s in range(0, len(q), AT_ONCE):
+                some = slice(s, s + AT_ONCE)
+                a, b, score = index.search(q[some], own[some], ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(own[some][a]), pa.array(ids[b]), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"])
 
 
-def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
-    """(query_id, rank, vec_id, score): components become floor(scale * x); queries are the rows whose id is divisible by
-    `every`, candidates all other rows; score is the integer inner product (beyond 64 bits is refused)."""
-    rows = usable(vectors, id_col, vector_col).select("id", "dim", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("long")).alias("x"))
-    rows = staged(rows.where("dim > 0"), "vectors")
+def _block_pairs(rows: DataFrame, every: int, block_rows: int) -> DataFrame:
+    """(block, ids, x, own, q): each chunk of queries beside each block of rows (id, dim, x). Spark knows a chunk's size but not how
+    often it is repeated, so it would take the repeated chunks for a small table and broadcast them through the driver: the
+    join is by sorting, whatever the sizes seem to be."""
     queries = rows.where(F.col("id") % every == 0)
     n, m = rows.count(), queries.count()
-    blocks, chunks = max(1, -(-n // BLOCK)), max(1, -(-m // CHUNK))
+    blocks, chunks = max(1, -(-n // block_rows)), max(1, -(-m // CHUNK))
     # each block is one row of bounded size; each chunk of queries goes to every block: the query set against all rows, in blocks
     block = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), "dim", F.struct("id", "x").alias("r")).groupBy("b", "dim").agg(F.collect_list("r").alias("r"))
     block = block.select("b", "dim", F.concat_ws("-", "b", "dim").alias("block"), F.col("r.id").alias("ids"), F.col("r.x").alias("x"))
     chunk = queries.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).alias("c"), "dim", F.struct("id", "x").alias("r")).groupBy("c", "dim").agg(F.collect_list("r").alias("r"))
     chunk = chunk.select("c", "dim", F.col("r.id").alias("own"), F.col("r.x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    pairs = chunk.join(block, ["b", "dim"])
-    pairs = pairs.select("block", "ids", "x", "own", "q")
-    found = pairs.mapInArrow(lambda it: _meet(it, k), "query_id long, vec_id long, score long")
+    return chunk.hint("merge").join(block, ["b", "dim"]).select("block", "ids", "x", "own", "q")
+
+
+def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
+    """(query_id, rank, vec_id, score): components become floor(scale * x); queries are the rows whose id is divisible by
+    `every`, candidates all other rows; score is the integer inner product (beyond 64 bits is refused)."""
+    rows = usable(vectors, id_col, vector_col).select("id", "dim", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("long")).alias("x"))
+    rows = staged(rows.where("dim > 0"), "vectors")
+    pairs = _block_pairs(rows, every, min(LARGEST, max(BLOCK, rows.count() // 64)))
+    with rows_at_once(vectors.sparkSession, 8):  # rows are wide: a block and a chunk
+        found = staged(pairs.mapInArrow(lambda it: _meet(it, k), "query_id long, vec_id long, score long"), "found")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

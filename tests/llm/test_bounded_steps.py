@@ -1,4 +1,4 @@
-"""What must not grow with the square of the input, or stay behind, in the steps of op7 and the staged tables."""
+"""What must not grow with the square of the input, or stay behind, in the steps of op6, op7 and the staged tables."""
 
 import time
 
@@ -7,7 +7,15 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera import staging
-from tessera.llm import ngram_join
+from tessera.llm import ngram_join, vectors
+
+
+def test_repeated_chunks_are_never_broadcast(spark):
+    rows = spark.range(400).select("id", F.lit(4).alias("dim"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (F.col("id") * i * 37) % 512 - 256).alias("x"))
+    pairs = vectors._block_pairs(staging.staged(rows, "rows"), 4, 16)
+    assert pairs.count() == 25
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
 def test_staged_table_leaves_no_shuffle_files(spark):
