@@ -235,7 +235,8 @@ def _members(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     """(offsets, [ids, sizes, roots, sketches]) of the members in all rows of a list column."""
     m = column.flatten()
     ids, n, root = (m.field(f).to_numpy(zero_copy_only=False) for f in ("id", "n", "root"))
-    bits = m.field("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), FOLDED_WORDS)
+    bits = m.field("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    bits = bits.reshape(len(ids), len(bits) // max(1, len(ids)))  # sketches of any multiple of SMALL_WORDS
     return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]), [ids, n, root, bits]
 
 
@@ -246,6 +247,8 @@ def _near_in_block(batches, t: Fraction):
     for batch in batches:
         at, (ids, n, root, bits) = _members(batch.column(0))
         at2, (ids2, n2, root2, bits2) = _members(batch.column(1))
+        if not len(ids) or not len(ids2):
+            continue
         small_bits, small_bits2 = (np.bitwise_xor.reduce(x.reshape(len(x), -1, SMALL_WORDS), axis=1) for x in (bits, bits2))
         row = np.repeat(np.arange(batch.num_rows), np.diff(at))
         met = np.diff(at2)[row]  # partners of each member on the left
