@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import discard, new_path, shared_dir, staged  # noqa: F401 (for the operators)
+from ..staging import discard, new_path, passing, settled, shared_dir, staged  # noqa: F401 (for the operators)
 
 
 # ---------------------------------------------------------------- tables and columns
@@ -140,6 +141,26 @@ def released() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_loaded: dict = {}
+
+
+def per_worker(key, make: Callable):
+    """What `make` gives, kept in each Python worker until it is asked for another one: a worker holds one model at a time."""
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = make()
+    return _loaded[key]
+
+
+def lean(steps: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What steps give, in a worker without the model of an earlier step; then its memory goes back to the system."""
+    if _loaded:
+        _loaded.clear()
+        gc.collect()
+    yield from steps
+    released()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import may_be_in, pieces, released, staged
+from .common import may_be_in, passing, pieces, released, staged
 from .tokens import per_worker
 
 SAMPLE_ROWS = 64
@@ -274,7 +274,8 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: F.Column | None = None, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """(id, lang_pred, score) and the columns in keep; names: those of the last two. `learn` tells which rows may be learnt from."""
-    model = Model(labelled_sample(docs, id_col, text_col, lang_col, learn, rows, chars))
+    with passing():
+        model = Model(labelled_sample(docs, id_col, text_col, lang_col, learn, rows, chars))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages times `chars` and one row
     key = ("language", uuid.uuid4().hex)
     columns = [c for c in keep or [] if c != id_col]

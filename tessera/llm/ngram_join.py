@@ -30,13 +30,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, among, components, discard, excluding, may_be_in, mix, pieces, released, rows_at_once, sequence_hash, staged, utf8
+from .common import Words, among, components, discard, excluding, lean, may_be_in, mix, pieces, rows_at_once, sequence_hash, settled, staged, utf8
 from .prefix_bpe import ragged
 
 _U = np.uint64
@@ -44,6 +45,7 @@ FOLDED_WORDS = 16  # 1024 bits
 SMALL_WORDS = 4  # the same sketch folded once more
 BAND_RATIO = 1.35
 PAIRS = 1 << 18  # pairs of members that are looked at together
+PARTS = 2  # of the keys, counted one after the other: shuffle files of only one stand on disk
 PIECE = 2048  # members of a block that are compared at once; a larger block is met piece by piece
 
 
@@ -156,7 +158,6 @@ def _features(batches, k: int):
         folds = np.concatenate([[_U(0)], np.bitwise_xor.accumulate(mix(r + _U(1)))])
         digests = (sums[begin[1:]] - sums[begin[:-1]], folds[begin[1:]] ^ folds[begin[:-1]])
         yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(begin)), *(pa.array(d.view(np.int64)) for d in digests)], names=["id", "n", "d1", "d2"])
-    released()
 
 
 def _sketches(batches, k: int, t: Fraction):
@@ -169,7 +170,6 @@ def _sketches(batches, k: int, t: Fraction):
         lists = [(np.arange(len(begin)) * FOLDED_WORDS, small.ravel()), (np.searchsorted(of, np.arange(len(begin))), keys)]
         lists = [pa.ListArray.from_arrays(at.astype(np.int32), pa.array(x)) for at, x in lists]
         yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(begin)), *lists], names=["id", "n", "folded", "keys"])
-    released()
 
 
 def _verified(batches, k: int, t: Fraction):
@@ -206,21 +206,26 @@ def _may_link(p: DataFrame, words: int, t: Fraction) -> DataFrame:
 
 def _links(p: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     """Those of the pairs (a < b) that link. The larger ids' texts come first: one hub's text isn't copied through a shuffle."""
-    ids = staged(p.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = staged(among(docs, ids, "id"), "texts")
-    both = p.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
-    return staged(both.mapInArrow(lambda it: _verified(it, k, t), "a long, b long"), "links")
 
+    def verified() -> DataFrame:
+        ids = staged(p.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        texts = staged(among(docs, ids, "id"), "texts")
+        both = p.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
+        return both.mapInArrow(lambda it: lean(_verified(it, k, t)), "a long, b long")
 
-def _connected(pairs: DataFrame, links: DataFrame | None, reps: DataFrame, docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    with rows_at_once(docs.sparkSession, 1000):  # two texts each
+        return settled(verified, "links")
+
+
+def _connected(pairs: DataFrame, links: DataFrame | None, sketches: DataFrame, docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
     """(links and those among the pairs (a < b) that components need, (node, root) of their components). The pairs have passed
     the small sketches' bound."""
-    p = staged(_bounded(pairs, reps.select("id", "n", "folded"), FOLDED_WORDS, t).distinct(), "pairs")
+    p = staged(_bounded(pairs, sketches, FOLDED_WORDS, t).distinct(), "pairs")
     tested = staged(p.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tested")
     for _ in range(2):
         found = _links(tested, docs, k, t)
         links = found if links is None else links.union(found)
-        roots = staged(components(links), "roots")
+        roots = settled(lambda: components(links), "roots")  # noqa: B023 (it is called at once)
         rest = p.join(tested, ["a", "b"], "left_anti")
         for end in ("a", "b"):
             rest = rest.join(roots.toDF(end, f"root_{end}"), end, "left")
@@ -275,9 +280,14 @@ def _near_in_block(batches, t: Fraction):
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: Fraction | str = "0.8") -> DataFrame:
     """(id, n_shingles, component_id): component_id is the smallest id reachable over links, itself included; null without an id."""
-    t = Fraction(threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    features = staged(docs.mapInArrow(lambda it: _features(it, k), "id long, n long, d1 long, d2 long"), "features")
+    return settled(lambda: _classes(docs, k, Fraction(threshold)).toDF(id_col, "n_shingles", "component_id"), "joined")
+
+
+def _classes(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """(id, n, component) of the documents (id, text). Tables go as soon as nothing reads them any more."""
+    with rows_at_once(docs.sparkSession, 2000):
+        features = staged(docs.mapInArrow(lambda it: lean(_features(it, k)), "id long, n long, d1 long, d2 long"), "features")
     classes = staged(features.where("n > 0 AND id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
     of_class = staged(features.join(classes, ["n", "d1", "d2"], "left").select("id", "n", "rep"), "of_class")
     held = of_class.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("m"), F.min("rep").alias("rep"))
@@ -292,36 +302,43 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         apart, rest = excluding(docs, repeated, "id").union(several), rest.union(several)
         linked = staged(among(of_class, repeated, "id").where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "linked")
     docs = apart
-    reps = staged(rest.mapInArrow(lambda it: _sketches(it, k, t), "id long, n long, folded array<long>, keys array<long>"), "reps")
+    with rows_at_once(docs.sparkSession, 2000):
+        reps = staged(rest.mapInArrow(lambda it: lean(_sketches(it, k, t)), "id long, n long, folded array<long>, keys array<long>"), "reps")
 
     member = reps.select("id", "n", F.expr(_small()).alias("sketch"), F.explode("keys").alias("key"))
-    often = staged(member.select("key").groupBy("key").count().where("count > 1").select("key"), "often")
+    parts = [member.where(F.pmod("key", F.lit(PARTS)) == i).groupBy("key").count().where("count > 1").select("key") for i in range(PARTS)]
+    often = reduce(DataFrame.union, [staged(part, "often") for part in parts])
     met = staged(may_be_in(member, often, "key").join(often, "key", "left_semi").select("key", "id", "n", "sketch"), "met")  # members of blocks with others
+    sketches = staged(reps.select("id", "n", "folded"), "sketches")
+    discard(reps)  # its keys take most of the space
     hubs = met.groupBy("key").agg(F.min("id").alias("h0"), F.max("id").alias("h1")).where("h0 < h1")
     hubs = met.join(hubs, "key").where("id = h0 OR id = h1").select("key", F.col("id").alias("hub"), F.col("n").alias("nb"), F.col("sketch").alias("fb"))
     hubs = staged(hubs.dropDuplicates(["key", "hub", "nb", "fb"]) if linked is not None else hubs, "hubs")  # two for each key, but for repeated ids
     tested = met.select("key", "id", F.col("n").alias("na"), F.col("sketch").alias("fa")).join(hubs, "key").where("id <> hub")
     tested = _may_link(tested, SMALL_WORDS, t).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links, roots = _connected(tested, linked, reps, docs, k, t)
+    links, roots = _connected(tested, linked, sketches, docs, k, t)
     discard(hubs)
 
     named = met.select("id", "key").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     named = staged(named, "named")
+    discard(met)
     h = F.xxhash64("id", F.lit(8))
     open_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s"))
     # of the blocks with the same members one is enough: they stand for the same pairs
     open_keys = open_keys.where("lo < hi").groupBy("m", "x", "s").agg(F.min("key").alias("key")).select("key", "m")
     piece = F.pmod(F.xxhash64("id", F.lit(9)), F.ceil(F.col("m") / PIECE))
-    left = named.join(open_keys, "key").withColumn("piece", piece).join(reps.select("id", "n", F.col("folded").alias("sketch")), "id")
+    left = named.join(open_keys, "key").withColumn("piece", piece).join(sketches.select("id", "n", F.col("folded").alias("sketch")), "id")
     blocks = left.groupBy("key", "piece").agg(F.collect_list(F.struct("id", "n", "root", "sketch")).alias("members"), F.first("m").alias("m"))
     blocks = staged(blocks, "blocks")
+    discard(named)
     a = blocks.select("key", F.col("piece").alias("p"), F.col("members").alias("left"), F.explode(F.sequence("piece", F.ceil(F.col("m") / PIECE) - 1)).alias("piece"))
     paired = a.join(blocks.select("key", "piece", F.col("members").alias("right")), ["key", "piece"]).select("left", "right")
-    with rows_at_once(docs.sparkSession, 256):  # a row has up to two pieces
-        near = staged(paired.mapInArrow(lambda it: _near_in_block(it, t), "a long, b long").distinct(), "near")
+    with rows_at_once(docs.sparkSession, 64):  # a row has up to two pieces
+        near = staged(paired.mapInArrow(lambda it: lean(_near_in_block(it, t)), "a long, b long").distinct(), "near")
+    discard(blocks)
     if not near.isEmpty():
-        _, roots = _connected(near, links, reps, docs, k, t)
+        _, roots = _connected(near, links, sketches, docs, k, t)
 
     out = of_class.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("id", "n", component.alias("component"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, among, components, fresh, matched, mix, pieces, released, rows_at_once, staged, utf8
+from .common import Words, among, components, discard, fresh, lean, matched, mix, pieces, rows_at_once, settled, staged, utf8
 
 WINDOW = 12
 REACH = 17  # places of which one is an anchor
@@ -492,19 +492,24 @@ def _pieces_met(members: DataFrame, base: DataFrame, around: int, f) -> DataFram
     h = F.xxhash64("id", "place", F.lit(8))
     keys = members.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s"))
     keys = keys.groupBy("m", "x", "s").agg(F.min("key").alias("key")).select("key", "m")
-    members = staged(members.join(keys, "key"), "open")
+    return settled(lambda: _met(staged(members.join(keys, "key"), "open"), base, around, f), "more")
+
+
+def _met(members: DataFrame, base: DataFrame, around: int, f) -> DataFrame:
     start, n = F.shiftright("place", 32), F.shiftright(F.col("place").bitwiseAND(4294967295), 1)
     units = members.select("id", "place", (start - around).cast("int").alias("lo"), (start + n + around).cast("int").alias("hi")).distinct()
     wanted = staged(units.groupBy("id").agg(F.collect_list(F.struct("place", "lo", "hi")).alias("wanted")), "wanted")
     near = among(base, wanted.select("id"), "id").join(wanted, "id").select("id", "text", "wanted")
-    hashes = staged(near.mapInArrow(_hashes, "id long, place long, at int, words array<long>"), "hashes")
+    hashes = staged(near.mapInArrow(lambda it: lean(_hashes(it)), "id long, place long, at int, words array<long>"), "hashes")
     pieces_of = F.ceil(F.col("m") / PIECE)
     left = members.withColumn("piece", F.pmod(F.xxhash64("id", F.lit(9)), pieces_of)).join(hashes, ["id", "place"])
-    blocks = staged(left.groupBy("key", "piece").agg(F.collect_list(F.struct("id", "place", "root", "at", "words")).alias("members"), F.first("m").alias("m")), "blocks")
+    left = left.groupBy("key", "piece").agg(F.collect_list(F.struct("id", "place", "root", "at", "words")).alias("members"), F.first("m").alias("m"))
+    blocks = staged(left, "blocks")
+    discard(hashes)
     a = blocks.select("key", F.col("piece").alias("p"), F.col("members").alias("left"), F.explode(F.sequence("piece", pieces_of - 1)).alias("piece"))
     paired = a.join(blocks.select("key", "piece", F.col("members").alias("right")), ["key", "piece"]).select("left", "right", (F.col("p") == F.col("piece")).alias("same"))
     with rows_at_once(base.sparkSession, 32):  # rows are wide: up to two pieces of PIECE members
-        return staged(paired.mapInArrow(f, "id long, place long, hub long, hub_place long").distinct(), "more")
+        return staged(paired.mapInArrow(lambda it: lean(f(it)), "id long, place long, hub long, hub_place long").distinct(), "near")
 
 
 def _edges(held: DataFrame) -> DataFrame:
@@ -515,31 +520,43 @@ def _held(met: DataFrame, base: DataFrame, min_words: int, threshold: float) ->
     """Those of the pairs of units (id, place, hub, hub_place) that hold, windows melted to runs and grown."""
     fields = [f"cast({x} AS int) AS {p}{n}" for p in ("", "hub_") for x, n in ((f"shiftright({p}place, 32)", "start"), (f"shiftright({p}place & 4294967295, 1)", "n"))]
     met = met.selectExpr("id", "hub", "(place & 1) = 1 AS line", *fields)
-    met = staged(met, "met")
+    return settled(lambda: _holding(staged(met, "met"), base, min_words, threshold), "held")
+
+
+def _holding(met: DataFrame, base: DataFrame, min_words: int, threshold: float) -> DataFrame:
     lines = met.where("line").distinct()
     # windows at nearly one distance melt into stretches
     pairs = met.where("not line").groupBy("id", "hub").agg(F.collect_set(F.struct("start", "hub_start")).alias("matches"))
     seeds = "array<struct<s: int, h: int>>"
-    runs = pairs.mapInArrow(_chained, f"id long, hub long, start int, n int, hub_start int, hub_n int, seeds {seeds}").withColumn("line", F.lit(False))
+    runs = pairs.mapInArrow(lambda it: lean(_chained(it)), f"id long, hub long, start int, n int, hub_start int, hub_n int, seeds {seeds}").withColumn("line", F.lit(False))
     lines = lines.withColumn("seeds", F.lit(None).cast(seeds))
     around = F.when(F.col("line"), 0).otherwise(CONTEXT)
     found = lines.unionByName(runs).select("*", (F.col("start") - around).alias("lo"), (F.col("start") + F.col("n") + around).alias("hi"), (F.col("hub_start") - around).alias("hub_lo"), (F.col("hub_start") + F.col("hub_n") + around).alias("hub_hi"))
     found = staged(found, "candidates")
+    discard(met)
     wanted = found.select("id", "lo", "hi").union(found.select("hub", "hub_lo", "hub_hi")).distinct()
     wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("wanted"))  # regions of one document
     wanted = staged(wanted, "wanted")
     near = among(base, wanted.select("id"), "id").join(wanted, "id").select("id", "text", "wanted")
-    regions = staged(near.mapInArrow(_regions, "id long, lo int, hi int, at int, region binary"), "regions")
+    regions = staged(near.mapInArrow(lambda it: lean(_regions(it)), "id long, lo int, hi int, at int, region binary"), "regions")
     both = found.join(regions, ["id", "lo", "hi"]).join(regions.toDF("hub", "hub_lo", "hub_hi", "hub_at", "hub_region"), ["hub", "hub_lo", "hub_hi"])
-    return staged(both.mapInArrow(lambda it: _compared(it, min_words, threshold), "id long, start int, n int, hub long, hub_start int, hub_n int, line boolean"), "held")
+    return both.mapInArrow(lambda it: lean(_compared(it, min_words, threshold)), "id long, start int, n int, hub long, hub_start int, hub_n int, line boolean")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, threshold: float = 0.8) -> DataFrame:
     """(id, start, n, keeper, keeper_start, line): passages to remove, in words from `start` on; `keeper` has the one that stays."""
+    return settled(lambda: _passages(docs, id_col, text_col, min_words, threshold), "passages")
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, threshold: float) -> DataFrame:
+    """As above. Tables go as soon as nothing reads them any more."""
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    units = staged(base.mapInArrow(lambda it: _units(it, min_words), UNITS), "units")
+    with rows_at_once(docs.sparkSession, 2000):
+        units = staged(base.mapInArrow(lambda it: lean(_units(it, min_words)), UNITS), "units")
     shared = units.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("hi"), F.count("*").alias("m")).where("hub < hi").select("key", "hub", "m")
     every = staged(units.join(shared, "key"), "shared")
+    discard(units)
+    table = every
     first = every.where("id = hub AND lead").select("key", F.col("place").alias("hub_place"))  # one for each key
     met = every.where("id <> hub").join(first, "key").select("id", "place", "hub", "hub_place")
     held = _held(met, base, min_words, threshold)
@@ -547,7 +564,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # what the hubs leave open
     every = every.where("m > 2")  # else the one pair is tested
     node = F.xxhash64("id", F.shiftright("place", 32).cast("int"))
-    roots = staged(components(_edges(held)), "roots")
+    roots = settled(lambda: components(_edges(held)), "roots")
     lines = every.where("(place & 1) = 1").select("key", "id", "place", node.alias("node")).join(roots, "node", "left").select("key", "id", "place", F.coalesce("root", "node").alias("root"))
     lines = staged(lines, "lines")
     apart = lines.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("i"), F.max("id").alias("j")).where("lo < hi AND i < j").select("key")
@@ -556,9 +573,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     windows = every.where("(place & 1) = 0").select("key", "id", "place", "hub", F.shiftright("place", 32).alias("at")).join(done, "id", "left")
     covered = f"coalesce(exists(done, d -> d.start <= at AND at + {WINDOW} <= d.start + d.n), false)"
     windows = staged(windows.selectExpr("key", "id", "place", f"if(id = hub OR {covered}, 0L, 1L) AS root"), "windows")
+    discard(table)
     apart = windows.groupBy("key").agg(F.max("root").alias("open")).where("open = 1").select("key")
     more.append((windows.join(apart, "key"), CONTEXT, lambda it: _near_windows(it, min_words, threshold)))
     more = [(staged(members, "members"), around, f) for members, around, f in more]
+    discard(lines)
+    discard(windows)
     more = [_pieces_met(members, base, around, f) for members, around, f in more if not members.isEmpty()]
     more = [found for found in more if not found.isEmpty()]
     if more:
@@ -604,10 +624,10 @@ def _cut(batches, places: tuple[int, int]):
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, threshold: float = 0.8) -> DataFrame:
     """The documents without repeated passages, all columns kept. A document of which nothing stays goes."""
-    spans = repeated_passages(docs, id_col, text_col, min_words, threshold)
     cuts = fresh(docs, "cuts")
-    spans = staged(spans.groupBy(F.col("id").alias(id_col)).agg(F.collect_set(F.struct("start", "n")).alias(cuts)), "spans")
+    spans = lambda: _passages(docs, id_col, text_col, min_words, threshold).groupBy(F.col("id").alias(id_col)).agg(F.collect_set(F.struct("start", "n")).alias(cuts))
+    spans = settled(spans, "spans")
     hit, rest = matched(docs, spans, id_col)
     hit = hit.select(*docs.columns, cuts)
     places = (docs.columns.index(text_col), len(docs.columns))
-    return rest.union(hit.mapInArrow(lambda it: _cut(it, places), docs.schema))
+    return rest.union(hit.mapInArrow(lambda it: lean(_cut(it, places)), docs.schema))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, excluding, new_path, pieces, released, staged
+from .common import among, excluding, new_path, per_worker, pieces, released, staged
 from .prefix_bpe import PrefixBPE
 
 #: Words in a generation of a worker's memo, and the longest of them: a generation takes some 30 MB.
@@ -44,17 +44,6 @@ class Memo(dict):
         return value
 
 
-_loaded: dict = {}
-
-
-def per_worker(key, make: Callable):
-    """What `make` gives, kept in each Python worker until it is asked for another one: a worker holds one model at a time."""
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = make()
-    return _loaded[key]
-
-
 # ---------------------------------------------------------------- BPE by per-prefix dynamic programming
 def _sha(names: list[str], ids: np.ndarray) -> str:
     """sha256 of the names of the ids, joined by blanks."""

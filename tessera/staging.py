@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 GC_EVERY = 8
 _written = itertools.count(1)
+_passing: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("passing", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +37,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back. Its shuffle files go as soon as it is written, and
     after every GC_EVERY tables what the driver keeps of the plans before."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    if (mine := _passing.get()) is not None:
+        mine.append((spark, path))
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -46,6 +52,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def passing() -> Iterator[list[tuple[SparkSession, str]]]:
+    """Tables staged inside go at the end, but for those taken off the list: what is made of them must be collected or staged by then."""
+    mine: list[tuple[SparkSession, str]] = []
+    outer = _passing.set(mine)
+    try:
+        yield mine
+    finally:
+        _passing.reset(outer)
+        for spark, path in mine:
+            drop_table(spark, path)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The staged result of make(); the tables staged on the way to it go. A table of an outer step goes with that step."""
+    with passing() as mine:
+        out = staged(make(), name)
+        last = mine.pop()
+    if (outer := _passing.get()) is not None:
+        outer.append(last)
+    return out
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

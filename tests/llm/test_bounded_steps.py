@@ -1,11 +1,14 @@
 """What must not grow with the square of the input, or stay behind, in the steps of op6, op7 and the staged tables."""
 
+import pathlib
 import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera import staging
 from tessera.llm import ngram_join, vectors
 
@@ -41,3 +44,37 @@ def test_pairs_in_a_block_pass_the_whole_sketch():
     batch = pa.RecordBatch.from_arrays([pa.array([members], kind)] * 2, names=["left", "right"])
     found = {p for out in ngram_join._near_in_block([batch], ngram_join.Fraction("0.8")) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
     assert found == {(0, 2)}
+
+
+def tables(spark):
+    at = pathlib.Path(staging.shared_dir(spark).removeprefix("file://")) / "tessera"
+    return {p.name for p in at.iterdir()} if at.exists() else set()
+
+
+def test_tables_of_the_way_go(spark):
+    """What a stage of the pipeline leaves in the shared folder is what its result reads."""
+    words = [f"w{(i * i) % 997}" for i in range(400)]
+    rows = [(1, " ".join(words[:200])), (2, " ".join(words[:199])), (3, " ".join(words[:200])), (4, " ".join(words[220:300] + words[20:90])), (5, None)]
+    docs = spark.createDataFrame([(i, t, "a", "en", len(t or "")) for i, t in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    left = {"ngram_jaccard_join": {"gone", "several"}, "substring_dedup": {"spans"}, "mixture": {"undrawn"}}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before = tables(spark)
+        out = stage(spark, docs, "")
+        assert {x.split("-")[0] for x in tables(spark) - before} == left.get(name, set())
+        out.collect()  # and nothing that it reads is gone
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 4, 5]
+    assert {r["doc_id"]: r["text"].split() for r in corpus_pipeline.substring_stage(spark, got, "").collect()}[4] == words[220:300]
+
+
+def test_tables_of_a_failed_step_go(spark):
+    before = tables(spark)
+
+    def fails():
+        inner = staging.settled(lambda: staging.staged(spark.range(3), "first").where("id > 0"), "inner")
+        assert inner.count() == 2 and {x.split("-")[0] for x in tables(spark) - before} == {"inner"}
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        staging.settled(fails, "outer")
+    assert tables(spark) == before
