@@ -64,7 +64,7 @@ def test_tables_of_the_way_go(spark):
         out.collect()  # and nothing that it reads is gone
     got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert sorted(r["doc_id"] for r in got.collect()) == [1, 4, 5]
-    assert {r["doc_id"]: r["text"].split() for r in corpus_pipeline.substring_stage(spark, got, "").collect()}[4] == words[220:300]
+    assert {r["doc_id"]: (r["text"] or "").split() for r in corpus_pipeline.substring_stage(spark, got, "").collect()}[4] == words[220:300]
 
 
 def test_tables_of_a_failed_step_go(spark):
