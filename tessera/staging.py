@@ -9,10 +9,11 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-GC_EVERY = 8
+GC_EVERY = 4
 _written = itertools.count(1)
 _passing: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("passing", default=None)
 
@@ -46,12 +47,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     if next(_written) % GC_EVERY == 0:
-        spark.sparkContext._jvm.System.gc()
+        tidy(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """The driver drops what it keeps of earlier plans. Its C library, which holds what compilers and network threads have freed,
+    gives that back to the system, where the JVM has the command for it."""
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):  # another JVM or C library
+        _trimmed(spark.sparkContext._gateway, jvm)
+
+
+def _trimmed(gateway, jvm) -> str:
+    """What the JVM says of its command. Its server of beans has no class that may be called from outside, so the interface's
+    method is taken."""
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = gateway.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 @contextlib.contextmanager
 def passing() -> Iterator[list[tuple[SparkSession, str]]]:
     """Tables staged inside go at the end, but for those taken off the list: what is made of them must be collected or staged by then."""

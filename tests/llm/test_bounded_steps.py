@@ -35,6 +35,15 @@ def test_staged_table_leaves_no_shuffle_files(spark):
     assert spark.conf.get(staging.CLEANUP) == "false"
 
 
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """Staged tables have the driver's C library give back what is free in it, where the JVM has the command."""
+    said, trimmed = [], staging._trimmed
+    monkeypatch.setattr(staging, "_trimmed", lambda *a: said.append(trimmed(*a)))
+    for _ in range(staging.GC_EVERY):
+        staging.staged(spark.range(3), "few")
+    assert len(said) == 1 and "Trim native heap" in said[0]
+
+
 def test_pairs_in_a_block_pass_the_whole_sketch():
     """Two sets whose small sketches agree and whose whole ones don't are no pair."""
     far = np.zeros((3, ngram_join.FOLDED_WORDS), np.int64)
