@@ -41,9 +41,10 @@ REACH = 17  # places of which one is an anchor
 MELT = 50  # words between two windows of one stretch at most
 SLACK = 8  # by so many words their distances may differ
 EDIT = 4  # words of one edit that growth goes over
+SHINGLE = 5
+BEHIND = EDIT + SHINGLE  # words behind a block in which the next one begins, with its first shingle
 BANDS = 6
 BAND_ROWS = 2
-SHINGLE = 5
 CONTEXT = 60  # words fetched on each side of a run, to grow it (see above)
 PIECE = 512  # members of a band value that are compared at once; a larger one is met piece by piece
 _U = np.uint64
@@ -311,7 +312,6 @@ class Side:
         self.gram = _shingles(self.flat)[self.gram_at]
         self.ends = np.cumsum(size)[:-1]  # of the shingles of each member but the last
         self.grams: list[np.ndarray] = []  # numbers of the shingles of each member
-        self.gram_places: list[np.ndarray] = []  # places of windows' shingles, from the window on
 
     def words(self, i: int, own: int) -> list[int]:
         """Words of a member; those that are not `known` get numbers below 0 from `own` down, which stand nowhere else."""
@@ -324,8 +324,6 @@ class Side:
         self.first = np.cumsum(self.size) - self.size
         self.number = np.concatenate([self.grams[i] for i in some])
         self.member = np.repeat(np.arange(len(self.size)), self.size)
-        if self.gram_places:
-            self.places = np.concatenate([self.gram_places[i] for i in some])
 
     def among(self, grams: np.ndarray) -> np.ndarray:
         """Which shingles of the indexed members are among these."""
@@ -339,50 +337,6 @@ class Side:
         total = np.concatenate([[0], np.cumsum(self.among(grams))])
         return total[self.first + self.size] - total[self.first]
 
-    def may_hold(self, grams: np.ndarray, min_words: int, threshold: float) -> np.ndarray:
-        """Indexed members with which a run through the window may hold. Equal blocks are stretches of shared shingles; those of
-        one run follow each other from the window on with few words between. A run without an edit is one stretch of min_words
-        words. One with an edit has two stretches, and `in_two` shared shingles in them at least: enough to pay for the edit's
-        words and the shingles over them, and to be long enough with them. One with more edits has `per_edit` for each."""
-        per_edit = threshold * (2 * SHINGLE - 1) / (1 - threshold) - 1e-9
-        over = 2 * (SHINGLE - 1)
-        in_two = min(max(threshold * (gap + over) / (1 - threshold), min_words - over - gap) for gap in range(1, EDIT + 1)) - 1e-9
-        out = np.zeros(len(self.size), bool)
-        least = min(min_words - SHINGLE + 1, in_two, 2 * per_edit)  # shared shingles that each of the three needs
-        if len(grams) < least:
-            return out
-        at = np.flatnonzero(self.among(grams))
-        of = self.member[at]
-        enough = np.bincount(of, minlength=len(self.size)) >= least
-        at = at[enough[of]]
-        if not len(at):
-            return out
-        of, place = self.member[at], self.places[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1)
-        begin = np.flatnonzero(new)
-        length, of, lo = np.diff(begin, append=len(at)), of[begin], place[begin]
-        hi = lo + length  # of each stretch, in places from the window on
-        new = np.zeros(len(lo), bool)
-        new[1:] = (of[1:] != of[:-1]) | (lo[1:] - hi[:-1] > SHINGLE - 1 + EDIT)
-        chain = np.cumsum(new)
-        through = np.zeros(int(chain[-1]) + 1, bool)
-        through[chain[(lo <= 0) & (hi > 0)]] = True
-        mine = through[chain]
-        length, of = length[mine], of[mine]
-        if not len(of):
-            return out
-        order = np.lexsort((-length, of))
-        length, of = length[order], of[order]
-        member = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0]))
-        most = length[member]
-        second = np.minimum(member + 1, len(of) - 1)
-        several = (second > member) & (of[second] == of[member])
-        two = most + length[second]
-        total = np.add.reduceat(length, member)
-        out[of[member]] = (most >= min_words - SHINGLE + 1) | several & ((two >= in_two) | (total >= 2 * per_edit))
-        return out
-
 
 def _shingles(h: np.ndarray) -> np.ndarray:
     m = len(h) - SHINGLE + 1
@@ -406,14 +360,10 @@ _COLUMN = np.random.default_rng(13).integers(1, 2**63, 2 * CONTEXT + WINDOW, dty
 def _variants(sides: list[Side]) -> list[np.ndarray]:
     """A number for each member of windows: members of one number have the same words at the same distance from their window,
     as far as these stand in shingles that occur more than once. Other words never agree with any member's, as blocks that
-    agree have a shingle at least: so members of one number give the same runs. The sides keep only such words and shingles."""
+    agree have a shingle at least: so members of one number give the same runs."""
     count, out = _numbered(sides), []
     for s in sides:
-        mine = count[s.gram] > 1
-        begins = s.gram_at[mine]
-        ends = np.searchsorted(begins, s.begin[1:])
-        s.grams = np.split(s.gram[mine], ends)
-        s.gram_places = [p - w for p, w in zip(np.split(begins, ends), (s.begin + (s.place >> 32) - s.at).tolist())]
+        begins = s.gram_at[count[s.gram] > 1]
         change = np.bincount(begins, minlength=len(s.flat) + SHINGLE) - np.bincount(begins + SHINGLE, minlength=len(s.flat) + SHINGLE)[: len(s.flat) + SHINGLE]
         s.known_words = known = np.cumsum(change)[: len(s.flat)] > 0
         column = np.arange(len(s.flat)) - np.repeat(s.begin + (s.place >> 32) - s.at - CONTEXT, s.length)
@@ -448,6 +398,40 @@ def _near_lines(batches, threshold: float):
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*found)], names=names)
 
 
+def _aligned(sides: list[Side]) -> list[np.ndarray]:
+    """The members' words as rows that have the window at one place: numbers, and below 0, one for each side, for words that are
+    not `known` and where no word stands. A side's rows end in places without words at both ends."""
+    flats = [s.flat for s in sides]
+    number, out = np.unique(np.concatenate(flats), return_inverse=True)[1], []
+    for n, (s, part) in enumerate(zip(sides, np.split(number, np.cumsum([len(x) for x in flats])[:-1]))):
+        rows = np.full((len(s.length), 2 * (CONTEXT + BEHIND) + WINDOW), -1 - n, np.int32)
+        row = np.repeat(np.arange(len(s.length)), s.length)
+        column = np.arange(len(s.flat)) - np.repeat(s.begin + (s.place >> 32) - s.at - CONTEXT - BEHIND, s.length)
+        rows[row[s.known_words], column[s.known_words]] = part[s.known_words]
+        out.append(rows)
+    return out
+
+
+def _may_hold(x: np.ndarray, y: np.ndarray, min_words: int) -> tuple[np.ndarray, int]:
+    """(rows of y before the first sure one with which a run through the window may hold; the first sure one, or len(y)). x and y
+    are aligned. min_words equal words around the window are a run for sure. With fewer, a run needs another block behind an
+    edit, as `_onward` finds it."""
+    first, last = BEHIND + CONTEXT, BEHIND + CONTEXT + WINDOW
+    same = x == y
+    left, right = same[:, first - 1 :: -1].argmin(axis=1), same[:, last:].argmin(axis=1)  # the outermost differ
+    whole = same[:, first:last].all(axis=1)
+    sure = np.flatnonzero(whole & (left + WINDOW + right >= min_words))
+    end = int(sure[0]) if len(sure) else len(y)
+    rest = np.flatnonzero(whole[:end])
+    on = np.zeros(len(rest), bool)
+    for at, step in ((last + right[rest], 1), (first - 1 - left[rest], -1)):
+        places = at[:, None] + step * np.arange(BEHIND)
+        meet = x[places][:, :, None] == y[rest[:, None], places][:, None, :]
+        blocks = np.logical_and.reduce([meet[:, k : k + EDIT + 1, k : k + EDIT + 1] for k in range(SHINGLE)])
+        on |= blocks.any(axis=(1, 2))
+    return rest[on], end
+
+
 def _near_windows(batches, min_words: int, threshold: float):
     """For each open window (root 1) of rows of two pieces the earliest document with which a run holds. Members that must give
     the same runs (see `_variants`) are tested once."""
@@ -457,31 +441,37 @@ def _near_windows(batches, min_words: int, threshold: float):
             same = batch.column(2)[row].as_py()
             sides = [Side(batch.column(i)[row]) for i in range(1 if same else 2)]
             kinds = _variants(sides)
-            pairs = [(0, 0)] if same else [(0, 1), (1, 0)]
+            rows = _aligned(sides)
+            if same:
+                sides, kinds, rows = sides * 2, kinds * 2, [rows[0], np.where(rows[0] < 0, -2, rows[0])]
             found = []
-            for x, y, of, to in ((sides[p], sides[q], kinds[p], kinds[q]) for p, q in pairs):
+            for p, q in [(0, 1)] if same else [(0, 1), (1, 0)]:
+                x, y, of, to = sides[p], sides[q], kinds[p], kinds[q]
                 open_ones = np.flatnonzero(x.root == 1)
                 if not len(open_ones):
                     continue
                 # the first member of each kind, in order
                 order = np.lexsort((y.place, y.id))
-                first = order[np.sort(np.unique(to[order], return_index=True)[1])].tolist()
-                y.index(first)
+                first = order[np.sort(np.unique(to[order], return_index=True)[1])]
+                others, ids = rows[q][first], y.id[first]
                 words: dict[int, list[int]] = {}
                 for kind in np.unique(of[open_ones]).tolist():
                     mine = open_ones[of[open_ones] == kind]
-                    i, most = int(mine[0]), int(x.id[mine].max())
-                    own = x.words(i, -1)
-                    for k in np.flatnonzero(y.may_hold(x.grams[i], min_words, threshold)).tolist():
-                        j = first[k]
-                        if y.id[j] >= most:
-                            break
+                    i = int(mine[0])
+                    earlier = int(np.searchsorted(ids, x.id[mine].max()))
+                    some, hit = _may_hold(rows[p][i], others[:earlier], min_words)
+                    own = x.words(i, -1) if len(some) else []
+                    for k in some.tolist():
+                        j = int(first[k])
                         at, hub_at = (int(s.place[m] >> 32) - int(s.at[m]) for s, m in ((x, i), (y, j)))
                         if j not in words:
                             words[j] = y.words(j, -1_000_000_000)
                         if _runs(own, words[j], [(at, hub_at)], min_words, threshold):
-                            found += [(x.id[m], x.place[m], y.id[j], y.place[j]) for m in mine.tolist() if y.id[j] < x.id[m]]
+                            hit = k
                             break
+                    if hit < earlier:
+                        j = int(first[hit])
+                        found += [(x.id[m], x.place[m], y.id[j], y.place[j]) for m in mine.tolist() if y.id[j] < x.id[m]]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*found)], names=names)
 

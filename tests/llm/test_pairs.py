@@ -71,3 +71,23 @@ def test_window_members():
             assert got == want
             held += len(want)
     assert held
+
+
+def test_few_window_pairs_are_aligned(monkeypatch):
+    """Pairs without a block behind an edit, and those behind a sure one, aren't aligned word by word; _may_hold loses none that holds."""
+    r, calls, runs = random.Random(5), [], substring_dedup._runs
+    monkeypatch.setattr(substring_dedup, "_runs", lambda *a: calls.append(1) or runs(*a))
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("place", pa.int64()), ("root", pa.int64()), ("at", pa.int32()), ("words", pa.list_(pa.int64()))]))
+    own = lambda n: [r.randint(1, 10**9) for _ in range(n)]
+    front, one, two = own(15), own(30), own(30)
+
+    def member(i):  # what precedes the window's words is shared to a different extent, and what follows stands at another distance
+        shared = i % 16
+        words = own(60 - shared) + front[15 - shared :] + one + own(i % 5 * 5) + two + own(50)
+        return dict(id=i, place=60 << 32 | 24, root=1, at=0, words=words[:132])
+
+    some = [member(i) for i in range(1, 81)]
+    batch = pa.RecordBatch.from_arrays([pa.array([some], kind), pa.array([some], kind), pa.array([True])], names=["left", "right", "same"])
+    got = {p for out in substring_dedup._near_windows([batch], 50, 0.8) for p in zip(*(c.to_pylist() for c in out.columns))}
+    assert len(calls) < 80
+    assert got == first_that_holds(some, some) and got
