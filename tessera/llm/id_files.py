@@ -12,6 +12,8 @@ empty table writes no blocks. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 
@@ -21,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, pieces
+from .common import _BYTE, _power_tables, mix, new_path, pieces, utf8
+from .prefix_bpe import LONG, PairTable, PrefixBPE, ragged
 from .tokens import Memo, per_worker
 
 #: (values in a word, bits of each) by selector; selector 15 is the escape. Fixed values of the format.
@@ -105,6 +108,78 @@ _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
+class BytePieces(PrefixBPE):
+    """The encoder of operator 2 for a byte-level file: a word's end is like any other place."""
+
+    def __init__(self, file: str):
+        with open(file, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            raise ValueError(f"{file} isn't a plain byte-level BPE")
+        self.name = [""] * (1 + max(model["vocab"].values()))
+        self._merges(model["vocab"], model["merges"])
+        self._automaton(model["vocab"], "\n")  # stands in no token
+        self.ended, self.last_first, self.last_after = self.plain, self.first, self.after
+        self.cache, self.lists = np.full(1 << 18, -1, np.int64), []
+
+
+#: Letters and marks, which the pattern takes as one run each.
+_WORD = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+_MARK, _OTHER = 1, 2
+_KIND = np.full(256, _OTHER, np.int8)
+_KIND[[32, *range(65, 91), *range(97, 123)]] = 0
+_KIND[[10, *(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")]] = _MARK
+KNOWN_WORDS = 600_000  # in a worker's table of words; then it begins anew
+AT_ONCE = 1 << 20  # bytes of text that are encoded at once
+
+
+class Growing:
+    """An array with room behind it."""
+
+    def __init__(self, kind, *first: int):
+        self.room, self.n = np.zeros(1 << 16, kind), 0
+        self.add(np.array(first, kind))
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            self.room = np.concatenate([self.all(), np.zeros(self.n + 2 * len(values), self.room.dtype)])
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
+class Known:
+    """Words with their bytes and ids, found by hash. Odd ones have no ids: they can't stand by themselves."""
+
+    def __init__(self):
+        self.table = PairTable(np.zeros(0, np.int64), np.zeros(0, np.int64), 2 * KNOWN_WORDS)
+        self.odd, self.ids, self.letters = Growing(bool), Growing(np.int32), Growing(np.uint8)
+        self.id_at, self.letter_at = Growing(np.int64, 0), Growing(np.int64, 0)
+
+    def add(self, keys: np.ndarray, letters: np.ndarray, letter_at: np.ndarray, ids: np.ndarray, id_at: np.ndarray, odd: np.ndarray) -> None:
+        self.table.add(keys, self.odd.n + np.arange(len(keys)))
+        self.id_at.add(self.ids.n + id_at[1:])
+        self.letter_at.add(self.letters.n + letter_at[1:])
+        self.odd.add(odd)
+        self.ids.add(ids)
+        self.letters.add(letters)
+
+    def unlike(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Which words aren't those of these numbers."""
+        at = self.letter_at.all()
+        out = at[number + 1] - at[number] != size
+        some = np.flatnonzero(~out)
+        n = size[some]
+        to = np.cumsum(n) - n
+        step = np.arange(int(n.sum()))
+        differs = data[step + np.repeat(begin[some] - to, n)] != self.letters.room[step + np.repeat(at[number[some]] - to, n)]
+        if differs.any():
+            out[some[np.searchsorted(to, np.flatnonzero(differs), "right") - 1]] = True
+        return out
+
+
 class ByteBPE:
     """The tokenizers library over whole texts, with a memo of words. A text without two blanks in a row falls apart in front
     of each blank and around each line end: the byte-level pattern never matches across these places."""
@@ -119,6 +194,11 @@ class ByteBPE:
         self.later, self.first = Memo(self._later, LATER_WORDS), Memo(self._alone, 50_000)
         self.marks = {c: self._letters(c) for c in ".,;:!?"}
         self.line = self._letters("\n")
+        try:
+            self.in_step = BytePieces(file)
+        except ValueError:  # merges that prefixes don't tell: the library has every word
+            self.in_step = None
+        self.known = Known()
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
@@ -164,6 +244,93 @@ class ByteBPE:
         return self._ids(text)
 
 
+    def batch(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of the texts between places `at` of data. Words (with the blank in front of them, if any) and line
+        ends are looked up all at once; texts with others go through `encode`."""
+        if self.in_step is None or len(data) > 2 * AT_ONCE or not len(data):
+            parts = [np.frombuffer(self.encode(data[a:b].tobytes().decode()), np.uint32).view(np.int32) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            return np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        some = np.diff(at) > 0
+        line = data == 10
+        cut = line | (data == 32)
+        cut[1:] |= line[:-1]
+        cut[at[:-1][some]] = True
+        begin = np.flatnonzero(cut)
+        size = np.diff(np.append(begin, len(data)))
+        of = np.searchsorted(begin, at)
+        first = np.zeros(len(begin) + 1, bool)
+        first[of] = True
+        lead = data[begin]
+        blank, line = lead == 32, lead == 10
+        bad = blank & ((size == 1) | first[:-1]) | line & (first[:-1] | first[1:])
+        bad[:-1] |= line[:-1] & (line | blank)[1:]
+
+        up, down = _power_tables(len(data))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+        key = (mix((total[begin + size] - total[begin]) * down[begin]) >> _U(1)).view(np.int64)
+        if self.known.odd.n > KNOWN_WORDS:
+            self.known = Known()
+        known = self.known
+        number = known.table.get(key, -1)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            each, there = np.unique(key[new], return_index=True)
+            self._learn(data, begin[new[there]], size[new[there]], each)
+            number[new] = known.table.get(key[new], -1)
+        bad |= known.odd.all()[number] | known.unlike(data, begin, size, number)
+        ids, to = ragged(known.ids.room, known.id_at.all(), number)
+        to = to[of]
+        if not bad.any():
+            return ids, to
+        texts = np.unique(np.searchsorted(of, np.flatnonzero(bad), "right") - 1).tolist()
+        parts, done, n = [], 0, np.diff(to)
+        for i in texts:
+            own = np.frombuffer(self.encode(data[at[i] : at[i + 1]].tobytes().decode()), np.uint32).view(np.int32)
+            parts += [ids[to[done] : to[i]], own]
+            n[i], done = len(own), i + 1
+        return np.concatenate([*parts, ids[to[done] :]]), np.concatenate([[0], np.cumsum(n)])
+
+    def _learn(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: np.ndarray) -> None:
+        """Put new words into the table."""
+        at = np.concatenate([[0], np.cumsum(size)])
+        letters = data[np.repeat(begin - at[:-1], size) + np.arange(at[-1])]
+        kind, head = _KIND[letters], at[:-1]
+        step = np.arange(len(letters)) - np.repeat(head, size)
+        run = np.minimum.reduceat(np.where(kind == 0, np.repeat(size, size), step), head)  # letters in front, with the blank
+        fine = (np.maximum.reduceat(kind, head) < _OTHER) & (np.add.reduceat(kind == 0, head, dtype=np.int64) == run) & (size <= LONG)
+        run[fine & (run == (letters[head] == 32))] = 0  # marks take the blank
+        others, odd = {}, np.zeros(len(size), bool)
+        for i in np.flatnonzero(~fine).tolist():
+            word = letters[at[i] : at[i + 1]].tobytes().decode()
+            m = _WORD.fullmatch(word) if size[i] <= LONG else None
+            if m and m[1].lstrip(" ").isalpha():
+                fine[i], run[i] = True, len(m[1].encode())
+            elif any(map(str.isspace, word[1:] if word[0] == " " else word)):
+                odd[i] = True
+            else:
+                others[i] = np.frombuffer(self._ids(word), np.uint32).view(np.int32)
+        mine = np.flatnonzero(fine)
+        part_at = np.stack([head[mine], head[mine] + run[mine]], 1).ravel()
+        part = np.stack([run[mine], size[mine] - run[mine]], 1).ravel()
+        ids, to = self.in_step.pieces(letters, part_at[part > 0], part[part > 0])
+        parts = np.zeros(len(part) + 1, np.int64)
+        parts[1:] = np.cumsum(part > 0)
+        n = np.zeros(len(size), np.int64)
+        n[mine] = np.diff(to[parts[::2]])
+        for i, x in others.items():
+            n[i] = len(x)
+        id_at = np.concatenate([[0], np.cumsum(n)])
+        if others:
+            out, own = np.zeros(id_at[-1], np.int32), np.zeros(id_at[-1], bool)
+            for i, x in others.items():
+                out[id_at[i] : id_at[i + 1]] = x
+                own[id_at[i] : id_at[i + 1]] = True
+            out[~own] = ids
+            ids = out
+        self.known.add(keys, letters, at, ids, id_at, odd)
+
+
 BLOCKS = "part int, block int, at long, n long, ids array<long>, lengths array<long>, dictionary array<int>, words binary"
 
 
@@ -195,10 +362,12 @@ def write_id_files(docs: DataFrame, file: str, path: str, end_id: int, id_col: s
             held.clear()
             return out
 
-        for piece in pieces(batches, "text"):
-            for i, x in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+        for piece in pieces(batches, "text", AT_ONCE):
+            found, to = bpe.batch(*utf8(piece.column(1)))
+            raw, to = memoryview(found.astype("<u4", copy=False).tobytes()), (4 * to).tolist()
+            for i, a, b in zip(piece.column(0).to_pylist(), to, to[1:]):
                 ids.append(i)
-                held.append(bpe.encode(x or "") + end)
+                held.append(b"".join([raw[a:b], end]))
                 size += len(held[-1]) // 4
                 if size >= block_ids:
                     yield flush()

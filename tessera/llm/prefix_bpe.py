@@ -56,11 +56,15 @@ def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) ->
 class PairTable:
     """Values by 64-bit keys: open addressing, looked up for many keys at once."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, (4 * len(keys)).bit_length())
+    def __init__(self, keys: np.ndarray, values: np.ndarray, room: int = 0):
+        bits = max(4, (4 * len(keys)).bit_length(), room.bit_length())
         self.shift, self.mask = _U(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, -1, np.int64)
         self.values = np.zeros(1 << bits, np.int64)
+        self.add(keys, values)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys that aren't there yet, each once."""
         rest, at = np.arange(len(keys)), self._slot(keys)
         while len(rest):
             free = self.keys[at] < 0

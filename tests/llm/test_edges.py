@@ -182,3 +182,37 @@ def test_byte_level_names_and_memo_of_id_files():
     bpe = id_files.ByteBPE(public_tokenizers.path("byte_bpe_50k.json"))
     text = "start " + " ".join(f"w{chr(97 + i % 26)}{chr(224 + i // 26 % 26)}{i}" for i in range(2000)) + " é. naïve, straße\nÜber x"
     assert bpe.encode(text) == bpe._ids(text) and bpe.later.most == id_files.LATER_WORDS
+
+
+def test_words_of_id_files_are_encoded_together(monkeypatch):
+    import random
+    from array import array
+
+    import numpy as np
+    import pyarrow as pa
+    import public_tokenizers
+
+    from tessera.llm import common, id_files
+
+    bpe, pick = id_files.ByteBPE(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
+
+    def told(texts):
+        ids, at = bpe.batch(*common.utf8(pa.array(texts, pa.string())))
+        return [ids[a:b].tolist() for a, b in zip(at, at[1:])]
+
+    parts = ["a", "é", "\n", " ", "  ", "'s", "1", "²", "_", "<|endoftext|>", "字", "ﬁ", "́", "\t", " ", "...", ",$$$", "The", "ing", "x" * 300, " then", "\x1c"]
+    texts = [None, "", *("".join(pick.choice(parts) for _ in range(pick.randrange(12))) for _ in range(3000))]
+    whole = [bpe.whole.encode(x or "", add_special_tokens=False).ids for x in texts]
+    monkeypatch.setattr(id_files, "KNOWN_WORDS", 500)  # the table begins anew
+    assert [x for k in range(0, len(texts), 200) for x in told(texts[k : k + 200])] == whole
+    # words whose hashes agree aren't taken for each other
+    monkeypatch.setattr(id_files, "mix", lambda x: np.zeros_like(x))
+    assert told(["one two"] * 3 + ["one one"]) == [bpe.whole.encode(x, add_special_tokens=False).ids for x in ["one two"] * 3 + ["one one"]]
+    monkeypatch.undo()
+    # the library isn't asked word by word
+    bpe.known, ask = id_files.Known(), lambda text: pytest.fail(text)
+    monkeypatch.setattr(bpe, "_ids", ask)
+    monkeypatch.setattr(bpe, "encode", ask)
+    monkeypatch.setattr(bpe, "_letters", ask)
+    text = "Hier über foo,$$$ ***\nNeue Zeilé, ende.\nlast"
+    assert array("I", told([text, text])[1]).tolist() == bpe.whole.encode(text, add_special_tokens=False).ids
