@@ -46,6 +46,7 @@ BEHIND = EDIT + SHINGLE  # words behind a block in which the next one begins, wi
 BANDS = 6
 BAND_ROWS = 2
 CONTEXT = 60  # words fetched on each side of a run, to grow it (see above)
+FEW = 16  # of them are looked at first
 PIECE = 512  # members of a band value that are compared at once; a larger one is met piece by piece
 _U = np.uint64
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
@@ -277,7 +278,14 @@ def _compared(batches, min_words: int, threshold: float):
     """Candidates with both regions: those that hold, with the grown run for windows."""
     for batch in batches:
         out: list[list] = [[] for _ in range(7)]
-        for r in batch.to_pylist():
+        plain = [n for n in batch.schema.names if n != "seeds"]
+        rows = zip(*(batch.column(n).to_pylist() for n in plain))
+        seeds = batch.column(batch.schema.names.index("seeds"))
+        flat = seeds.flatten()
+        s, h = (flat.field(n).to_pylist() for n in ("s", "h"))
+        upto = np.cumsum(seeds.value_lengths().fill_null(0).to_numpy()).tolist()
+        for begin, end, row in zip([0, *upto], upto, rows):
+            r = dict(zip(plain, row))
             x, y = r["region"].split(), r["hub_region"].split()
             i, j, n = r["start"] - r["at"], r["hub_start"] - r["hub_at"], r["n"]
             if r["line"] and n == r["hub_n"] and x[i : i + n] == y[j : j + n] != []:
@@ -289,7 +297,7 @@ def _compared(batches, min_words: int, threshold: float):
                     continue
                 out_rows = [(r["start"], n, r["hub_start"], r["hub_n"], True)]
             else:
-                out_rows = [(r["at"] + p, m, r["hub_at"] + q, k, False) for p, m, q, k in _runs(x, y, [(z["s"] - r["at"], z["h"] - r["hub_at"]) for z in r["seeds"]], min_words, threshold)]
+                out_rows = [(r["at"] + p, m, r["hub_at"] + q, k, False) for p, m, q, k in _runs(x, y, [(p - r["at"], q - r["hub_at"]) for p, q in zip(s[begin:end], h[begin:end])], min_words, threshold)]
             for start, length, hub_start, hub_n, line in out_rows:
                 if length >= min_words:
                     for c, v in zip(out, (r["id"], start, length, r["hub"], hub_start, hub_n, line)):
@@ -313,6 +321,14 @@ class Side:
         self.ends = np.cumsum(size)[:-1]  # of the shingles of each member but the last
         self.grams: list[np.ndarray] = []  # numbers of the shingles of each member
 
+    def distinct(self, numbers: int) -> None:
+        """The grams: each member's distinct shingle numbers in order, all told by one sort."""
+        sizes = np.diff(np.concatenate([[0], self.ends, [len(self.gram)]]))
+        key = np.sort(np.repeat(np.arange(len(sizes)), sizes) * numbers + self.gram)
+        key = key[np.diff(key, prepend=-1) > 0]
+        begin = np.searchsorted(key, np.arange(1, len(sizes)) * numbers)
+        self.grams = np.split(key % max(numbers, 1), begin)
+
     def words(self, i: int, own: int) -> list[int]:
         """Words of a member; those that are not `known` get numbers below 0 from `own` down, which stand nowhere else."""
         part = slice(self.begin[i], self.begin[i] + self.length[i])
@@ -378,9 +394,9 @@ def _near_lines(batches, threshold: float):
     for batch in batches:
         for row in range(batch.num_rows):
             x, y = (Side(batch.column(i)[row]) for i in range(2))
-            _numbered([x, y])
+            count = _numbered([x, y])
             for side in (x, y):
-                side.grams = [np.unique(g) for g in np.split(side.gram, side.ends)]
+                side.distinct(len(count))
             y.index(range(len(y.grams)))
             found = []
             for i, g in enumerate(x.grams):
@@ -459,16 +475,24 @@ def _near_windows(batches, min_words: int, threshold: float):
                     mine = open_ones[of[open_ones] == kind]
                     i = int(mine[0])
                     earlier = int(np.searchsorted(ids, x.id[mine].max()))
-                    some, hit = _may_hold(rows[p][i], others[:earlier], min_words)
-                    own = x.words(i, -1) if len(some) else []
-                    for k in some.tolist():
-                        j = int(first[k])
-                        at, hub_at = (int(s.place[m] >> 32) - int(s.at[m]) for s, m in ((x, i), (y, j)))
-                        if j not in words:
-                            words[j] = y.words(j, -1_000_000_000)
-                        if _runs(own, words[j], [(at, hub_at)], min_words, threshold):
-                            hit = k
-                            break
+                    hit, begin, step, own = earlier, 0, FEW, None
+                    while begin < hit == earlier:  # a few first: often one of them holds
+                        part = others[begin : min(begin + step, earlier)]
+                        some, sure = _may_hold(rows[p][i], part, min_words)
+                        for k in (begin + some).tolist():
+                            j = int(first[k])
+                            at, hub_at = (int(s.place[m] >> 32) - int(s.at[m]) for s, m in ((x, i), (y, j)))
+                            if own is None:
+                                own = x.words(i, -1)
+                            if j not in words:
+                                words[j] = y.words(j, -1_000_000_000)
+                            if _runs(own, words[j], [(at, hub_at)], min_words, threshold):
+                                hit = k
+                                break
+                        else:
+                            if sure < len(part):
+                                hit = begin + sure
+                        begin, step = begin + len(part), 4 * step
                     if hit < earlier:
                         j = int(first[hit])
                         found += [(x.id[m], x.place[m], y.id[j], y.place[j]) for m in mine.tolist() if y.id[j] < x.id[m]]
